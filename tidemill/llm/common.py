@@ -6,8 +6,14 @@ import atexit
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
+import tidemill
+
+#: Functions of this package travel to the executors with the queries; nothing has to be installed there.
+cloudpickle.register_pickle_by_value(tidemill)
+
 #: Arrow batches hold at most this many bytes, so that a worker's memory doesn't follow the rows' width.
 BATCH_BYTES = "8m"
 
