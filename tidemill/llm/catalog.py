@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import licenses, quality, secrets, sharding
+from tidemill.llm import bpe, licenses, quality, secrets, sharding
 from tidemill.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,14 @@ def query(name: str, oracle: str | None = None):
     return register
 
 
+@query("op1_byte_bpe")
+def op1(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    import public_tokenizers
+
+    path = vocabulary or public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe.round_trip_digest(spark, table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
 @query("op3_quality_rules")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = lambda n: F.col(f"f.{n}").alias(n)
