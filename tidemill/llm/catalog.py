@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import bpe, licenses, quality, secrets, sharding
+from tidemill.llm import bpe, licenses, ngram_join, quality, secrets, sharding
 from tidemill.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,3 +52,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_minimax_shards")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op10_ngram_jaccard")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link_documents(table(spark, sf_dir, "documents"))
