@@ -10,8 +10,10 @@ Decoding joins ids to the token-byte table, which has one row a token and is bro
 size is the vocabulary's, not the corpus's.
 
 Packing keeps the shuffle near the size of the distinct words a block holds, rather than a row
-for each pre-token. Blocks are written to the shared folder before words are dealt, so that a
-lost executor never changes what a block holds.
+for each pre-token. Blocks are shuffled once and read from there both for their words and for
+their positions. They are cut from the input's partitions in their order; reading files, a lost
+executor's blocks come out the same again, and a block whose words don't fit its positions fails
+the query.
 
 Cases: a null text counts as an empty one, which has no ids; a text of any length belongs to
 one block and is split as it is read; equal rows are encoded alike; other columns are ignored;
@@ -21,6 +23,7 @@ an empty table gives an empty result.
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 from collections.abc import Iterator
 
@@ -30,16 +33,18 @@ import pyarrow.compute as pc
 import regex
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import bounded_batches, staged
+from tidemill.llm.common import bounded_batches
 
 #: Bytes of text gathered in a block before it is closed.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 #: Words whose ids a task remembers at once.
 MEMORY_WORDS = 1 << 21
 LONG_PIECE = 64
+#: Words of a block put together at a time.
+STEP_WORDS = 1 << 18
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -193,7 +198,21 @@ def token_blocks(docs: DataFrame, pattern: str, n_slices: int, block_bytes: int
             yield close()
 
     found = docs.select("doc_id", "text").mapInArrow(run, f"doc_ids array<{kind}>, counts binary, places binary, slice_of binary, slices array<binary>")
-    return found.withColumn("block", F.monotonically_increasing_id())
+    return found.select(F.monotonically_increasing_id().alias("block"), "*")
+
+
+def block_words(blocks: DataFrame, n_slices: int) -> DataFrame:
+    """(block, slice, words) of blocks. All their columns are read, so that their shuffle is the one that the positions use."""
+    at = blocks.columns.index("slices")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                slices = batch.column(at)[i].values
+                block = pa.array([batch.column(0)[i].as_py()] * n_slices, pa.int64())
+                yield pa.RecordBatch.from_arrays([block, pa.array(range(n_slices), pa.int32()), slices], names=["block", "slice", "words"])
+
+    return blocks.mapInArrow(run, "block long, slice int, words binary")
 
 
 def encode_words(slices: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
@@ -212,10 +231,10 @@ def encode_words(slices: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
                 ids = []
                 for w in words:
                     if (x := known.get(w)) is None:
-                        x = known[w] = encode_piece(w, ranks)
+                        x = known[w] = tuple(encode_piece(w, ranks))
                     ids.append(x)
                 sizes = pack(np.fromiter(map(len, ids), np.uint32, len(ids)))
-                flat = pack(np.array([i for x in ids for i in x], np.uint32))
+                flat = pack(np.fromiter((i for x in ids for i in x), np.uint32))
                 out.append(len(sizes).to_bytes(4, "little") + sizes + flat)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["block", "slice", "ids"])
 
@@ -223,41 +242,52 @@ def encode_words(slices: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     return slices.repartition(n, "slice").mapInArrow(run, "block long, slice int, ids binary")
 
 
+def put_together(row: dict, slices: list[int], blobs: list[bytes], n_slices: int) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets of documents, ids) of a block, from the ids of its words by slice."""
+    of, places, counts = unpack(row["slice_of"]), unpack(row["places"]), unpack(row["counts"])
+    sizes, starts, flat, base = np.zeros(len(of), np.int32), np.zeros(len(of), np.int32), [], 0
+    by_slice = np.argsort(of, kind="stable")
+    bounds = np.searchsorted(of[by_slice], np.arange(n_slices + 1))
+    for s, blob in zip(slices, blobs, strict=True):
+        n = int.from_bytes(blob[:4], "little")
+        size, own = unpack(blob[4 : 4 + n]).astype(np.int32), unpack(blob[4 + n :])
+        at = by_slice[bounds[s] : bounds[s + 1]]
+        if len(at) != len(size):
+            raise ValueError(f"block {row['block']}: {len(size)} encoded words for {len(at)} of slice {s}")
+        sizes[at], starts[at] = size, base + np.cumsum(size) - size
+        flat.append(own.astype(np.int32))
+        base += len(own)
+    if len(slices) != n_slices:
+        raise ValueError(f"block {row['block']}: {len(slices)} of {n_slices} slices")
+    flat = np.concatenate(flat)
+    ends = np.concatenate(([0], np.cumsum(sizes[places], dtype=np.int64)))
+    ids = np.empty(int(ends[-1]), np.int32)
+    for a in range(0, len(places), STEP_WORDS):
+        part = places[a : a + STEP_WORDS]
+        each = sizes[part]
+        within = np.arange(int(each.sum()), dtype=np.int32) - np.repeat(np.cumsum(each, dtype=np.int32) - each, each)
+        ids[ends[a] : ends[a + len(part)]] = flat[np.repeat(starts[part], each) + within]
+    return ends[np.concatenate(([0], np.cumsum(counts.astype(np.int64))))], ids
+
+
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", n_slices: int | None = None) -> DataFrame:
     """(doc_id, ids) of every row of docs."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    n_slices = n_slices or min(4096, max(16, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_slices = n_slices or min(4096, max(16, n))
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    blocks = staged(token_blocks(source, pattern, n_slices))
-    words = blocks.select("block", F.posexplode("slices").alias("slice", "words"))
-    ids = encode_words(words, ranks)
+    blocks = token_blocks(source, pattern, n_slices).repartition(n, "block")
+    ids = encode_words(block_words(blocks, n_slices), ranks)
     kind = source.schema["doc_id"].dataType.simpleString()
 
-    def put_together(left: pa.Table, right: pa.Table) -> pa.Table:
-        row = left.to_pylist()[0]
-        of, places, counts = unpack(row["slice_of"]), unpack(row["places"]), unpack(row["counts"])
-        sizes, starts, flat, base = np.zeros(len(of), np.int64), np.zeros(len(of), np.int64), [], 0
-        by_slice = np.argsort(of, kind="stable")
-        bounds = np.searchsorted(of[by_slice], np.arange(n_slices + 1))
-        for s, blob in zip(right.column("slice").to_pylist(), right.column("ids").to_pylist(), strict=True):
-            n = int.from_bytes(blob[:4], "little")
-            size, own = unpack(blob[4 : 4 + n]).astype(np.int64), unpack(blob[4 + n :])
-            at = by_slice[bounds[s] : bounds[s + 1]]
-            sizes[at], starts[at] = size, base + np.cumsum(size) - size
-            flat.append(own)
-            base += len(own)
-        flat = np.concatenate(flat) if flat else np.zeros(0, np.uint32)
-        each = sizes[places]
-        ends = np.cumsum(each)
-        total = int(ends[-1]) if len(ends) else 0
-        index = np.repeat(starts[places] - (ends - each), each) + np.arange(total)
-        offsets = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(counts.astype(np.int64))))]
-        ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat[index].astype(np.int32)))
+    def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
+        row = left.drop_columns(["slices"]).to_pylist()[0]
+        offsets, flat = put_together(row, right.column("slice").to_pylist(), right.column("ids").to_pylist(), n_slices)
+        ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))
         return pa.table([pa.array(row["doc_ids"], left.schema.field("doc_ids").type.value_type), ids], names=["doc_id", "ids"])
 
-    payload = blocks.select("block", "doc_ids", "counts", "places", "slice_of")
-    return payload.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(put_together, f"doc_id {kind}, ids array<int>")
+    return blocks.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(assemble, f"doc_id {kind}, ids array<int>")
 
 
 def token_bytes(ranks: dict[bytes, int]) -> list[bytes]:
@@ -291,25 +321,25 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids") ->
     return encoded.mapInArrow(run, schema)
 
 
-def ids_text(encoded: DataFrame, n_tokens: int, ids_col: str = "ids") -> DataFrame:
-    """encoded with its ids as decimal numbers joined by commas, in place of the array."""
-    at = encoded.columns.index(ids_col)
+def digests(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of encoded(doc_id, ids), whose ids are decoded for it."""
+    shared = encoded.sparkSession.sparkContext.broadcast(token_bytes(ranks))
+    kind = encoded.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.array([str(i).encode() for i in range(n_tokens)], pa.binary())
+        tokens = pa.array(shared.value, pa.binary())
+        numbers = pa.array([str(i).encode() for i in range(len(tokens))], pa.binary())
+        sha = lambda values: pa.array([hashlib.sha256(v.as_buffer()).hexdigest() for v in values], pa.string())
         for batch in batches:
-            columns = list(batch.columns)
-            sizes = pc.fill_null(pc.list_value_length(columns[at]), 0).cast(pa.int64())
-            columns[at] = _joined(columns[at], table, b",")
-            yield pa.RecordBatch.from_arrays([*columns, sizes], names=[*batch.schema.names, "n_tokens"])
+            ids = batch.column(1)
+            n = pc.fill_null(pc.list_value_length(ids), 0).cast(pa.int64())
+            told, decoded = sha(_joined(ids, numbers, b",")), sha(_joined(ids, tokens, b""))
+            yield pa.RecordBatch.from_arrays([batch.column(0), n, told, decoded], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    schema = ", ".join(f"`{f.name}` {'binary' if f.name == ids_col else f.dataType.simpleString()}" for f in encoded.schema) + ", n_tokens long"
-    return encoded.mapInArrow(run, schema)
+    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
-def round_trip_digest(spark: SparkSession, docs: DataFrame, path: str, pattern: str) -> DataFrame:
+def round_trip_digest(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """The digest columns of the registered query."""
     ranks = load_ranks(path)
-    decoded = decode(encode(docs, ranks, pattern), ranks)
-    told = ids_text(decoded, len(token_bytes(ranks)))
-    return told.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return digests(encode(docs, ranks, pattern), ranks)
