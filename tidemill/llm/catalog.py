@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import bpe, licenses, ngram_join, quality, secrets, sharding
+from tidemill.llm import bpe, decontamination, licenses, line_dedup, ngram_join, quality, secrets, sharding
 from tidemill.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,7 +29,7 @@ def op1(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> Data
     import public_tokenizers
 
     path = vocabulary or public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    return bpe.round_trip_digest(spark, table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+    return bpe.round_trip_digest(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
 @query("op3_quality_rules")
@@ -44,6 +44,11 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_digest(licenses.scan_licenses(table(spark, sf_dir, "documents")))
 
 
+@query("op6_fuzzy_lines")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+
+
 @query("op7_secret_scan")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(secrets.scan_secrets(table(spark, sf_dir, "documents")))
@@ -54,6 +59,11 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+@query("op9_bm25_decontamination")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op10_ngram_jaccard")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link_documents(table(spark, sf_dir, "documents"))
