@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import bpe, decontamination, licenses, line_dedup, ngram_join, quality, secrets, sharding
+from tidemill.llm import bpe, decontamination, licenses, line_dedup, ngram_join, quality, secrets, sharding, toxicity
 from tidemill.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,6 +32,11 @@ def op1(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> Data
     return bpe.round_trip_digest(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+@query("op2_toxicity_chain")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxic_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query("op3_quality_rules")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = lambda n: F.col(f"f.{n}").alias(n)

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import pickle
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -37,6 +39,12 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+def shared_value(spark: SparkSession, value: object) -> Callable[[], object]:
+    """A broadcast of value, which may hold this package's classes; a task calls the result once."""
+    blob = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: pickle.loads(blob.value)  # noqa: S301
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm

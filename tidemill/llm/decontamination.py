@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import bounded_batches, staged
+from tidemill.llm.common import bounded_batches, shared_value, staged
 
 #: BM25 parameters, and the words of the items of the first class.
 K1, B, SHORTEST = 1.2, 0.75, 16
@@ -237,12 +237,12 @@ def shards(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[Indexes
 
 
 def _contaminated(docs: DataFrame, indexes: Indexes, id_col: str, text_col: str, item_kind: str) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(indexes)
+    shared = shared_value(docs.sparkSession, indexes)
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"doc_id {kind}, item_id {item_kind}, first_word long, question_overlap double, answer_overlap double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        indexes = shared.value
+        indexes = shared()
         for batch in batches:
             rows, found = [], []
             for i, text in enumerate(batch.column(1)):
@@ -281,11 +281,12 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
     at = docs.columns.index(text_col)
     schema = docs.schema
     for indexes in shards(benchmark, item_id, item_text):
-        shared = docs.sparkSession.sparkContext.broadcast(indexes)
+        shared = shared_value(docs.sparkSession, indexes)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            indexes = shared()
             for batch in batches:
-                clean = [not passage_matches(t.as_py(), shared.value) for t in batch.column(at)]
+                clean = [not passage_matches(t.as_py(), indexes) for t in batch.column(at)]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
         docs = docs.mapInArrow(run, schema)

@@ -13,7 +13,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -57,31 +56,36 @@ def components(edges: DataFrame) -> DataFrame:
     return found if found is not None else spark.createDataFrame([], "id long, root long")
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
-    """(first column's value, rows) of each run of rows with one value, of rows sorted by it; runs of one row are left out."""
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """(rows, starts, ends): rows sorted by the first column, and its runs; a run is never cut."""
     rest: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
             continue
         keys = batch.column(0).to_numpy()
-        cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
-        if rest and rest[0].column(0)[0].as_py() != int(keys[0]):
-            if sum(r.num_rows for r in rest) > 1:
-                yield rest[0].column(0)[0].as_py(), pa.concat_batches(rest)
-            rest = []
-        starts = np.concatenate(([0], cuts))
-        ends = np.concatenate((cuts, [len(keys)]))
-        if len(starts) == 1:
+        if rest and rest[-1].column(0)[-1].as_py() == int(keys[0]) == int(keys[-1]):
             rest.append(batch)
             continue
-        if rest:
-            yield int(keys[0]), pa.concat_batches([*rest, batch.slice(0, int(ends[0]))])
-            starts, ends = starts[1:], ends[1:]
-        for i in np.flatnonzero(ends[:-1] - starts[:-1] > 1).tolist():
-            yield int(keys[starts[i]]), batch.slice(int(starts[i]), int(ends[i] - starts[i]))
-        rest = [batch.slice(int(starts[-1]), int(ends[-1] - starts[-1]))]
-    if rest and sum(r.num_rows for r in rest) > 1:
-        yield rest[0].column(0)[0].as_py(), pa.concat_batches(rest)
+        last = int(np.searchsorted(keys, keys[-1]))
+        rows = pa.concat_batches([*rest, batch.slice(0, last)])
+        rest = [batch.slice(last)]
+        if rows.num_rows:
+            yield rows, *_bounds(rows)
+    if rest:
+        rows = pa.concat_batches(rest)
+        yield rows, *_bounds(rows)
+
+
+def _bounds(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    keys = rows.column(0).to_numpy()
+    cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+    return np.concatenate(([0], cuts)), np.concatenate((cuts, [len(keys)]))
+
+
+def _pair_names(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    x = a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (b.astype(np.uint64) ^ np.uint64(0xC2B2AE3D27D4EB4F)) * np.uint64(0xD6E8FEB86659FD93)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xA0761D6478BD642F)
+    return (x ^ (x >> np.uint64(29))).view(np.int64)
 
 
 def _by_key(df: DataFrame, key: str) -> DataFrame:
@@ -92,28 +96,28 @@ def _by_key(df: DataFrame, key: str) -> DataFrame:
 def buckets(keyed: DataFrame) -> DataFrame:
     """(bucket, id) of the different sets of two or more ids that share a key in keyed(key, id)."""
 
+    def batch_of(names: np.ndarray, flat: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(flat))
+        return pa.RecordBatch.from_arrays([pa.array(names), lists], names=["bucket", "ids"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, lists, held = [], [], 0
-
-        def flush() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(lists, pa.list_(pa.int64()))], names=["bucket", "ids"])
-
-        for _, rows in _groups(batches):
-            ids = np.unique(rows.column(1).to_numpy())
-            if len(ids) < 2:
-                continue
-            parts = [ids[i : i + PART] for i in range(0, len(ids), PART)]
-            pairs = [(parts[0], None)] if len(parts) == 1 else [(parts[i], parts[j]) for i in range(len(parts)) for j in range(i)]
-            for p, q in pairs:
-                members = p if q is None else np.concatenate((q, p))
-                names.append(xxhash.xxh3_64_intdigest(members.tobytes()) - (1 << 63))
-                lists.append(members)
-                held += len(members)
-                if held > 1 << 16:
-                    yield flush()
-                    names, lists, held = [], [], 0
-        if names:
-            yield flush()
+        for rows, starts, ends in _runs(batches):
+            ids, sizes = rows.column(1).to_numpy(), ends - starts
+            two = starts[sizes == 2]
+            a, b = np.minimum(ids[two], ids[two + 1]), np.maximum(ids[two], ids[two + 1])
+            names, at = np.unique(_pair_names(a, b)[a != b], return_index=True)
+            if len(names):
+                yield batch_of(names, np.column_stack((a[a != b][at], b[a != b][at])).ravel(), np.full(len(names), 2))
+            for i in np.flatnonzero(sizes > 2).tolist():
+                members = np.unique(ids[starts[i] : ends[i]])
+                parts = [members[k : k + PART] for k in range(0, len(members), PART)]
+                for k, p in enumerate(parts):
+                    for q in parts[:k] if len(parts) > 1 else [p[:0]]:
+                        both = np.concatenate((q, p))
+                        if len(both) == 2:
+                            yield batch_of(_pair_names(both[:1], both[1:]), both, np.array([2]))
+                        elif len(both) > 2:
+                            yield batch_of(np.array([xxhash.xxh3_64_intdigest(both.tobytes()) - (1 << 63)]), both, np.array([len(both)]))
 
     found = _by_key(keyed.select("key", "id"), "key").mapInArrow(run, "bucket long, ids array<long>")
     return found.dropDuplicates(["bucket"]).select("bucket", F.explode("ids").alias("id"))
@@ -125,24 +129,31 @@ def likely_pairs(members: DataFrame, choose: Chooser, payload: str | None = None
     columns = ["bucket", "id", *([payload] if payload else []), *(["root"] if rooted else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out_a, out_b, held = [], [], 0
-        for _, rows in _groups(batches):
-            rows = rows.take(pc.sort_indices(rows.column(1)))
-            ids = rows.column(1).to_numpy()
-            values = rows.column(2).to_pylist() if payload else []
-            roots = rows.column(len(columns) - 1).to_numpy() if rooted else None
-            if roots is not None and (roots == roots[0]).all():
-                continue
-            i, j = choose(ids, values, roots)
-            if len(i):
-                out_a.append(np.minimum(ids[i], ids[j]))
-                out_b.append(np.maximum(ids[i], ids[j]))
-                held += len(i)
-            if held > 1 << 16:
+        for rows, starts, ends in _runs(batches):
+            ids, sizes = rows.column(1).to_numpy(), ends - starts
+            all_values = rows.column(2) if payload else None
+            all_roots = rows.column(len(columns) - 1).to_numpy() if rooted else None
+            two = starts[sizes == 2]
+            if rooted:
+                two = two[all_roots[two] != all_roots[two + 1]]
+            if payload and len(two):
+                alike = [len(choose(ids[i : i + 2], all_values.slice(i, 2).to_pylist(), None if all_roots is None else all_roots[i : i + 2])[0]) > 0 for i in two.tolist()]
+                two = two[np.array(alike)]
+            out_a, out_b = [np.minimum(ids[two], ids[two + 1])], [np.maximum(ids[two], ids[two + 1])]
+            for k in np.flatnonzero(sizes > 2).tolist():
+                at = slice(int(starts[k]), int(ends[k]))
+                roots = all_roots[at] if rooted else None
+                if rooted and (roots == roots[0]).all():
+                    continue
+                order = np.argsort(ids[at], kind="stable")
+                own = ids[at][order]
+                values = all_values.slice(at.start, at.stop - at.start).take(pa.array(order)).to_pylist() if payload else []
+                i, j = choose(own, values, roots[order] if rooted else None)
+                if len(i):
+                    out_a.append(np.minimum(own[i], own[j]))
+                    out_b.append(np.maximum(own[i], own[j]))
+            if sum(map(len, out_a)):
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out_a, out_b)], names=["a", "b"])
-                out_a, out_b, held = [], [], 0
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out_a, out_b)], names=["a", "b"])
 
     return _by_key(members.select(*columns), "bucket").mapInArrow(run, "a long, b long").distinct()
 
