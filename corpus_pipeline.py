@@ -1,7 +1,7 @@
 """From raw documents to token ids: five stages, each written as Parquet and read by the next.
 
 Every stage works on all that its predecessor kept. The first four return the columns of
-documents; the last returns the ids of each remaining text with digests of a full round trip.
+documents; the last returns digests of the ids of each remaining text and of their decoded bytes.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ def fuzzy_line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def ngram_jaccard_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of linked documents (five-word shingles, Jaccard 0.8 or more) the one with the smallest id stays."""
-    return ngram_join.keep_one_each(docs)
+    return ngram_join.keep_one_each(docs, ngram_join.Similarity(5, 8, 10))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,8 +36,8 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, ids, n_tokens, ids_sha256, decoded_sha256) of what remains."""
-    return bpe.round_trip(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of what remains: its ids, and the bytes that they decode to."""
+    return bpe.round_trip_digest(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
 STAGES = [

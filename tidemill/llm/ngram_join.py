@@ -1,7 +1,8 @@
 """N-gram Jaccard join over word shingles, by count vectors in R-trees.
 
-A document's set holds its distinct 3-word shingles as 64-bit hashes. Two documents link when
-100 * intersection >= 90 * union.
+A document's set holds its distinct word shingles as 64-bit hashes. Two documents link when
+denominator * intersection >= numerator * union; by default shingles have three words and the
+fraction is 90 / 100.
 
 Each set is a point: its hashes are dealt into groups, and the counts of the groups are the
 coordinates. The summed minima of two points' coordinates bound their sets' overlap from above.
@@ -10,9 +11,11 @@ coordinates; pairs that survive are verified on the sets themselves.
 
 One R-tree over all documents would compare each size band with itself, since boxes of unrelated
 texts overlap in every coordinate. So points are first dealt into buckets without losing a pair:
-two linked sets of at most U shingles differ in at most U // 9 of them, so that of U // 9 + 1
-groups at least one holds the same shingles in both. Sizes are banded, and each document is
-dealt by every group of its own band, and of the next band if a partner can be there.
+two linked sets of at most U shingles differ in at most D = U * (denominator - numerator) //
+numerator of them, so that of more than D groups with shingles in them at least one holds the same
+shingles in both. Sizes are banded, and each document is dealt by every group of its own band, and
+of the next band if a partner can be there. Groups without shingles count only for a document that
+has no more than D others, which the number of groups makes rare.
 
 Cases: a text of fewer than three words is one shingle, the whole sequence; a null text or one
 without words has no shingles and links with nothing; equal sets are one class (chained to its
@@ -24,6 +27,8 @@ other columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +40,31 @@ from pyspark.sql import functions as F
 from tidemill.llm.common import bounded_batches, staged
 from tidemill.llm.linking import buckets, link, with_ids
 
-SHINGLE_WORDS, NUMERATOR, DENOMINATOR = 3, 90, 100
+
+@dataclass(frozen=True)
+class Similarity:
+    """Words of a shingle, and the least Jaccard similarity as a fraction."""
+
+    words: int = 3
+    numerator: int = 90
+    denominator: int = 100
+
+    def differing(self, longest: int) -> int:
+        """Shingles in which two linked sets, the larger one of at most `longest`, can differ."""
+        return longest * (self.denominator - self.numerator) // self.numerator
+
+    def groups(self, longest: int) -> int:
+        d = self.differing(longest)
+        return d + 3 + int(1.5 * d * np.exp(-0.6 * longest / max(1, d)))
+
+    def bands(self, most: int) -> list[int]:
+        """Upper ends of size bands, wide enough that a partner is in the same band or the next."""
+        ends = [1]
+        while ends[-1] < most:
+            ends.append(max(ends[-1] + 1, ends[-1] * self.denominator**2 // self.numerator**2))
+        return ends
+
+
 #: Coordinates of a point; larger sets take the finer vector.
 COARSE, FINE, FINE_FROM = 32, 256, 1600
 LEAF = 32
@@ -57,7 +86,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def shingles(data: bytes, hashes: WordHashes, size: int = SHINGLE_WORDS) -> np.ndarray:
+def shingles(data: bytes, hashes: WordHashes, size: int = 3) -> np.ndarray:
     """Sorted distinct shingle hashes of lower-cased bytes."""
     words = data.split()
     if not words:
@@ -76,30 +105,23 @@ def normal(text: str | None) -> bytes:
     return (text or "").encode().lower()
 
 
-def bands(most: int, denominator: int = DENOMINATOR, numerator: int = NUMERATOR) -> list[int]:
-    """Upper ends of size bands, wide enough that a partner is in the same band or the next."""
-    ends = [1]
-    while ends[-1] < most:
-        ends.append(max(ends[-1] + 1, ends[-1] * 5 // 4))
-    return ends
-
-
-def bucket_keys(found: np.ndarray, ends: np.ndarray, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> np.ndarray:
+def bucket_keys(found: np.ndarray, ends: np.ndarray, like: Similarity) -> np.ndarray:
     """Keys of a set: the hash of each group's members, for its band and, where a partner may be, the next."""
     n = len(found)
     own = int(np.searchsorted(ends, n))
     keys = []
-    levels = [own] if n * denominator // numerator <= ends[own] else [own, own + 1]
     member = mixed(found)
-    for level in levels:
-        groups = int(ends[level]) * (denominator - numerator) // numerator + 1
+    for level in [own] if n * like.denominator // like.numerator <= ends[own] else [own, own + 1]:
+        groups = like.groups(int(ends[level]))
         of = ((found >> np.uint64(33)) * np.uint64(groups)) >> np.uint64(31)
         order = np.argsort(of, kind="stable")
-        sums = np.concatenate(([0], np.cumsum(member[order], dtype=np.uint64))).astype(np.uint64)
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(member[order], dtype=np.uint64)))
         bounds = np.searchsorted(of[order], np.arange(groups + 1, dtype=np.uint64))
         total = sums[bounds[1:]] - sums[bounds[:-1]]
         name = np.arange(groups, dtype=np.uint64) * np.uint64(MULTIPLIERS[0]) + np.uint64((level + 1) * MULTIPLIERS[1] & (1 << 64) - 1)
-        keys.append(mixed(mixed(name) ^ total))
+        own_keys = mixed(mixed(name) ^ total)
+        full = bounds[1:] > bounds[:-1]
+        keys.append(own_keys[full] if full.sum() > like.differing(int(ends[level])) else own_keys)
     return np.concatenate(keys).view(np.int64)
 
 
@@ -154,16 +176,16 @@ class RTree:
         return inside[good], bound[good]
 
 
-def nearest_earlier(ids: np.ndarray, blobs: list[bytes], roots: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+def nearest_earlier(ids: np.ndarray, blobs: list[bytes], roots: np.ndarray | None, like: Similarity = Similarity()) -> tuple[np.ndarray, np.ndarray]:
     """For each point the earlier one with the largest bound: a forest that joins what is alike."""
     at = points(blobs)
     if len(ids) == 2:
         shared, sizes = int(np.minimum(at[0], at[1]).sum()), int(at.sum())
-        alike = (NUMERATOR + DENOMINATOR) * shared >= NUMERATOR * sizes
+        alike = (like.numerator + like.denominator) * shared >= like.numerator * sizes
         return (np.array([1]), np.array([0])) if alike else (np.zeros(0, int), np.zeros(0, int))
     tree, i, j = RTree(at), [], []
     for k in range(1, len(ids)):
-        near, bound = tree.overlapping(at[k], NUMERATOR, DENOMINATOR)
+        near, bound = tree.overlapping(at[k], like.numerator, like.denominator)
         earlier = near < k
         if earlier.any():
             near, bound = near[earlier], bound[earlier]
@@ -172,38 +194,38 @@ def nearest_earlier(ids: np.ndarray, blobs: list[bytes], roots: np.ndarray | Non
     return np.array(i, dtype=int), np.array(j, dtype=int)
 
 
-def all_across(ids: np.ndarray, blobs: list[bytes], roots: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+def all_across(ids: np.ndarray, blobs: list[bytes], roots: np.ndarray | None, like: Similarity = Similarity()) -> tuple[np.ndarray, np.ndarray]:
     """All pairs of points of different components whose bound reaches the threshold."""
     at = points(blobs)
     tree, i, j = RTree(at), [np.zeros(0, int)], [np.zeros(0, int)]
     for k in range(1, len(ids)):
-        near, _ = tree.overlapping(at[k], NUMERATOR, DENOMINATOR)
+        near, _ = tree.overlapping(at[k], like.numerator, like.denominator)
         near = near[(near < k) & (roots[near] != roots[k])]
         i.append(np.full(len(near), k))
         j.append(near)
     return np.concatenate(i), np.concatenate(j)
 
 
-def shingle_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def shingle_table(docs: DataFrame, like: Similarity, id_col: str, text_col: str) -> DataFrame:
     """(id, n, digest, keys, point) of every row; keys and point only for a set's first row in a task."""
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen = WordHashes(), set()
-        ends = np.array(bands(64), dtype=np.int64)
+        ends = np.array(like.bands(64), dtype=np.int64)
         for batch in batches:
             sizes, digests, keys, at = [], [], [], []
             for id_, text in zip(batch.column(0), batch.column(1), strict=True):
-                found = shingles(normal(text.as_py()), hashes)
+                found = shingles(normal(text.as_py()), hashes, like.words)
                 digest = xxhash.xxh3_128_digest(found.tobytes())
                 new = len(found) and id_.is_valid and digest not in seen
                 if len(found) * 2 > ends[-1]:
-                    ends = np.array(bands(len(found) * 4), dtype=np.int64)
+                    ends = np.array(like.bands(len(found) * 4), dtype=np.int64)
                 if new:
                     seen.add(digest)
                 sizes.append(len(found))
                 digests.append(digest)
-                keys.append(bucket_keys(found, ends) if new else None)
+                keys.append(bucket_keys(found, ends, like) if new else None)
                 at.append(counts(found) if new else None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(at, pa.binary())],
@@ -225,9 +247,9 @@ def packed_texts(docs: DataFrame) -> DataFrame:
     return docs.select("id", "text").mapInArrow(run, "id long, blob binary").dropDuplicates(["id"])
 
 
-def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def link_documents(docs: DataFrame, like: Similarity = Similarity(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of docs."""
-    table = staged(shingle_table(docs, id_col, text_col))
+    table = staged(shingle_table(docs, like, id_col, text_col))
     has = table.where("n > 0 and id is not null")
     first = has.groupBy("digest").agg(F.min("id").alias("a"))
     equal = staged(has.select("id", "digest").join(first, "digest").where("a <> id").select("a", F.col("id").alias("b")).distinct())
@@ -237,15 +259,15 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     hashes = WordHashes()
 
     def to_set(blob: bytes) -> np.ndarray:
-        return shingles(zstandard.ZstdDecompressor().decompress(blob), hashes)
+        return shingles(zstandard.ZstdDecompressor().decompress(blob), hashes, like.words)
 
-    roots = link(members, lambda ids: packed_texts(with_ids(source, ids)), to_set, nearest_earlier, all_across, NUMERATOR, DENOMINATOR, "point", equal)
+    roots = link(members, lambda ids: packed_texts(with_ids(source, ids)), to_set, partial(nearest_earlier, like=like), partial(all_across, like=like), like.numerator, like.denominator, "point", equal)
     return table.select("id", "n").join(roots, "id", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("root", "id").alias("component_id"))
 
 
-def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one_each(docs: DataFrame, like: Similarity = Similarity(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that are the smallest id of their component, with their columns."""
-    gone = link_documents(docs, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias("id")).distinct()
+    gone = link_documents(docs, like, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias("id")).distinct()
     gone = staged(gone)
     small = gone.count() <= 1_000_000
     return docs.join(F.broadcast(gone) if small else gone, docs[id_col].cast("long") == F.col("id"), "left_anti").select(*docs.columns)
