@@ -3,8 +3,9 @@
 A line's set holds the hashes of its 8-character shingles, after lower-casing and with white
 space runs as one space. One hash a shingle is dealt into bins, each bin keeps its minimum, and
 empty bins borrow from the next full one. Bands of four bins are the keys of candidate pairs:
-14 bands find a pair of Jaccard 0.8 with probability 0.999, and one of 0.9 practically always.
-Candidates are verified exactly (5 * intersection >= 4 * union) and joined by distributed
+12 bands find a pair of Jaccard 0.8 with probability 0.998, and one of 0.9 practically always.
+Candidates whose minima agree in far fewer bins than similar lines do (by over four standard
+deviations) are left out, the others are verified exactly (5 * intersection >= 4 * union) and joined by distributed
 union-find; of every component the line with the smallest (doc_id, line number) stays.
 
 Cases: lines are what stands between `\\n`; a line without a word stays and is in no class; a
@@ -25,12 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.llm.common import bounded_batches, staged
-from tidemill.llm.linking import buckets, link, with_ids
+from tidemill.llm.linking import Likely, buckets, link, with_ids
 from tidemill.llm.ngram_join import mixed
 
-SHINGLE_CHARS, BANDS, BAND_BINS = 8, 14, 4
+SHINGLE_CHARS, BANDS, BAND_BINS = 8, 12, 4
 NUMERATOR, DENOMINATOR = 4, 5
 BINS = BANDS * BAND_BINS
+#: Equal bins of a candidate pair; at Jaccard 0.8 there are 38 of 48 on average, with a deviation of 2.8.
+LEAST_EQUAL = 26
 #: Characters shingled at a time.
 STEP_CHARS = 1 << 19
 ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0xD6E8FEB86659FD93))
@@ -97,9 +100,9 @@ def signatures(lines: list[str]) -> np.ndarray:
     return found
 
 
-def band_keys(lines: list[str]) -> np.ndarray:
-    """Keys of the lines, one row a line and one column a band."""
-    rows = signatures(lines).astype(np.uint64).reshape(len(lines), BANDS, BAND_BINS)
+def band_keys(minima: np.ndarray) -> np.ndarray:
+    """Keys of signatures, one row a line and one column a band."""
+    rows = minima.astype(np.uint64).reshape(len(minima), BANDS, BAND_BINS)
     total = np.broadcast_to(np.arange(BANDS, dtype=np.uint64) * ODD[0], rows.shape[:2])
     for k in range(BAND_BINS):
         total = mixed(total + rows[:, :, k] * ODD[k])
@@ -107,7 +110,7 @@ def band_keys(lines: list[str]) -> np.ndarray:
 
 
 def line_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, text_hash, lines, new, keys): ids of a document's lines (null without a word), and the keys of those new in its task."""
+    """(doc_id, text_hash, lines, new, keys, bins): ids of a document's lines (null without a word); of those new in its task the keys, and a byte of each bin."""
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,18 +131,21 @@ def line_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 hashes.append(xxhash.xxh3_64_intdigest((text or "").encode()) - (1 << 63))
             new = [[] for _ in lines]
             keys = [[] for _ in lines]
-            found = band_keys(fresh) if fresh else np.zeros((0, BANDS), np.int64)
-            for (i, line), row in zip(owners, found, strict=True):
+            bins = [b""] * len(lines)
+            minima = signatures(fresh)
+            small = (minima & np.uint32(0xFF)).astype(np.uint8)
+            for k, ((i, line), row) in enumerate(zip(owners, band_keys(minima), strict=True)):
                 new[i].append(line)
                 keys[i].append(row)
+                bins[i] += small[k].tobytes()
             keys = [np.concatenate(k) if k else np.zeros(0, np.int64) for k in keys]
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(hashes, pa.int64()), pa.array(lines, longs), pa.array(new, longs), pa.array(keys, longs)], names=["doc_id", "text_hash", "lines", "new", "keys"]
+                [batch.column(0), pa.array(hashes, pa.int64()), pa.array(lines, longs), pa.array(new, longs), pa.array(keys, longs), pa.array(bins, pa.binary())], names=["doc_id", "text_hash", "lines", "new", "keys", "bins"]
             )
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(
-        run, "doc_id long, text_hash long, lines array<long>, new array<long>, keys array<long>"
+        run, "doc_id long, text_hash long, lines array<long>, new array<long>, keys array<long>, bins binary"
     )
 
 
@@ -172,28 +178,41 @@ def line_texts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "id long, blob binary")
 
 
-def star(ids: np.ndarray, payloads: list, roots: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Each item with the first."""
-    return np.arange(1, len(ids)), np.zeros(len(ids) - 1, int)
+def line_bins(table: DataFrame) -> DataFrame:
+    """(id, payload) of table's new lines."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).flatten()
+            flat = b"".join(batch.column(1).to_pylist())
+            payload = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(np.arange(0, len(flat) + BINS, BINS, dtype=np.int32)), pa.py_buffer(flat)])
+            yield pa.RecordBatch.from_arrays([ids, payload], names=["id", "payload"])
+
+    return table.select("new", "bins").mapInArrow(run, "id long, payload binary").dropDuplicates(["id"])
+
+
+class EqualBins(Likely):
+    """Pairs of lines whose signatures agree in enough bins."""
+
+    def prepared(self, payloads: list) -> np.ndarray:
+        return np.frombuffer(b"".join(payloads), np.uint8).reshape(-1, BINS)
+
+    def near(self, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        equal = (at == at[k]).sum(axis=1)
+        found = np.flatnonzero(equal >= LEAST_EQUAL)
+        return found, equal[found]
 
-def across(ids: np.ndarray, payloads: list, roots: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs of items of different components."""
-    i, j = [np.zeros(0, int)], [np.zeros(0, int)]
-    for k in range(1, len(ids)):
-        other = np.flatnonzero(roots[:k] != roots[k])
-        i.append(np.full(len(other), k))
-        j.append(other)
-    return np.concatenate(i), np.concatenate(j)
+    def both(self, left: list, right: list) -> np.ndarray:
+        return (self.prepared(left) == self.prepared(right)).sum(axis=1) >= LEAST_EQUAL
 
 
 def judge_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(table, lines): the line ids of every row, and (doc_id, text_hash, line, class_id, kept) of every line with a word."""
     table = staged(line_table(docs, id_col, text_col))
-    members = staged(buckets(keyed_lines(table)))
+    members = staged(buckets(keyed_lines(table)).join(line_bins(table), "id"))
     source = docs.select(F.col(text_col).alias("text"))
     texts_of = lambda ids: with_ids(line_texts(source), ids).dropDuplicates(["id"])
-    roots = link(members, texts_of, lambda blob: char_shingles(blob.decode()), star, across, NUMERATOR, DENOMINATOR)
+    roots = link(members, EqualBins(), texts_of, lambda blob: char_shingles(blob.decode()), NUMERATOR, DENOMINATOR)
     own = table.select("doc_id", "text_hash", F.posexplode("lines").alias("line", "id")).where("id is not null")
     placed = own.join(roots, "id", "left").select("doc_id", "text_hash", "line", F.coalesce("root", "id").alias("class_id"))
     place = F.struct("doc_id", "line", "text_hash")

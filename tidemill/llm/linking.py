@@ -23,8 +23,53 @@ from tidemill.llm.common import staged
 PART = 4096
 #: Candidate ids are broadcast up to this number, and joined by a shuffle beyond it.
 BROADCAST_IDS = 1_000_000
-#: Given the items of a bucket (ids, payloads, components or None): indices of likely pairs.
-Chooser = Callable[[np.ndarray, list, np.ndarray | None], tuple[np.ndarray, np.ndarray]]
+
+
+class Likely:
+    """Which items of a bucket may be linked, by their payloads. Subclasses say how far a payload is from others."""
+
+    def near(self, at: object, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(indices, closeness) of all that may be linked with item k, itself included or not."""
+        raise NotImplementedError
+
+    def prepared(self, payloads: list) -> object:
+        return payloads
+
+    def both(self, left: list, right: list) -> np.ndarray:
+        """Whether each left item may be linked with the right one."""
+        return np.array([bool((self.near(self.prepared([x, y]), 0)[0] == 1).any()) for x, y in zip(left, right, strict=True)], dtype=bool)
+
+    def forest(self, payloads: list) -> tuple[np.ndarray, np.ndarray]:
+        """Each item with its closest earlier one; an item without, that no later one takes, with its closest later one."""
+        at, i, j, later = self.prepared(payloads), [], [], []
+        for k in range(len(payloads)):
+            found, close = self.near(at, k)
+            others = found != k
+            found, close = found[others], close[others]
+            earlier = found < k
+            if earlier.any():
+                found, close = found[earlier], close[earlier]
+            if len(found):
+                (i if earlier.any() else later).append(k if earlier.any() else (k, int(found[np.lexsort((found, -close))[0]])))
+                if earlier.any():
+                    j.append(int(found[np.lexsort((found, -close))[0]]))
+        taken = set(j)
+        for k, other in later:
+            if k not in taken:
+                i.append(k)
+                j.append(other)
+        return np.array(i, dtype=int), np.array(j, dtype=int)
+
+    def across(self, payloads: list, roots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All pairs of items of different components."""
+        at, i, j = self.prepared(payloads), [np.zeros(0, int)], [np.zeros(0, int)]
+        for k in range(1, len(payloads)):
+            found, _ = self.near(at, k)
+            found = found[(found < k) & (roots[found] != roots[k])]
+            i.append(np.full(len(found), k))
+            j.append(found)
+        return np.concatenate(i), np.concatenate(j)
+
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -123,22 +168,19 @@ def buckets(keyed: DataFrame) -> DataFrame:
     return found.dropDuplicates(["bucket"]).select("bucket", F.explode("ids").alias("id"))
 
 
-def likely_pairs(members: DataFrame, choose: Chooser, payload: str | None = None) -> DataFrame:
-    """Distinct (a, b), a < b, that `choose` takes from each bucket of members(bucket, id[, payload][, root])."""
+def likely_pairs(members: DataFrame, likely: Likely) -> DataFrame:
+    """Distinct (a, b), a < b, of members(bucket, id, payload): a forest of each bucket; with a column root, all pairs across components."""
     rooted = "root" in members.columns
-    columns = ["bucket", "id", *([payload] if payload else []), *(["root"] if rooted else [])]
+    columns = ["bucket", "id", "payload", *(["root"] if rooted else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, starts, ends in _runs(batches):
-            ids, sizes = rows.column(1).to_numpy(), ends - starts
-            all_values = rows.column(2) if payload else None
-            all_roots = rows.column(len(columns) - 1).to_numpy() if rooted else None
+            ids, payloads, sizes = rows.column(1).to_numpy(), rows.column(2), ends - starts
+            all_roots = rows.column(3).to_numpy() if rooted else None
             two = starts[sizes == 2]
             if rooted:
                 two = two[all_roots[two] != all_roots[two + 1]]
-            if payload and len(two):
-                alike = [len(choose(ids[i : i + 2], all_values.slice(i, 2).to_pylist(), None if all_roots is None else all_roots[i : i + 2])[0]) > 0 for i in two.tolist()]
-                two = two[np.array(alike)]
+            two = two[likely.both(payloads.take(pa.array(two)).to_pylist(), payloads.take(pa.array(two + 1)).to_pylist())] if len(two) else two
             out_a, out_b = [np.minimum(ids[two], ids[two + 1])], [np.maximum(ids[two], ids[two + 1])]
             for k in np.flatnonzero(sizes > 2).tolist():
                 at = slice(int(starts[k]), int(ends[k]))
@@ -147,11 +189,10 @@ def likely_pairs(members: DataFrame, choose: Chooser, payload: str | None = None
                     continue
                 order = np.argsort(ids[at], kind="stable")
                 own = ids[at][order]
-                values = all_values.slice(at.start, at.stop - at.start).take(pa.array(order)).to_pylist() if payload else []
-                i, j = choose(own, values, roots[order] if rooted else None)
-                if len(i):
-                    out_a.append(np.minimum(own[i], own[j]))
-                    out_b.append(np.maximum(own[i], own[j]))
+                values = payloads.slice(at.start, at.stop - at.start).take(pa.array(order)).to_pylist()
+                i, j = likely.across(values, roots[order]) if rooted else likely.forest(values)
+                out_a.append(np.minimum(own[i], own[j]))
+                out_b.append(np.maximum(own[i], own[j]))
             if sum(map(len, out_a)):
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out_a, out_b)], names=["a", "b"])
 
@@ -197,27 +238,27 @@ def verified(pairs: DataFrame, texts: DataFrame, to_set: Callable[[bytes], np.nd
 
 def link(
     members: DataFrame,
+    likely: Likely,
     texts_of: Callable[[DataFrame], DataFrame],
     to_set: Callable[[bytes], np.ndarray],
-    first: Chooser,
-    rest: Chooser,
     numerator: int,
     denominator: int,
-    payload: str | None = None,
     equal: DataFrame | None = None,
 ) -> DataFrame:
-    """(id, root) of all ids that are linked, for members(bucket, id[, payload]).
+    """(id, root) of all ids that are linked, for members(bucket, id, payload).
 
     texts_of(ids) gives (id, blob) of the ids asked for; equal(a, b) has links known without verification.
+    Every item that may be linked with another is in the forest, whose texts serve both steps.
     """
-    ids_in = lambda pairs: pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    pairs = staged(likely_pairs(members, first, payload))
-    edges = staged(verified(pairs, staged(texts_of(ids_in(pairs))), to_set, numerator, denominator))
-    known = edges if equal is None else edges.unionByName(equal)
+    pairs = staged(likely_pairs(members, likely))
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    texts = staged(texts_of(staged(ids)))
+    edges = verified(pairs, texts, to_set, numerator, denominator)
+    known = staged(edges if equal is None else edges.unionByName(equal))
     roots = components(known)
     placed = members.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    others = staged(likely_pairs(placed, rest, payload).join(pairs, ["a", "b"], "left_anti"))
+    others = staged(likely_pairs(placed, likely).join(pairs, ["a", "b"], "left_anti"))
     if others.isEmpty():
         return roots
-    more = staged(verified(others, staged(texts_of(ids_in(others))), to_set, numerator, denominator))
+    more = staged(verified(others, texts, to_set, numerator, denominator))
     return roots if more.isEmpty() else components(known.unionByName(more))

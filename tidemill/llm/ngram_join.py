@@ -28,7 +28,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.llm.common import bounded_batches, staged
-from tidemill.llm.linking import buckets, link, with_ids
+from tidemill.llm.linking import Likely, buckets, link, with_ids
 
 
 @dataclass(frozen=True)
@@ -176,34 +175,24 @@ class RTree:
         return inside[good], bound[good]
 
 
-def nearest_earlier(ids: np.ndarray, blobs: list[bytes], roots: np.ndarray | None, like: Similarity = Similarity()) -> tuple[np.ndarray, np.ndarray]:
-    """For each point the earlier one with the largest bound: a forest that joins what is alike."""
-    at = points(blobs)
-    if len(ids) == 2:
-        shared, sizes = int(np.minimum(at[0], at[1]).sum()), int(at.sum())
-        alike = (like.numerator + like.denominator) * shared >= like.numerator * sizes
-        return (np.array([1]), np.array([0])) if alike else (np.zeros(0, int), np.zeros(0, int))
-    tree, i, j = RTree(at), [], []
-    for k in range(1, len(ids)):
-        near, bound = tree.overlapping(at[k], like.numerator, like.denominator)
-        earlier = near < k
-        if earlier.any():
-            near, bound = near[earlier], bound[earlier]
-            i.append(k)
-            j.append(int(near[np.lexsort((near, -bound))[0]]))
-    return np.array(i, dtype=int), np.array(j, dtype=int)
-
-
-def all_across(ids: np.ndarray, blobs: list[bytes], roots: np.ndarray | None, like: Similarity = Similarity()) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs of points of different components whose bound reaches the threshold."""
-    at = points(blobs)
-    tree, i, j = RTree(at), [np.zeros(0, int)], [np.zeros(0, int)]
-    for k in range(1, len(ids)):
-        near, _ = tree.overlapping(at[k], like.numerator, like.denominator)
-        near = near[(near < k) & (roots[near] != roots[k])]
-        i.append(np.full(len(near), k))
-        j.append(near)
-    return np.concatenate(i), np.concatenate(j)
+class PointBound(Likely):
+    """Pairs of points whose bound reaches the threshold, by an R-tree."""
+
+    def __init__(self, like: Similarity):
+        self.like = like
+
+    def prepared(self, payloads: list) -> RTree:
+        return RTree(points(payloads))
+
+    def near(self, at: RTree, k: int) -> tuple[np.ndarray, np.ndarray]:
+        return at.overlapping(at.at[k], self.like.numerator, self.like.denominator)
+
+    def both(self, left: list, right: list) -> np.ndarray:
+        out = np.zeros(len(left), bool)
+        for i, pair in enumerate(zip(left, right, strict=True)):
+            at = points(list(pair))
+            out[i] = (self.like.numerator + self.like.denominator) * int(np.minimum(at[0], at[1]).sum()) >= self.like.numerator * int(at.sum())
+        return out
 
 
 def shingle_table(docs: DataFrame, like: Similarity, id_col: str, text_col: str) -> DataFrame:
@@ -254,14 +243,14 @@ def link_documents(docs: DataFrame, like: Similarity = Similarity(), id_col: str
     first = has.groupBy("digest").agg(F.min("id").alias("a"))
     equal = staged(has.select("id", "digest").join(first, "digest").where("a <> id").select("a", F.col("id").alias("b")).distinct())
     at = table.where("point is not null").select("id", "point").dropDuplicates(["id"])
-    members = staged(buckets(table.where("keys is not null").select(F.explode("keys").alias("key"), "id")).join(at, "id"))
+    members = staged(buckets(table.where("keys is not null").select(F.explode("keys").alias("key"), "id")).join(at.withColumnRenamed("point", "payload"), "id"))
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     hashes = WordHashes()
 
     def to_set(blob: bytes) -> np.ndarray:
         return shingles(zstandard.ZstdDecompressor().decompress(blob), hashes, like.words)
 
-    roots = link(members, lambda ids: packed_texts(with_ids(source, ids)), to_set, partial(nearest_earlier, like=like), partial(all_across, like=like), like.numerator, like.denominator, "point", equal)
+    roots = link(members, PointBound(like), lambda ids: packed_texts(with_ids(source, ids)), to_set, like.numerator, like.denominator, equal)
     return table.select("id", "n").join(roots, "id", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("root", "id").alias("component_id"))
 
 
