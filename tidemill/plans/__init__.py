@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules of this folder that register queries when imported.
-MODULES: list[str] = ["history", "features", "matching"]
+MODULES: list[str] = ["history", "features", "matching", "temporal", "reliability"]
 
 
 def register_all() -> None:
