@@ -187,7 +187,8 @@ class XlsxDataSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
-    """Make spark.read.format("xlsx") known."""
+    """Make spark.read.format("xlsx") known, and let filters reach it."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(XlsxDataSource)
 
 
