@@ -158,7 +158,9 @@ class XlsxReader(DataSourceReader):
             found += [SheetPartition(str(p), n) for n in names if self.sheet in (None, n)]
         return found
 
-    def read(self, partition: SheetPartition) -> Iterator[tuple]:
+    def read(self, partition: SheetPartition | None) -> Iterator[tuple]:
+        if partition is None:  # no sheet is left after filters
+            return
         name = Path(partition.path).name
         try:
             with zipfile.ZipFile(partition.path) as book:
