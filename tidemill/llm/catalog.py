@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import bpe, decontamination, licenses, line_dedup, ngram_join, quality, secrets, sharding, toxicity
+from tidemill.llm import bpe, decontamination, licenses, line_dedup, ngram_join, quality, secrets, sharding, suffix_dedup, toxicity
 from tidemill.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,6 +49,11 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_digest(licenses.scan_licenses(table(spark, sf_dir, "documents")))
 
 
+@query("op5_suffix_dedup")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup_strings(table(spark, sf_dir, "documents")).drop("spans")
+
+
 @query("op6_fuzzy_lines")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
