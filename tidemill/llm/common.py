@@ -17,7 +17,7 @@ import tidemill
 cloudpickle.register_pickle_by_value(tidemill)
 
 #: Arrow batches hold at most this many bytes, so that a worker's memory doesn't follow the rows' width.
-BATCH_BYTES = "8m"
+BATCH_BYTES = "2m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -4,8 +4,7 @@ A line's set holds the hashes of its 8-character shingles, after lower-casing an
 space runs as one space. One hash a shingle is dealt into bins, each bin keeps its minimum, and
 empty bins borrow from the next full one. Bands of four bins are the keys of candidate pairs:
 12 bands find a pair of Jaccard 0.8 with probability 0.998, and one of 0.9 practically always.
-Candidates whose minima agree in far fewer bins than similar lines do (by over four standard
-deviations) are left out, the others are verified exactly (5 * intersection >= 4 * union) and joined by distributed
+Candidates are verified exactly (5 * intersection >= 4 * union) and joined by distributed
 union-find; of every component the line with the smallest (doc_id, line number) stays.
 
 Cases: lines are what stands between `\\n`; a line without a word stays and is in no class; a
@@ -26,16 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.llm.common import bounded_batches, staged
-from tidemill.llm.linking import Likely, buckets, link, with_ids
+from tidemill.llm.linking import buckets, components, link_by_sets, with_ids
 from tidemill.llm.ngram_join import mixed
 
 SHINGLE_CHARS, BANDS, BAND_BINS = 8, 12, 4
 NUMERATOR, DENOMINATOR = 4, 5
 BINS = BANDS * BAND_BINS
-#: Equal bins of a candidate pair; at Jaccard 0.8 there are 38 of 48 on average, with a deviation of 2.8.
-LEAST_EQUAL = 26
 #: Characters shingled at a time.
-STEP_CHARS = 1 << 19
+STEP_CHARS = 1 << 18
 ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0xD6E8FEB86659FD93))
 NONE = np.uint32(0xFFFFFFFF)
 
@@ -57,23 +54,42 @@ def rolling(codes: np.ndarray) -> np.ndarray:
     return mixed(h)
 
 
-def char_shingles(line: str) -> np.ndarray:
-    """Sorted distinct shingle hashes of a normalised line."""
-    padded = line if len(line) >= SHINGLE_CHARS else line + "\0" * (SHINGLE_CHARS - len(line))
-    return np.unique(rolling(np.frombuffer(padded.encode("utf-32-le"), np.uint32)))
+def padded(lines: list[str]) -> list[str]:
+    return [x if len(x) >= SHINGLE_CHARS else x + "\0" * (SHINGLE_CHARS - len(x)) for x in lines]
 
 
-def signatures(lines: list[str]) -> np.ndarray:
-    """Minima by bin, one row a line."""
-    found = np.full((len(lines), BINS), NONE, np.uint32)
-    flat = found.ravel()
+def steps(lines: list[str]) -> Iterator[tuple[int, int]]:
+    """(start, end) of runs of lines of about STEP_CHARS characters."""
     start = 0
     while start < len(lines):
         end, total = start, 0
         while end < len(lines) and (end == start or total + len(lines[end]) + SHINGLE_CHARS < STEP_CHARS):
             total += max(len(lines[end]), SHINGLE_CHARS)
             end += 1
-        part = [x if len(x) >= SHINGLE_CHARS else x + "\0" * (SHINGLE_CHARS - len(x)) for x in lines[start:end]]
+        yield start, end
+        start = end
+
+
+def char_shingles(lines: list[str]) -> list[np.ndarray]:
+    """Sorted distinct shingle hashes of each normalised line."""
+    out = []
+    for start, end in steps(lines):
+        part = padded(lines[start:end])
+        h = rolling(np.frombuffer("".join(part).encode("utf-32-le"), np.uint32))
+        at = 0
+        for line in part:
+            own = np.sort(h[at : at + len(line) - SHINGLE_CHARS + 1])
+            out.append(own[np.concatenate(([True], own[1:] != own[:-1]))])
+            at += len(line)
+    return out
+
+
+def signatures(lines: list[str]) -> np.ndarray:
+    """Minima by bin, one row a line."""
+    found = np.full((len(lines), BINS), NONE, np.uint32)
+    flat = found.ravel()
+    for start, end in steps(lines):
+        part = padded(lines[start:end])
         codes = np.frombuffer("".join(part).encode("utf-32-le"), np.uint32)
         sizes = np.fromiter(map(len, part), np.int64, len(part))
         ends = np.cumsum(sizes)
@@ -85,7 +101,6 @@ def signatures(lines: list[str]) -> np.ndarray:
         h = h[whole]
         bins = ((h >> np.uint64(32)) * np.uint64(BINS)) >> np.uint64(32)
         np.minimum.at(flat, row * BINS + bins.astype(np.int64), np.minimum(h.astype(np.uint32), NONE - np.uint32(1)))
-        start = end
     empty = found == NONE
     rows = np.flatnonzero(empty.any(axis=1))
     part, gap = found[rows], empty[rows]
@@ -110,7 +125,7 @@ def band_keys(minima: np.ndarray) -> np.ndarray:
 
 
 def line_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, text_hash, lines, new, keys, bins): ids of a document's lines (null without a word); of those new in its task the keys, and a byte of each bin."""
+    """(doc_id, text_hash, lines, new, keys): ids of a document's lines (null without a word); of those new in its task the keys."""
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,21 +146,17 @@ def line_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 hashes.append(xxhash.xxh3_64_intdigest((text or "").encode()) - (1 << 63))
             new = [[] for _ in lines]
             keys = [[] for _ in lines]
-            bins = [b""] * len(lines)
-            minima = signatures(fresh)
-            small = (minima & np.uint32(0xFF)).astype(np.uint8)
-            for k, ((i, line), row) in enumerate(zip(owners, band_keys(minima), strict=True)):
+            for (i, line), row in zip(owners, band_keys(signatures(fresh)), strict=True):
                 new[i].append(line)
                 keys[i].append(row)
-                bins[i] += small[k].tobytes()
             keys = [np.concatenate(k) if k else np.zeros(0, np.int64) for k in keys]
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(hashes, pa.int64()), pa.array(lines, longs), pa.array(new, longs), pa.array(keys, longs), pa.array(bins, pa.binary())], names=["doc_id", "text_hash", "lines", "new", "keys", "bins"]
+                [batch.column(0), pa.array(hashes, pa.int64()), pa.array(lines, longs), pa.array(new, longs), pa.array(keys, longs)], names=["doc_id", "text_hash", "lines", "new", "keys"]
             )
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(
-        run, "doc_id long, text_hash long, lines array<long>, new array<long>, keys array<long>, bins binary"
+        run, "doc_id long, text_hash long, lines array<long>, new array<long>, keys array<long>"
     )
 
 
@@ -178,41 +189,13 @@ def line_texts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "id long, blob binary")
 
 
-def line_bins(table: DataFrame) -> DataFrame:
-    """(id, payload) of table's new lines."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(0).flatten()
-            flat = b"".join(batch.column(1).to_pylist())
-            payload = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(np.arange(0, len(flat) + BINS, BINS, dtype=np.int32)), pa.py_buffer(flat)])
-            yield pa.RecordBatch.from_arrays([ids, payload], names=["id", "payload"])
-
-    return table.select("new", "bins").mapInArrow(run, "id long, payload binary").dropDuplicates(["id"])
-
-
-class EqualBins(Likely):
-    """Pairs of lines whose signatures agree in enough bins."""
-
-    def prepared(self, payloads: list) -> np.ndarray:
-        return np.frombuffer(b"".join(payloads), np.uint8).reshape(-1, BINS)
-
-    def near(self, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        equal = (at == at[k]).sum(axis=1)
-        found = np.flatnonzero(equal >= LEAST_EQUAL)
-        return found, equal[found]
-
-    def both(self, left: list, right: list) -> np.ndarray:
-        return (self.prepared(left) == self.prepared(right)).sum(axis=1) >= LEAST_EQUAL
-
-
 def judge_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(table, lines): the line ids of every row, and (doc_id, text_hash, line, class_id, kept) of every line with a word."""
     table = staged(line_table(docs, id_col, text_col))
-    members = staged(buckets(keyed_lines(table)).join(line_bins(table), "id"))
+    members = staged(buckets(keyed_lines(table)))
     source = docs.select(F.col(text_col).alias("text"))
-    texts_of = lambda ids: with_ids(line_texts(source), ids).dropDuplicates(["id"])
-    roots = link(members, EqualBins(), texts_of, lambda blob: char_shingles(blob.decode()), NUMERATOR, DENOMINATOR)
+    texts = with_ids(line_texts(source), staged(members.select("id").distinct())).dropDuplicates(["id"])
+    roots = components(link_by_sets(members, texts, lambda blobs: char_shingles([b.decode() for b in blobs]), NUMERATOR, DENOMINATOR))
     own = table.select("doc_id", "text_hash", F.posexplode("lines").alias("line", "id")).where("id is not null")
     placed = own.join(roots, "id", "left").select("doc_id", "text_hash", "line", F.coalesce("root", "id").alias("class_id"))
     place = F.struct("doc_id", "line", "text_hash")

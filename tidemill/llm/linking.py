@@ -26,52 +26,72 @@ BROADCAST_IDS = 1_000_000
 
 
 class Likely:
-    """Which items of a bucket may be linked, by their payloads. Subclasses say how far a payload is from others."""
+    """Which items of a bucket may be linked, by their payloads."""
+
+    #: Items compared with each other at once.
+    chunk = 32
+
+    def prepared(self, payloads: list) -> object:
+        raise NotImplementedError
 
     def near(self, at: object, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(indices, closeness) of all that may be linked with item k, itself included or not."""
         raise NotImplementedError
 
-    def prepared(self, payloads: list) -> object:
-        return payloads
+    def matrix(self, at: object, items: np.ndarray) -> np.ndarray:
+        """Closeness of every two of a few items; 0 where they can't be linked."""
+        raise NotImplementedError
+
+    def order(self, at: object) -> np.ndarray:
+        """All items, with similar ones next to each other."""
+        raise NotImplementedError
 
     def both(self, left: list, right: list) -> np.ndarray:
         """Whether each left item may be linked with the right one."""
-        return np.array([bool((self.near(self.prepared([x, y]), 0)[0] == 1).any()) for x, y in zip(left, right, strict=True)], dtype=bool)
+        raise NotImplementedError
 
     def forest(self, payloads: list) -> tuple[np.ndarray, np.ndarray]:
-        """Each item with its closest earlier one; an item without, that no later one takes, with its closest later one."""
-        at, i, j, later = self.prepared(payloads), [], [], []
-        for k in range(len(payloads)):
+        """Pairs that join what is alike: in chunks of similar items each with its closest earlier one, then the chunks' heads alike.
+
+        Heads that are left are looked up among all items, so every item that may be linked is in a pair.
+        """
+        at, i, j = self.prepared(payloads), [np.zeros(0, int)], [np.zeros(0, int)]
+        level = self.order(at)
+        while len(level) > 1:
+            heads = []
+            for a in range(0, len(level), self.chunk):
+                items = level[a : a + self.chunk]
+                close = np.tril(self.matrix(at, items), -1)
+                best = close.argmax(axis=1)
+                linked = close[np.arange(len(items)), best] > 0
+                i.append(items[linked])
+                j.append(items[best[linked]])
+                heads.append(items[~linked])
+            rest = np.concatenate(heads)
+            if len(rest) == len(level):
+                break
+            level = rest
+        for k in level.tolist() if len(level) > 1 else []:
             found, close = self.near(at, k)
-            others = found != k
-            found, close = found[others], close[others]
-            earlier = found < k
-            if earlier.any():
-                found, close = found[earlier], close[earlier]
+            found, close = found[found != k], close[found != k]
             if len(found):
-                (i if earlier.any() else later).append(k if earlier.any() else (k, int(found[np.lexsort((found, -close))[0]])))
-                if earlier.any():
-                    j.append(int(found[np.lexsort((found, -close))[0]]))
-        taken = set(j)
-        for k, other in later:
-            if k not in taken:
-                i.append(k)
-                j.append(other)
-        return np.array(i, dtype=int), np.array(j, dtype=int)
+                i.append(np.array([k]))
+                j.append(found[[int(np.argmax(close))]])
+        return np.concatenate(i), np.concatenate(j)
 
     def across(self, payloads: list, roots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All pairs of items of different components."""
+        """All pairs of items of different components; items of the largest one are only looked up by others."""
         at, i, j = self.prepared(payloads), [np.zeros(0, int)], [np.zeros(0, int)]
-        for k in range(1, len(payloads)):
+        names, sizes = np.unique(roots, return_counts=True)
+        largest = names[sizes.argmax()]
+        for k in np.flatnonzero(roots != largest).tolist():
             found, _ = self.near(at, k)
-            found = found[(found < k) & (roots[found] != roots[k])]
+            found = found[(roots[found] != roots[k]) & ((found < k) | (roots[found] == largest))]
             i.append(np.full(len(found), k))
             j.append(found)
         return np.concatenate(i), np.concatenate(j)
 
 
-
 def components(edges: DataFrame) -> DataFrame:
     """(id, root) of every id in edges(a, b); root is the smallest id that it is linked with.
 
@@ -262,3 +282,69 @@ def link(
         return roots
     more = staged(verified(others, texts, to_set, numerator, denominator))
     return roots if more.isEmpty() else components(known.unionByName(more))
+
+
+def _linked(sets: list[np.ndarray], numerator: int, denominator: int) -> tuple[list[int], list[int]]:
+    """Links that join the items of each component, by a search that compares found items with those not yet found."""
+    sizes = np.array([len(x) for x in sets])
+    numbers = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    starts = np.concatenate(([0], np.cumsum(sizes)))
+    flag = np.zeros(int(numbers.max(initial=0)) + 1, bool)
+    left, i, j = np.arange(len(sets)), [], []
+    while len(left) > 1:
+        queue, left = [int(left[0])], left[1:]
+        entries, owners = None, None
+        while queue and len(left):
+            k = queue.pop()
+            if entries is None:
+                entries = np.concatenate([numbers[starts[x] : starts[x + 1]] for x in left])
+                owners = np.concatenate(([0], np.cumsum(sizes[left])[:-1]))
+            own = numbers[starts[k] : starts[k + 1]]
+            flag[own] = True
+            shared = np.add.reduceat(flag[entries], owners, dtype=np.int64)
+            flag[own] = False
+            like = denominator * shared >= numerator * (sizes[left] + sizes[k] - shared)
+            if like.any():
+                found = left[like].tolist()
+                i += [k] * len(found)
+                j += found
+                queue += found
+                left, entries = left[~like], None
+    return i, j
+
+
+def link_by_sets(members: DataFrame, texts: DataFrame, to_sets: Callable[[list[bytes]], list[np.ndarray]], numerator: int, denominator: int) -> DataFrame:
+    """(a, b) of verified links that join what is linked in each bucket of members(bucket, id); texts(id, blob) has each id once.
+
+    For items whose texts are small: every text goes to its buckets, whose components are found exactly, so that no
+    pair leaves a task but the links of a spanning forest.
+    """
+
+    def alike(p: np.ndarray, q: np.ndarray) -> bool:
+        if numerator * max(len(p), len(q)) > denominator * min(len(p), len(q)):
+            return False
+        both = np.concatenate((p, q))
+        both.sort()
+        shared = int(np.count_nonzero(both[1:] == both[:-1]))
+        return denominator * shared >= numerator * (len(both) - shared)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, starts, ends in _runs(batches):
+            ids = rows.column(1).to_numpy()
+            _, first, number = np.unique(ids, return_index=True, return_inverse=True)
+            sets = to_sets(rows.column(2).take(pa.array(first)).to_pylist())
+            out_a, out_b = [], []
+            for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
+                own = number[s:e].tolist()
+                if e - s == 2 and alike(sets[own[0]], sets[own[1]]):
+                    i, j = [0], [1]
+                elif e - s > 2:
+                    i, j = _linked([sets[x] for x in own], numerator, denominator)
+                else:
+                    continue
+                out_a += [int(ids[s + x]) for x in i]
+                out_b += [int(ids[s + x]) for x in j]
+            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
+
+    placed = members.join(texts, "id").select("bucket", "id", "blob")
+    return _by_key(placed, "bucket").mapInArrow(run, "a long, b long")

@@ -187,6 +187,15 @@ class PointBound(Likely):
     def near(self, at: RTree, k: int) -> tuple[np.ndarray, np.ndarray]:
         return at.overlapping(at.at[k], self.like.numerator, self.like.denominator)
 
+    def matrix(self, at: RTree, items: np.ndarray) -> np.ndarray:
+        own = at.at[items]
+        bound, sizes = np.minimum(own[:, None, :], own[None, :, :]).sum(axis=2), own.sum(axis=1)
+        good = (self.like.numerator + self.like.denominator) * bound >= self.like.numerator * (sizes[:, None] + sizes[None, :])
+        return np.where(good, bound, 0)
+
+    def order(self, at: RTree) -> np.ndarray:
+        return at.order
+
     def both(self, left: list, right: list) -> np.ndarray:
         out = np.zeros(len(left), bool)
         for i, pair in enumerate(zip(left, right, strict=True)):
@@ -256,7 +265,7 @@ def link_documents(docs: DataFrame, like: Similarity = Similarity(), id_col: str
 
 def keep_one_each(docs: DataFrame, like: Similarity = Similarity(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that are the smallest id of their component, with their columns."""
-    gone = link_documents(docs, like, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias("id")).distinct()
+    gone = link_documents(docs, like, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
     gone = staged(gone)
     small = gone.count() <= 1_000_000
-    return docs.join(F.broadcast(gone) if small else gone, docs[id_col].cast("long") == F.col("id"), "left_anti").select(*docs.columns)
+    return docs.join(F.broadcast(gone) if small else gone, docs[id_col].cast("long") == F.col("__gone"), "left_anti").select(*docs.columns)
