@@ -148,9 +148,9 @@ def estimate(patterns: list[tuple[tuple[int | None, ...], int]], n_rules: int, r
             llr = (seen * np.log(g / b)).sum(axis=(1, 2))
             good = 1 / (1 + np.exp(-(np.log(prior / (1 - prior)) + llr)))
             old = np.concatenate(([prior], g.ravel(), b.ravel()))
-            prior = float(((n * good).sum() + 8.5) / (n.sum() + 10))
-            g = (seen * (n * good)[:, None, None]).sum(0) + 10 * start_good
-            b = (seen * (n * (1 - good))[:, None, None]).sum(0) + 10 * start_bad
+            prior = float(((n * good).sum() + 1.7) / (n.sum() + 2))
+            g = (seen * (n * good)[:, None, None]).sum(0) + 2 * start_good
+            b = (seen * (n * (1 - good))[:, None, None]).sum(0) + 2 * start_bad
             g, b = g / g.sum(1, keepdims=True), b / b.sum(1, keepdims=True)
             most = np.minimum(g[:, 0], MOST_FALSE_ALARMS)
             g = np.column_stack((most, g[:, 1:] * ((1 - most) / g[:, 1:].sum(1))[:, None]))
