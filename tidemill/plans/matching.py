@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from operator import add
 
@@ -119,11 +120,19 @@ def shortlist(ranked_rows: DataFrame, cfg: MatchingConfig | MatchingV2Config) ->
 # --- v2 ---------------------------------------------------------------------------------------------------------
 
 
-def excluded(rows: DataFrame, targets: DataFrame) -> DataFrame:
-    """rows for every target but those of the target campaign itself; targets is a bounded list, broadcast after a check."""
+def without_target(rows: DataFrame, targets: DataFrame, features: Callable[[DataFrame, list[str]], DataFrame]) -> DataFrame:
+    """features of every (target, influencer) without the target campaign's own rows.
+
+    Only influencers with rows of the target are computed anew for it; all others have the features of
+    their whole history. So rows aren't multiplied by the targets. The targets are a bounded list.
+    """
     if targets.count() > 10_000:
         raise ValueError("a replay takes at most 10,000 targets at once; pass them in parts")
-    return rows.join(F.broadcast(targets.select("target_campaign_id")), F.col("campaign_id") != F.col("target_campaign_id"))
+    keys, t = ["target_campaign_id", "influencer_id"], F.broadcast(targets.select("target_campaign_id"))
+    touched = rows.join(t, F.col("campaign_id") == F.col("target_campaign_id")).select(*keys).distinct()
+    whole = features(rows, ["influencer_id"]).crossJoin(t).join(touched, keys, "left_anti")
+    again = features(rows.join(touched, "influencer_id").where(F.col("campaign_id") != F.col("target_campaign_id")), keys)
+    return whole.unionByName(again)
 
 
 def leakage_audit(targets: DataFrame, **rows: DataFrame) -> DataFrame:
@@ -145,13 +154,17 @@ def target_context(people: DataFrame, campaigns: DataFrame, facts: DataFrame, de
     """Features of every (target, influencer) without the target's own rows."""
     keys = ["target_campaign_id", "influencer_id"]
     base = people.crossJoin(F.broadcast(targets.select("target_campaign_id")))
-    parts = [fact_features(excluded(facts, targets), campaigns, keys), deliverable_features(excluded(delivered, targets), keys), performance_features(excluded(performed, targets), keys)]
+    parts = [
+        without_target(facts, targets, lambda rows, by: fact_features(rows, campaigns, by)),
+        without_target(delivered, targets, deliverable_features),
+        without_target(performed, targets, performance_features),
+    ]
     if audience is not None:
-        parts.append(dominant_audience(excluded(audience, targets), keys))
+        parts.append(without_target(audience, targets, dominant_audience))
     if tags is not None:
         columns = [c for c in tags.columns if c.endswith("_tags")]
-        pairs = excluded(facts.select("influencer_id", "campaign_id").distinct(), targets).join(tags, "campaign_id")
-        parts.append(tag_history(pairs, columns, keys))
+        pairs = facts.select("influencer_id", "campaign_id").distinct()
+        parts.append(without_target(pairs, targets, lambda rows, by: tag_history(rows.join(tags, "campaign_id"), columns, by)))
     for part in parts:
         base = base.join(part, keys, "left")
     counts = ["campaign_count", "brand_count", "selected_known_campaign_count", "campaign_history_dq_warn_count", "fee_known_campaign_count", "posted_known_deliverable_count", "performance_record_count", "views_record_count"]

@@ -71,13 +71,15 @@ def normalize_requirements(rows: DataFrame) -> DataFrame:
 
 def audience_profiles(rows: DataFrame, order: Column) -> DataFrame:
     """One row an influencer: dominant gender and age band (of equal counts the one seen first), shares, counts by band, confidence."""
-    r = rows.withColumns({"g": audience_gender(F.col("audience_gender_raw")), "a": audience_age(F.col("audience_age_raw")), "ord": order})
+    raws = ["influencer_id", "audience_gender_raw", "audience_age_raw"]
+    counted = rows.withColumn("ord", order).groupBy(*raws).agg(F.count("*").alias("times"), F.min("ord").alias("ord"))  # texts repeat: each is read once
+    r = counted.withColumns({"g": audience_gender(F.col("audience_gender_raw")), "a": audience_age(F.col("audience_age_raw"))})
     gender = F.when(F.col("g.gender").isin("female", "male", "mixed"), F.col("g.gender"))
     band = F.when(F.col("a.age_min").isNotNull(), F.concat_ws("-", F.col("a.age_min").cast("string"), F.col("a.age_max").cast("string")))
-    flat = r.select("influencer_id", gender.alias("gender"), band.alias("age_band"), "ord")
+    flat = r.select("influencer_id", gender.alias("gender"), band.alias("age_band"), "times", "ord")
 
     def dominant(column: str, name: str) -> DataFrame:
-        counted = flat.where(F.col(column).isNotNull()).groupBy("influencer_id", column).agg(F.count("*").alias("c"), F.min("ord").alias("o"))
+        counted = flat.where(F.col(column).isNotNull()).groupBy("influencer_id", column).agg(F.sum("times").alias("c"), F.min("ord").alias("o"))
         told = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(column).alias("v"), "c"))), lambda s: F.concat(s["v"], F.lit(":"), s["c"].cast("string"))), ";")
         return counted.groupBy("influencer_id").agg(
             F.max_by(column, F.struct("c", -F.col("o"))).alias(f"dominant_{name}"), F.sum("c").alias(f"{name}_observation_count"), (F.max("c") / F.sum("c")).alias(f"dominant_{name}_share"), told.alias(f"{name}_counts")
