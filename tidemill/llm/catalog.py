@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import bpe, decontamination, licenses, line_dedup, ngram_join, quality, secrets, sharding, suffix_dedup, toxicity
+from tidemill.llm import bpe, decontamination, licenses, line_dedup, ngram_join, oracles, quality, secrets, sharding, suffix_dedup, toxicity
 from tidemill.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,7 +44,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", f("n_words"), f("word_chars"), f("n_symbols"), f("n_dup_lines"), f("n_repeat_words"), "base_failed", "kept", "p_good")
 
 
-@query("op4_license_scan")
+@query("op4_license_scan", oracles.LICENSES)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_digest(licenses.scan_licenses(table(spark, sf_dir, "documents")))
 
@@ -74,6 +74,6 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-@query("op10_ngram_jaccard")
+@query("op10_ngram_jaccard", oracles.NGRAM_JOIN)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link_documents(table(spark, sf_dir, "documents"))
