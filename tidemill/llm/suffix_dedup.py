@@ -130,14 +130,17 @@ def anchors(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndar
 
 
 def anchor_table(docs: DataFrame, id_col: str, text_col: str, length: int) -> DataFrame:
-    """(doc_id, digest, n_bytes, grams, places) of every row; anchors only for a text's first row in a task."""
+    """(doc_id, digest, n_bytes, grams) of every row; for a text's first row in a task the distinct grams of its anchors.
+
+    Each is told with whether the text has it more than once, so that a text that repeats itself is one row a gram.
+    """
     bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for batch in batches:
-            digests, sizes, grams, places = [], [], [], []
+            digests, sizes, grams = [], [], []
             for text in batch.column(1):
                 data = text.as_buffer() if text.is_valid else b""
                 digest = hashlib.sha256(data).digest()
@@ -146,27 +149,28 @@ def anchor_table(docs: DataFrame, id_col: str, text_col: str, length: int) -> Da
                 new = len(data) >= length and digest not in seen
                 if new:
                     seen.add(digest)
-                found = anchors(np.frombuffer(data, np.uint8), length) if new else None
-                grams.append(found[0] if new else None)
-                places.append(found[1] if new else None)
-            longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(grams, longs), pa.array(places, longs)], names=["doc_id", "digest", "n_bytes", "grams", "places"]
-            )
+                if not new:
+                    grams.append(None)
+                    continue
+                each, times = np.unique(anchors(np.frombuffer(data, np.uint8), length)[0], return_counts=True)
+                grams.append([{"gram": g, "often": t} for g, t in zip(each.tolist(), (times > 1).tolist(), strict=True)])
+            kind_of = pa.list_(pa.struct([("gram", pa.int64()), ("often", pa.bool_())]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(grams, kind_of)], names=["doc_id", "digest", "n_bytes", "grams"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col)).mapInArrow(run, f"doc_id {kind}, digest binary, n_bytes long, grams array<long>, places array<long>")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col)).mapInArrow(run, f"doc_id {kind}, digest binary, n_bytes long, grams array<struct<gram:long,often:boolean>>")
 
 
 def shared_anchors(table: DataFrame) -> DataFrame:
-    """(digest, places) of the anchors whose gram is another anchor's too."""
+    """(digest, grams) of the grams that are another anchor's too, in the same text or in another."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, starts, ends in _runs(batches):
-            sizes = ends - starts
-            yield rows.select([1, 2]).filter(pa.array(np.repeat(sizes > 1, sizes)))
+            shared = np.repeat(ends - starts > 1, ends - starts) | rows.column(2).to_numpy(zero_copy_only=False)
+            kept = rows.filter(pa.array(shared))
+            yield pa.RecordBatch.from_arrays([kept.column(1), kept.column(0)], names=["digest", "gram"])
 
-    each = table.where("grams is not null").select("digest", F.explode(F.arrays_zip("grams", "places")).alias("a")).select(F.col("a.grams").alias("gram"), "digest", F.col("a.places").alias("place"))
-    return _by_key(each, "gram").mapInArrow(run, "digest binary, place long").groupBy("digest").agg(F.collect_list("place").alias("places"))
+    each = table.where("grams is not null").select("digest", F.explode("grams").alias("a")).select(F.col("a.gram").alias("gram"), "digest", F.col("a.often").alias("often"))
+    return _by_key(each, "gram").mapInArrow(run, "digest binary, gram long").groupBy("digest").agg(F.collect_list("gram").alias("grams"))
 
 
 def texts_by_digest(docs: DataFrame, text_col: str, length: int) -> DataFrame:
@@ -188,24 +192,25 @@ def texts_by_digest(docs: DataFrame, text_col: str, length: int) -> DataFrame:
 
 
 def contexts(candidates: DataFrame, length: int) -> DataFrame:
-    """(gram, digest, doc, start, offset, strings, context) of the anchors of candidates(digest, doc, data, places)."""
+    """(gram, digest, doc, starts, offset, strings, context) of the anchors of candidates(digest, doc, data, grams); equal ones of a text are one row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 data, wanted = batch.column(2)[i].as_py(), batch.column(3)[i].values.to_numpy()
-                gram, place, first, last = anchors(np.frombuffer(data, np.uint8), length)
-                keep = np.isin(place, wanted)
-                gram, place, first, last = gram[keep], place[keep], first[keep], last[keep]
-                n = len(gram)
-                same = lambda column, k=i, n=n: column.take(pa.array([k] * n))
-                cut = [data[a : b + length] for a, b in zip(first.tolist(), last.tolist(), strict=True)]
+                found = anchors(np.frombuffer(data, np.uint8), length)
+                keep = np.isin(found[0], wanted)
+                starts: dict[tuple, list[int]] = {}
+                for g, p, a, b in zip(*[x[keep].tolist() for x in found], strict=True):
+                    starts.setdefault((g, p - a, b - a + 1, data[a : b + length]), []).append(a)
+                gram, offset, strings, cut = zip(*starts, strict=True) if starts else ((), (), (), ())
+                same = lambda column, k=i, n=len(gram): column.take(pa.array([k] * n, pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(gram), same(batch.column(0)), same(batch.column(1)), pa.array(first), pa.array(place - first), pa.array(last - first + 1), pa.array(cut, pa.binary())],
-                    names=["gram", "digest", "doc", "start", "offset", "strings", "context"],
+                    [pa.array(gram, pa.int64()), same(batch.column(0)), same(batch.column(1)), pa.array(list(starts.values()), pa.list_(pa.int64())), pa.array(offset, pa.int64()), pa.array(strings, pa.int64()), pa.array(cut, pa.binary())],
+                    names=["gram", "digest", "doc", "starts", "offset", "strings", "context"],
                 )
 
-    return candidates.select("digest", "doc", "data", "places").mapInArrow(run, "gram long, digest binary, doc long, start long, offset long, strings long, context binary")
+    return candidates.select("digest", "doc", "data", "grams").mapInArrow(run, "gram long, digest binary, doc long, starts array<long>, offset long, strings long, context binary")
 
 
 def _classes(group: list[tuple[bytes, int, int]], length: int) -> list[np.ndarray]:
@@ -247,10 +252,8 @@ def repeated_spans(found: DataFrame, length: int, keep_first: bool) -> DataFrame
             columns = [rows.column(k).to_pylist() for k in range(1, 7)]
             digests, out_start, out_end = [], [], []
             for a, b in zip(firsts.tolist(), ends.tolist(), strict=True):
-                if b - a < 2:
-                    continue
                 own = list(zip(*[c[a:b] for c in columns], strict=True))
-                own.sort(key=lambda r: (r[1] is None, r[1] or 0, r[0], r[2]))
+                own.sort(key=lambda r: (r[1] is None, r[1] or 0, r[0], r[2][0]))
                 distinct: dict[tuple[bytes, int, int], list[int]] = {}
                 for k, (_, _, _, offset, n, data) in enumerate(own):
                     distinct.setdefault((data, offset, n), []).append(k)
@@ -259,28 +262,26 @@ def repeated_spans(found: DataFrame, length: int, keep_first: bool) -> DataFrame
                     classes = [np.arange(keys[0][2])]
                 else:
                     classes = _classes(keys, length)
-                times = np.array([len(distinct[k]) for k in keys])
+                times = np.array([sum(len(own[k][2]) for k in distinct[key]) for key in keys])
+                if times.sum() < 2:
+                    continue
                 flat = np.concatenate(classes)
                 weight = np.repeat(times, [len(c) for c in classes])
                 names, inverse = np.unique(flat, return_inverse=True)
                 repeated = np.bincount(inverse, weight)[inverse] > 1
                 at = 0
                 first_seen = np.zeros(len(names), bool)
-                marks: dict[int, np.ndarray] = {}
                 for key, c in zip(keys, classes, strict=True):
                     part, which = repeated[at : at + len(c)], inverse[at : at + len(c)]
                     at += len(c)
-                    for nth, k in enumerate(distinct[key]):
-                        marks[k] = part
-                        if keep_first and nth == 0:
-                            marks[k] = part & first_seen[which]
+                    later = part & first_seen[which] if keep_first else part
                     first_seen[which] = True
-                for k, mark in marks.items():
-                    edges = np.flatnonzero(np.diff(np.concatenate(([0], mark.astype(np.int8), [0]))))
-                    for s, e in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
-                        digests.append(own[k][0])
-                        out_start.append(own[k][2] + s)
-                        out_end.append(own[k][2] + e - 1 + length)
+                    for nth, (k, start) in enumerate((k, start) for k in distinct[key] for start in own[k][2]):
+                        edges = np.flatnonzero(np.diff(np.concatenate(([0], (part if nth else later).astype(np.int8), [0]))))
+                        for s, e in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+                            digests.append(own[k][0])
+                            out_start.append(start + s)
+                            out_end.append(start + e - 1 + length)
             yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(out_start, pa.int64()), pa.array(out_end, pa.int64())], names=["digest", "start", "end"])
 
     return _by_key(found, "gram").mapInArrow(run, "digest binary, start long, end long")
@@ -323,12 +324,12 @@ def cut_texts(candidates: DataFrame, spans: DataFrame) -> DataFrame:
 def dedup_strings(docs: DataFrame, length: int = LENGTH, keep_first: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans) of every row; spans are the removed runs' starts and ends."""
     table = staged(anchor_table(docs, id_col, text_col, length))
-    places = staged(shared_anchors(table))
-    small = places.count() <= BROADCAST_DIGESTS
+    shared = staged(shared_anchors(table))
+    small = shared.count() <= BROADCAST_DIGESTS
     hint = F.broadcast if small else (lambda df: df)
     classes = table.groupBy("digest").agg(F.count("*").alias("copies"), F.min(F.col("doc_id").cast("long")).alias("doc"))
-    texts = texts_by_digest(docs, text_col, length).join(hint(places.select("digest")), "digest", "left_semi").dropDuplicates(["digest"])
-    candidates = staged(texts.join(places, "digest").join(classes.select("digest", "doc"), "digest"))
+    texts = texts_by_digest(docs, text_col, length).join(hint(shared.select("digest")), "digest", "left_semi").dropDuplicates(["digest"])
+    candidates = staged(texts.join(shared, "digest").join(classes.select("digest", "doc"), "digest"))
     spans = repeated_spans(contexts(candidates, length), length, keep_first)
     cut = staged(cut_texts(candidates, spans))
     rows = table.select("doc_id", "digest", "n_bytes").join(classes, "digest").join(cut, "digest", "left")
