@@ -54,14 +54,27 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
-def staged(df: DataFrame) -> DataFrame:
+#: Staged tables that `release` may delete.
+_releasable: list[str] = []
+
+
+def staged(df: DataFrame, keep: bool = False) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back.
 
     This cuts the lineage: lost executors cost no recomputation beyond this table, and what is
-    read twice is computed once. The table is deleted when the driver ends.
+    read twice is computed once. The table is deleted when the driver ends, or by `release`
+    unless it is to be kept.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_delete, spark, path)
+    if not keep:
+        _releasable.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the tables staged so far. For steps whose predecessors' results are written and no longer read."""
+    while _releasable:
+        _delete(spark, _releasable.pop())

@@ -21,6 +21,8 @@ from tidemill.llm.common import staged
 
 #: Buckets of more items are cut into parts of this size, and every two parts are taken together.
 PART = 4096
+#: Likely pairs an item, on average, beyond which a bucket gives a forest first.
+MANY = 4
 #: Candidate ids are broadcast up to this number, and joined by a shuffle beyond it.
 BROADCAST_IDS = 1_000_000
 
@@ -79,6 +81,24 @@ class Likely:
                 j.append(found[[int(np.argmax(close))]])
         return np.concatenate(i), np.concatenate(j)
 
+    def pairs(self, payloads: list) -> tuple[np.ndarray, np.ndarray, bool]:
+        """(i, j, whether pairs were left out): all pairs that may be linked, or a forest where they are many."""
+        at, n = self.prepared(payloads), len(payloads)
+        if n <= self.chunk:
+            i, j = np.nonzero(np.tril(self.matrix(at, np.arange(n)), -1))
+        else:
+            i, j, total = [np.zeros(0, int)], [np.zeros(0, int)], 0
+            for k in range(1, n):
+                found = self.near(at, k)[0]
+                found = found[found < k]
+                i.append(np.full(len(found), k))
+                j.append(found)
+                total += len(found)
+                if total > MANY * n:
+                    break
+            i, j = np.concatenate(i), np.concatenate(j)
+        return (i, j, False) if len(i) <= MANY * n else (*self.forest(payloads), True)
+
     def across(self, payloads: list, roots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All pairs of items of different components; items of the largest one are only looked up by others."""
         at, i, j = self.prepared(payloads), [np.zeros(0, int)], [np.zeros(0, int)]
@@ -189,7 +209,10 @@ def buckets(keyed: DataFrame) -> DataFrame:
 
 
 def likely_pairs(members: DataFrame, likely: Likely) -> DataFrame:
-    """Distinct (a, b), a < b, of members(bucket, id, payload): a forest of each bucket; with a column root, all pairs across components."""
+    """Distinct (a, b, dense) of members(bucket, id, payload), a < b: all likely pairs of a bucket, or a forest of one that has many.
+
+    A bucket with a forest adds a row (bucket, bucket, true). With a column root: all likely pairs across components.
+    """
     rooted = "root" in members.columns
     columns = ["bucket", "id", "payload", *(["root"] if rooted else [])]
 
@@ -201,7 +224,7 @@ def likely_pairs(members: DataFrame, likely: Likely) -> DataFrame:
             if rooted:
                 two = two[all_roots[two] != all_roots[two + 1]]
             two = two[likely.both(payloads.take(pa.array(two)).to_pylist(), payloads.take(pa.array(two + 1)).to_pylist())] if len(two) else two
-            out_a, out_b = [np.minimum(ids[two], ids[two + 1])], [np.maximum(ids[two], ids[two + 1])]
+            out_a, out_b, dense = [np.minimum(ids[two], ids[two + 1])], [np.maximum(ids[two], ids[two + 1])], []
             for k in np.flatnonzero(sizes > 2).tolist():
                 at = slice(int(starts[k]), int(ends[k]))
                 roots = all_roots[at] if rooted else None
@@ -210,13 +233,18 @@ def likely_pairs(members: DataFrame, likely: Likely) -> DataFrame:
                 order = np.argsort(ids[at], kind="stable")
                 own = ids[at][order]
                 values = payloads.slice(at.start, at.stop - at.start).take(pa.array(order)).to_pylist()
-                i, j = likely.across(values, roots[order]) if rooted else likely.forest(values)
+                i, j, left_out = (*likely.across(values, roots[order]), False) if rooted else likely.pairs(values)
+                if left_out:
+                    dense.append(rows.column(0)[at.start].as_py())
                 out_a.append(np.minimum(own[i], own[j]))
                 out_b.append(np.maximum(own[i], own[j]))
-            if sum(map(len, out_a)):
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out_a, out_b)], names=["a", "b"])
+            n = sum(map(len, out_a))
+            if n or dense:
+                marks = np.array(dense, dtype=np.int64)
+                told = [pa.array(np.concatenate([*x, marks])) for x in (out_a, out_b)]
+                yield pa.RecordBatch.from_arrays([*told, pa.array([False] * n + [True] * len(dense))], names=["a", "b", "dense"])
 
-    return _by_key(members.select(*columns), "bucket").mapInArrow(run, "a long, b long").distinct()
+    return _by_key(members.select(*columns), "bucket").mapInArrow(run, "a long, b long, dense boolean").distinct()
 
 
 def with_ids(df: DataFrame, ids: DataFrame) -> DataFrame:
@@ -270,14 +298,17 @@ def link(
     texts_of(ids) gives (id, blob) of the ids asked for; equal(a, b) has links known without verification.
     Every item that may be linked with another is in the forest, whose texts serve both steps.
     """
-    pairs = staged(likely_pairs(members, likely))
+    found = staged(likely_pairs(members, likely))
+    pairs, dense = found.where("not dense").select("a", "b"), found.where("dense").select(F.col("a").alias("bucket"))
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     texts = staged(texts_of(staged(ids)))
     edges = verified(pairs, texts, to_set, numerator, denominator)
     known = staged(edges if equal is None else edges.unionByName(equal))
     roots = components(known)
-    placed = members.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    others = staged(likely_pairs(placed, likely).join(pairs, ["a", "b"], "left_anti"))
+    if dense.isEmpty():
+        return roots
+    placed = members.join(dense, "bucket", "left_semi").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    others = staged(likely_pairs(placed, likely).select("a", "b").join(pairs, ["a", "b"], "left_anti"))
     if others.isEmpty():
         return roots
     more = staged(verified(others, texts, to_set, numerator, denominator))

@@ -64,8 +64,8 @@ class Similarity:
         return ends
 
 
-#: Coordinates of a point; larger sets take the finer vector.
-COARSE, FINE, FINE_FROM = 32, 256, 1600
+#: Coordinates of a point by the size of its set, so that unrelated sets' bounds stay below the threshold.
+COORDINATES = ((400, 64), (2500, 256), (1 << 62, 1024))
 LEAF = 32
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 
@@ -91,7 +91,7 @@ def shingles(data: bytes, hashes: WordHashes, size: int = 3) -> np.ndarray:
     if not words:
         return np.zeros(0, np.uint64)
     h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    if len(hashes) > 1 << 19:
+    if len(hashes) > 1 << 17:
         hashes.clear()
     k = min(size, len(h))
     total = np.full(len(h) - k + 1, k, np.uint64)
@@ -126,13 +126,15 @@ def bucket_keys(found: np.ndarray, ends: np.ndarray, like: Similarity) -> np.nda
 
 def counts(found: np.ndarray) -> bytes:
     """The point of a set."""
-    size = FINE if len(found) >= FINE_FROM else COARSE
-    return np.bincount((mixed(found) >> np.uint64(40)).astype(np.int64) % size, minlength=size).astype("<u4").tobytes()
+    size = next(k for most, k in COORDINATES if len(found) < most)
+    at = np.bincount((mixed(found) >> np.uint64(40)).astype(np.int64) % size, minlength=size)
+    return zstandard.ZstdCompressor(level=1).compress(at.astype("<u4").reshape(-1, 1).view(np.uint8).T.tobytes())
 
 
 def points(blobs: list[bytes]) -> np.ndarray:
     """Points of one bucket as rows of one matrix; finer ones are folded if there are coarser ones."""
-    rows = [np.frombuffer(b, "<u4").astype(np.int64) for b in blobs]
+    unpacker = zstandard.ZstdDecompressor()
+    rows = [np.frombuffer(unpacker.decompress(b), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64) for b in blobs]
     size = min(map(len, rows))
     return np.stack([r if len(r) == size else r.reshape(-1, size).sum(0) for r in rows])
 
@@ -141,6 +143,17 @@ class RTree:
     """Sort-tile-recursive leaves over points, with the largest coordinates of each node on every level."""
 
     def __init__(self, at: np.ndarray):
+        self.at = at
+
+    def __getattr__(self, name: str) -> object:
+        """Nodes are made when they are first asked for: a bucket of one leaf needs none."""
+        if name not in ("order", "leaves", "levels", "least"):
+            raise AttributeError(name)
+        self._build()
+        return self.__dict__[name]
+
+    def _build(self) -> None:
+        at = self.at
         order = np.arange(len(at))
         spread = np.argsort(-at.std(axis=0), kind="stable")[:2]
         slabs = max(1, int(np.ceil(np.sqrt(len(at) / LEAF))))
@@ -148,7 +161,6 @@ class RTree:
         tiles = [t[np.argsort(at[t, spread[0]], kind="stable")] for t in np.array_split(order, slabs)]
         self.order = np.concatenate(tiles)
         self.leaves = [self.order[i : i + LEAF] for i in range(0, len(self.order), LEAF)]
-        self.at = at
         self.levels = [np.stack([at[x].max(axis=0) for x in self.leaves])]
         while len(self.levels[-1]) > LEAF:
             below = self.levels[-1]
@@ -204,33 +216,48 @@ class PointBound(Likely):
         return out
 
 
-def shingle_table(docs: DataFrame, like: Similarity, id_col: str, text_col: str) -> DataFrame:
-    """(id, n, digest, keys, point) of every row; keys and point only for a set's first row in a task."""
-    bounded_batches(docs.sparkSession)
+def new_sets(batch: pa.RecordBatch, like: Similarity, hashes: WordHashes, seen: set[bytes]) -> Iterator[tuple[int, np.ndarray, bytes, bool]]:
+    """(row, set, digest, whether it is a set's first row in the task that has an id) of rows (id, text)."""
+    for k, (id_, text) in enumerate(zip(batch.column(0), batch.column(1), strict=True)):
+        found = shingles(normal(text.as_py()), hashes, like.words)
+        digest = xxhash.xxh3_128_digest(found.tobytes())
+        new = bool(len(found)) and id_.is_valid and digest not in seen
+        if new:
+            seen.add(digest)
+        yield k, found, digest, new
+
+
+def shingle_table(source: DataFrame, like: Similarity) -> DataFrame:
+    """(id, n, digest, point) of every row of source(id, text); a set without shingles has no point."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            rows = [(len(found), digest, counts(found) if len(found) else None) for _, found, digest, _ in new_sets(batch, like, hashes, set())]
+            sizes, digests, at = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(at, pa.binary())], names=["id", "n", "digest", "point"])
+
+    return source.mapInArrow(run, "id long, n long, digest binary, point binary")
+
+
+def keyed_documents(source: DataFrame, like: Similarity) -> DataFrame:
+    """(key, id) of the sets of source(id, text), each once in a task; sets are made anew rather than kept on disk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen = WordHashes(), set()
         ends = np.array(like.bands(64), dtype=np.int64)
         for batch in batches:
-            sizes, digests, keys, at = [], [], [], []
-            for id_, text in zip(batch.column(0), batch.column(1), strict=True):
-                found = shingles(normal(text.as_py()), hashes, like.words)
-                digest = xxhash.xxh3_128_digest(found.tobytes())
-                new = len(found) and id_.is_valid and digest not in seen
+            keys, owners = [np.zeros(0, np.int64)], []
+            for k, found, _, new in new_sets(batch, like, hashes, seen):
+                if not new:
+                    continue
                 if len(found) * 2 > ends[-1]:
                     ends = np.array(like.bands(len(found) * 4), dtype=np.int64)
-                if new:
-                    seen.add(digest)
-                sizes.append(len(found))
-                digests.append(digest)
-                keys.append(bucket_keys(found, ends, like) if new else None)
-                at.append(counts(found) if new else None)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(at, pa.binary())],
-                names=["id", "n", "digest", "keys", "point"],
-            )
+                keys.append(bucket_keys(found, ends, like))
+                owners += [k] * len(keys[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), batch.column(0).take(pa.array(owners, pa.int64()))], names=["key", "id"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col)).mapInArrow(run, "id long, n long, digest binary, keys array<long>, point binary")
+    return source.mapInArrow(run, "key long, id long")
 
 
 def packed_texts(docs: DataFrame) -> DataFrame:
@@ -247,13 +274,14 @@ def packed_texts(docs: DataFrame) -> DataFrame:
 
 def link_documents(docs: DataFrame, like: Similarity = Similarity(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of docs."""
-    table = staged(shingle_table(docs, like, id_col, text_col))
+    bounded_batches(docs.sparkSession)
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    table = staged(shingle_table(source, like))
     has = table.where("n > 0 and id is not null")
     first = has.groupBy("digest").agg(F.min("id").alias("a"))
     equal = staged(has.select("id", "digest").join(first, "digest").where("a <> id").select("a", F.col("id").alias("b")).distinct())
-    at = table.where("point is not null").select("id", "point").dropDuplicates(["id"])
-    members = staged(buckets(table.where("keys is not null").select(F.explode("keys").alias("key"), "id")).join(at.withColumnRenamed("point", "payload"), "id"))
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    at = table.where("point is not null and id is not null").select("id", "point").dropDuplicates(["id"])
+    members = staged(buckets(keyed_documents(source, like)).join(at.withColumnRenamed("point", "payload"), "id"))
     hashes = WordHashes()
 
     def to_set(blob: bytes) -> np.ndarray:

@@ -33,6 +33,8 @@ MAX_ROWS, LEAST_DOCS = 6000, 4
 FOLDS, STEPS, L2 = 3, 30, 1.0
 #: Standard errors by which a word's log odds have to differ between the classes.
 LEAST_Z = 4.0
+#: Probability from which a document counts as toxic.
+THRESHOLD = 0.3
 WORD = re.compile(r"[^\W_]+")
 #: Lengths of word beginnings; and the count and share of words from which one is dense.
 BEGINNINGS, DENSE_COUNT, DENSE_SHARE = (5, 6), 2, 0.008
@@ -125,7 +127,7 @@ def fit_linear(rows: Rows, earlier: np.ndarray, y: np.ndarray) -> Linear:
         hessian = (x * h[:, None]).T @ x + np.diag([L2] * len(w) + [1e-6])
         step = np.linalg.solve(hessian, np.append(dense.T @ (p - y) + L2 * w, (p - y).sum()))
         w, b = w - step[:-1], b - step[-1]
-        if np.abs(step).max() < 1e-6:
+        if np.abs(step).max() < 1e-3:
             break
     weights = np.zeros(rows.n_columns)
     weights[use] = w[: len(w) - k]
@@ -240,4 +242,4 @@ def toxic_documents(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS
     toxic = F.col("toxic") == 1
     categories = {"insult": toxic & with_word(INSULTS), "contempt": toxic & with_word(CONTEMPT), "toxic": toxic}
     column, chain = train(docs, labels, categories, max_rows=max_rows)
-    return predict(docs, column, chain, list(categories)).withColumn("toxic", F.col("p_toxic") >= 0.5)
+    return predict(docs, column, chain, list(categories)).withColumn("toxic", F.col("p_toxic") >= THRESHOLD)
