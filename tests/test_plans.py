@@ -210,3 +210,12 @@ def test_ranking_is_deterministic(spark):
     rows = features_of(spark, "/root/testdata/sf0.001")
     first = matching.rank_candidates(rows, matching.V1).select("influencer_id", "rank").orderBy("influencer_id").collect()
     assert first == matching.rank_candidates(rows.orderBy(F.rand(3)), matching.V1).select("influencer_id", "rank").orderBy("influencer_id").collect()
+
+
+def test_pii_scan_reads_whole_texts(spark):
+    from tidemill.plans.requirements import scanned_texts
+
+    long = "word " * 100 + "call 081-234-5678 now"
+    docs = spark.createDataFrame([(k, long, "web") for k in range(12)] + [(12, None, None)], "doc_id long, text string, source string")
+    found = {r.doc_id: r.scanned for r in scanned_texts(docs).collect()}
+    assert all(found[k].startswith(long) for k in range(12)) and found[12] == " 081-234-5678"
