@@ -219,3 +219,12 @@ def test_pii_scan_reads_whole_texts(spark):
     docs = spark.createDataFrame([(k, long, "web") for k in range(12)] + [(12, None, None)], "doc_id long, text string, source string")
     found = {r.doc_id: r.scanned for r in scanned_texts(docs).collect()}
     assert all(found[k].startswith(long) for k in range(12)) and found[12] == " 081-234-5678"
+
+
+def test_feedback_eval_ranks_more_than_a_million_customers(spark, tmp_path):
+    n = 1_000_005
+    spark.range(1, n + 1).select(F.col("id").alias("c_custkey"), (F.col("id") % 1000).cast("double").alias("c_acctbal")).write.parquet(str(tmp_path / "customer.parquet"))
+    r = feedback.feedback_query(spark, str(tmp_path)).first()
+    order = sorted(range(1, n + 1), key=lambda k: (-(k % 1000), k))
+    ranks = [i for i, k in enumerate(order, 1) if k % 3 == 0]
+    assert (r.review_count, r.selected_count, r.mean_selected_rank) == (n, len(ranks), round(sum(ranks) / len(ranks), 4))

@@ -58,5 +58,18 @@ def top_n(df: DataFrame, eligible: Column, order: list[Column], n: int, partitio
     return df.where(eligible).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
+def with_row_number(df: DataFrame, order: list[Column], output: str) -> DataFrame:
+    """df with `output`, the number of each row from 1 by an order without ties, over all rows and without a bound.
+
+    Rows are ordered by ranges and numbered within each, and the ranges' totals (one row each) are
+    added. The ranges are drawn from a sample, so they are kept: rows and totals must see the same ones.
+    """
+    ranged = df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()).persist()
+    totals = ranged.groupBy("__part").agg(F.count("*").alias("__total"))
+    before = totals.select("__part", F.coalesce(F.sum("__total").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    inner = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    return ranged.withColumn("__in", inner).join(before, "__part").withColumn(output, F.col("__before") + F.col("__in")).drop("__part", "__in", "__before")
+
+
 def review_priority(rank: Column, primary_limit: int) -> Column:
     return F.when(rank <= primary_limit, "primary_review").otherwise("backup_review")

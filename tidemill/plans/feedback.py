@@ -9,7 +9,7 @@ from tidemill.catalog import query, read_table
 from tidemill.functions.parse import parse_float, source_truth
 from tidemill.functions.text import safe_text
 from tidemill.operators.dedupe import last_of_each
-from tidemill.operators.ranking import review_priority, top_n
+from tidemill.operators.ranking import review_priority, with_row_number
 
 #: Decisions, and states of a campaign's execution.
 HUMAN_DECISIONS = ["selected", "rejected", "hold"]
@@ -108,7 +108,7 @@ def rates(rows: DataFrame, top_k: int) -> DataFrame:
 )
 def feedback_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = read_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("influencer_id"), F.col("c_acctbal").alias("total_score"))
-    ranked = top_n(c, F.lit(True), [F.desc("total_score"), F.asc("influencer_id")], 1_000_000)
+    ranked = with_row_number(c, [F.desc("total_score"), F.asc("influencer_id")], "rank")
     reviews = ranked.withColumn("human_decision", F.when(F.col("influencer_id") % 3 == 0, "selected").otherwise("rejected"))
     results = reviews.select("influencer_id", F.lit("completed").alias("execution_status"), F.when(F.col("influencer_id") % 2 == 0, "yes").otherwise("no").alias("business_success"))
     out = evaluate(reviews, results, "agreed definition", 30, F.lit(0))
