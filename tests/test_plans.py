@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tidemill import catalog
 from tidemill.config import WEIGHTS_V1, MatchingConfig, campaign_map
 from tidemill.contracts import CONTRACTS
 from tidemill.operators.upsert import upsert, upsert_counts
@@ -228,3 +229,11 @@ def test_feedback_eval_ranks_more_than_a_million_customers(spark, tmp_path):
     order = sorted(range(1, n + 1), key=lambda k: (-(k % 1000), k))
     ranks = [i for i, k in enumerate(order, 1) if k % 3 == 0]
     assert (r.review_count, r.selected_count, r.mean_selected_rank) == (n, len(ranks), round(sum(ranks) / len(ranks), 4))
+
+
+def test_replay_and_audit_take_every_part_of_the_size(spark):
+    parts = {r.p_partkey for r in spark.read.parquet("/root/testdata/sf0.001/part.parquet").where("p_size = 7").collect()}
+    suppliers = spark.read.parquet("/root/testdata/sf0.001/supplier.parquet").count()
+    scored = catalog.QUERIES["match_v2_replay_whole"](spark, "/root/testdata/sf0.001").collect()
+    audited = catalog.QUERIES["leakage_audit_whole"](spark, "/root/testdata/sf0.001").collect()
+    assert parts and {r.target_campaign_id for r in scored} == parts == {r.target_campaign_id for r in audited} and len(scored) == len(parts) * suppliers

@@ -9,7 +9,7 @@ from operator import add
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.catalog import query, read_table
+from tidemill.catalog import ORACLES, query, read_table
 from tidemill.config import WEIGHTS_V1, WEIGHTS_V2, MatchingConfig, MatchingV2Config
 from tidemill.functions.requirements import age_fit, bounded_score, gender_fit, tag_coverage
 from tidemill.functions.text import codes
@@ -287,24 +287,28 @@ def percentile_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_percentile_rank(read_table(spark, sf_dir, "part"), "p_size", "size_percentile").select("p_partkey", F.round("size_percentile", 6).alias("size_percentile"))
 
 
-def replay_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: The filter of the target list in the SQL of match_v2_replay and leakage_audit, which leaves out four in five parts of the size.
+SQL_TARGETS = "campaign_id % 5 = 0"
+
+
+def replay_targets(spark: SparkSession, sf_dir: str, only: str = "true") -> DataFrame:
     """The parts of one size as target campaigns, a list that a replay is bounded by."""
     words = F.split("campaign_name", " ")
-    return registry(spark, sf_dir).where("p_size = 7 and campaign_id % 5 = 0").select(
+    return registry(spark, sf_dir).where("p_size = 7").where(only).select(
         F.col("campaign_id").alias("target_campaign_id"), F.lit("tiktok").alias("platform"), F.lit("all").alias("target_gender_mode"), F.lit(0.5).alias("female_target_share"), F.lit(0.5).alias("male_target_share"),
         F.lit(18).alias("target_age_min"), F.lit(34).alias("target_age_max"), F.array_distinct(words).alias("theme_tags"), F.array(F.col("campaign_type")).alias("persona_tags"), F.array().cast("array<string>").alias("style_tags"),
         F.lit("influencer_tiktok").alias("primary_budget_scope"), F.lit(45000.0).alias("primary_budget_amount"),
     )
 
 
-def replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+def replay(spark: SparkSession, sf_dir: str, only: str = "true") -> DataFrame:
     campaigns, obs = registry(spark, sf_dir), observations(spark, sf_dir)
     tags = campaigns.select("campaign_id", F.array_distinct(F.split("campaign_name", " ")).alias("theme_tags"), F.array("campaign_type").alias("persona_tags"), F.array().cast("array<string>").alias("style_tags"))
     audience = obs.select(
         "campaign_id", "influencer_id", F.when(F.col("selected"), "female").when(~F.col("selected"), "male").alias("gender"),
         F.when(F.col("confirmed"), "18-24").otherwise("25-34").alias("age_band"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"),
     )
-    targets = replay_targets(spark, sf_dir)
+    targets = replay_targets(spark, sf_dir, only)
     context = target_context(masters(spark, sf_dir), campaigns, campaign_facts(obs), deliverables(spark, sf_dir), performance(spark, sf_dir), targets, audience, tags)
     return score_targets(context, targets, V2)
 
@@ -331,7 +335,17 @@ def replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT t AS target_campaign_id, i AS influencer_id, round(total, 3) AS total_score, CASE WHEN total IS NULL THEN 'ineligible' ELSE 'eligible' END AS eligibility_status, 0.95 :: DOUBLE AS active_weight_sum FROM tt""",
 )
 def v2_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replay(spark, sf_dir).select("target_campaign_id", "influencer_id", F.round("total_score", 3).alias("total_score"), "eligibility_status", F.round("active_weight_sum", 6).alias("active_weight_sum"))
+    return scores_of(replay(spark, sf_dir, SQL_TARGETS))
+
+
+def scores_of(scored: DataFrame) -> DataFrame:
+    return scored.select("target_campaign_id", "influencer_id", F.round("total_score", 3).alias("total_score"), "eligibility_status", F.round("active_weight_sum", 6).alias("active_weight_sum"))
+
+
+@query("match_v2_replay_whole", ORACLES["match_v2_replay"].replace(" AND p_partkey % 5 = 0", ""))
+def v2_whole_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """match_v2_replay over every part of the size."""
+    return scores_of(replay(spark, sf_dir))
 
 
 @query(
@@ -340,5 +354,15 @@ def v2_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM part LEFT JOIN lineitem ON l_partkey = p_partkey WHERE p_size = 7 AND p_partkey % 5 = 0 GROUP BY 1""",
 )
 def audit_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_of(spark, sf_dir, SQL_TARGETS)
+
+
+def audit_of(spark: SparkSession, sf_dir: str, only: str = "true") -> DataFrame:
     obs = observations(spark, sf_dir)
-    return leakage_audit(replay_targets(spark, sf_dir), observations=obs, facts=campaign_facts(obs))
+    return leakage_audit(replay_targets(spark, sf_dir, only), observations=obs, facts=campaign_facts(obs))
+
+
+@query("leakage_audit_whole", ORACLES["leakage_audit"].replace(" AND p_partkey % 5 = 0", ""))
+def audit_whole_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """leakage_audit over every part of the size."""
+    return audit_of(spark, sf_dir)
