@@ -264,6 +264,18 @@ def test_secrets_spans_and_entropy(spark, documents):
     assert "entropy:4:" in got[at]["spans"] and "entropy" not in got[at + 1]["spans"] and "entropy" not in got[at + 2]["spans"]
 
 
+def test_random_tokens_of_every_alphabet_are_found(spark):
+    r = random.Random(5)
+    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    kinds = [(lower + digits, 24), (upper + "234567", 24), (upper + "234567", 32), (lower, 24), (lower + upper, 20), (lower + upper + digits, 16), (lower + upper + digits + "+/", 24), (digits + "abcdef", 20)]
+    tokens = ["".join(r.choice(a) for _ in range(n)) for a, n in kinds for _ in range(60)]
+    words = ["internationalisation", "Content-Disposition", "getUserAccountSettings", "docs/en/some-long-title-of-a-page", "abcdefghijklmnopqrst", "1234567890123456"]
+    held = ["docs/example/" + "".join(r.choice(lower + upper + digits) for _ in range(40)) for _ in range(20)]
+    got = {x["doc_id"]: x["spans"] for x in secrets.secret_digest(secrets.scan_secrets(frame(spark, ["see " + t for t in tokens + held + words]))).collect()}
+    n = len(tokens) + len(held)
+    assert sum("entropy" in got[i] for i in range(n)) >= 0.99 * n and all(got[n + i] == "" for i in range(len(words)))
+
+
 def test_entropy_windows_equal_a_plain_version(spark):
     r = random.Random(4)
     words = ["".join(r.choice("abcdef0123456789" if k % 2 else "ab1") for _ in range(r.randint(24, 80))) for k in range(30)]

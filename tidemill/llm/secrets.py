@@ -3,10 +3,17 @@
 Spans are code points, end exclusive. Their places come from the lengths of what stands between
 the matches, since SQL's regular expressions return no positions.
 
-The entropy kind slides a window over each candidate (a run of token characters) and updates the
-sum of c * log2(c) by the counts of the character that leaves and the one that enters. Windows
-at or over the threshold of the candidate's character class merge into spans. A span that
-contains an allow-listed text is suppressed; the three fixed kinds never are.
+The entropy kind slides a window over each candidate and updates the sum of c * log2(c) by the
+counts of the character that leaves and the one that enters. A candidate is a run of letters and
+digits, or a run of token characters with separators (+ / _ = -) among them; a secret behind a
+separator is thus scored by its own alphabet too. A window has 24 characters, or all of a shorter
+candidate of 16 at least. It is hot from an entropy that a window of random characters of the
+candidate's alphabet falls below by chance once in some hundreds (`DEVIATIONS` below the mean).
+Hot windows merge into spans. A span of one candidate that contains an allow-listed text, or is
+part of one, is suppressed; the three fixed kinds never are.
+
+Not scored, since their entropy is that of natural words: letters of a single case or capitalized,
+below 24 characters; camel case, and words joined by separators. Digits alone are scored from 24.
 
 Cases: a null text counts as an empty one; a text without matches gives zero counts, the hash of
 the empty string and no spans; long texts are linear in their matches up to chunks of 1,024;
@@ -15,6 +22,8 @@ equal rows give equal results; other columns are ignored; an empty table gives a
 
 from __future__ import annotations
 
+from math import comb, log2, sqrt
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,10 +36,29 @@ KINDS = {
     "access": (ACCESS, 0, 16, r"AKIA[A-Z0-9]{12,}"),
     "hex": (HEX, 0, 32, r"[0-9a-f]{32,}"),
 }
-WINDOW = 24
-CANDIDATE = r"[A-Za-z0-9+/_=-]{24,}"
-#: Class of a candidate: (what it matches in full, least entropy in bits of a window)
-CLASSES = {"hex": (r"^[0-9A-Fa-f]+$", 2.9), "mixed": (r"^(?=.*[0-9])(?=.*[A-Za-z]).*$", 3.9)}
+#: Characters of a window, and of the shortest candidate.
+WINDOW, LEAST = 24, 16
+#: Standard deviations below the mean entropy of random characters at which a window is hot.
+DEVIATIONS = 3.5
+RUN = r"[A-Za-z0-9]{16,}"
+TOKEN = r"[A-Za-z0-9+/_=-]{16,}"
+#: Texts that look like words, which no random token does.
+NAMES = r"^(?:[A-Z]?[a-z]{2,}+(?:[A-Z][a-z]{2,}+)++|(?=[^+/_=-]*+[+/_=-])[+/_=-]*+(?:(?:[A-Z]?[a-z]++|[A-Z]++)(?:[+/_=-]++|$))++)$"
+#: Class of a candidate, the first that it matches: (pattern, size of the alphabet, least length); 0: not scored.
+CLASSES = {
+    "names": (NAMES, 0, LEAST),
+    "digits": (r"^[0-9]+$", 16, WINDOW),
+    "hex": (r"^[0-9A-Fa-f]+$", 16, LEAST),
+    "word": (r"^(?:[A-Z]?[a-z]+|[A-Z]+)$", 26, WINDOW),
+    "base32": (r"^(?:[a-z2-7]+|[A-Z2-7]+)$", 32, LEAST),
+    "single": (r"^(?:[a-z0-9]+|[A-Z0-9]+)$", 36, LEAST),
+    "letters": (r"^[A-Za-z]+$", 52, LEAST),
+    "base62": (r"^[A-Za-z0-9]+$", 62, LEAST),
+    "base64": (r"^(?=.*[a-z])(?=.*[A-Z]).*$", 64, LEAST),
+    "mixed": (r"^(?=.*[0-9])(?=.*[A-Za-z]).*$", 36, WINDOW),
+}
+#: Least entropy of a window of `mixed`, whose words and numbers joined by separators reach that of a random token.
+MIXED_BITS = 3.9
 #: Texts of documentation and alphabets, which are no secrets.
 ALLOWED = [
     "example",
@@ -84,22 +112,44 @@ def _clogc(count: F.Column) -> F.Column:
     return F.when(count > 0, count * F.log2(count.cast("double"))).otherwise(F.lit(0.0))
 
 
-def hot_windows(word: F.Column, least: F.Column, window: int = WINDOW) -> F.Column:
+def random_entropy(alphabet: int, n: int) -> tuple[float, float]:
+    """Mean and standard deviation, in bits, of the entropy of n uniform characters of an alphabet."""
+    f = [c * log2(c) if c else 0.0 for c in range(n + 1)]
+    one = [comb(n, c) * (alphabet - 1) ** (n - c) / alphabet**n for c in range(n + 1)]
+    mean, square = sum(p * x for p, x in zip(one, f)), sum(p * x * x for p, x in zip(one, f))
+    cross = sum(comb(n, c) * comb(n - c, d) * (alphabet - 2) ** (n - c - d) / alphabet**n * f[c] * f[d] for c in range(n + 1) for d in range(n + 1 - c))
+    variance = alphabet * square + alphabet * (alphabet - 1) * cross - (alphabet * mean) ** 2
+    return log2(n) - alphabet * mean / n, sqrt(variance) / n
+
+
+def least_bits(name: str, n: int) -> float | None:
+    """The least entropy of a hot window of n characters in a candidate of a class; None where it isn't scored."""
+    _, alphabet, least = CLASSES[name]
+    if not alphabet or n < least:
+        return None
+    if name == "mixed":
+        return MIXED_BITS
+    mean, deviation = random_entropy(alphabet, n)
+    return mean - DEVIATIONS * deviation
+
+
+def hot_windows(word: F.Column, least: F.Column, window: int | F.Column = WINDOW) -> F.Column:
     """Merged spans (start, end) of the windows of `word` whose entropy is at least `least`, as offsets in it."""
+    window = F.lit(window)
     pair = "array<struct<start:int,end:int>>"
-    chars = F.split(word, "")
     count = lambda part, c: F.size(F.filter(part, lambda x: x == c))
-    first = F.slice(chars, 1, window)
-    start = F.struct(
-        F.aggregate(F.transform(first, lambda c: F.log2(count(first, c).cast("double"))), F.lit(0.0), lambda a, x: a + x).alias("s"),
-        F.lit(-1).alias("from"),
-        F.lit(-1).alias("to"),
-        F.array().cast(pair).alias("done"),
-    )
+    def start(chars):
+        first = F.slice(chars, F.lit(1), window)
+        return F.struct(
+            F.aggregate(F.transform(first, lambda c: F.log2(count(first, c).cast("double"))), F.lit(0.0), lambda a, x: a + x).alias("s"),
+            F.lit(-1).alias("from"),
+            F.lit(-1).alias("to"),
+            F.array().cast(pair).alias("done"),
+        )
 
     def flag(state, total, end):
         """state with the window that ends at `end` (exclusive offset) taken in."""
-        hot = F.log2(F.lit(float(window))) - total / window >= least
+        hot = F.log2(window.cast("double")) - total / window >= least
         joins = (state["from"] >= 0) & (state["to"] >= end - window)
         closed = F.when(
             hot & ~joins & (state["from"] >= 0),
@@ -112,8 +162,8 @@ def hot_windows(word: F.Column, least: F.Column, window: int = WINDOW) -> F.Colu
             closed.cast(pair).alias("done"),
         )
 
-    def step(state, end):
-        middle = F.slice(chars, end - window + 1, F.lit(window - 1))
+    def step(chars, state, end):
+        middle = F.slice(chars, end - window + 1, window - 1)
         gone, come = count(middle, F.element_at(chars, end - window)), count(middle, F.element_at(chars, end))
         total = state["s"] - (_clogc(gone + 1) - _clogc(gone)) + (_clogc(come + 1) - _clogc(come))
         return flag(state, F.when(end > window, total).otherwise(state["s"]), end)
@@ -122,26 +172,58 @@ def hot_windows(word: F.Column, least: F.Column, window: int = WINDOW) -> F.Colu
         last = F.array(F.struct(state["from"].alias("start"), state["to"].alias("end"))).cast(pair)
         return F.when(state["from"] >= 0, F.concat(state["done"], last)).otherwise(state["done"])
 
-    return F.aggregate(F.sequence(F.lit(window), F.length(word)), start, step, finish)
+    # The characters are bound to a variable: an expression would split the word again at each step.
+    run = lambda chars: F.aggregate(F.sequence(window, F.size(chars)), start(chars), lambda state, end: step(chars, state, end), finish)
+    return F.element_at(F.transform(F.array(F.split(word, "")), run), 1)
 
 
-def entropy_spans(text: F.Column, rank: int, allowed: list[str] = ALLOWED) -> F.Column:
-    found, ends = match_ends(text, CANDIDATE)
-    least = lambda m: F.coalesce(*[F.when(m.rlike(p), F.lit(t)) for p, t in CLASSES.values()])
+def candidate_spans(text: F.Column, rank: int, pattern: str, wanted: str, allowed: list[str]) -> F.Column:
+    """Hot spans of the matches of pattern that match `wanted` too."""
+    found, ends = match_ends(text, pattern)
+    bits = {n: F.array(*[F.lit(least_bits(n, k)).cast("double") for k in range(LEAST, WINDOW + 1)]) for n in CLASSES}
+    window = lambda m: F.least(F.length(m), F.lit(WINDOW))
+    case = F.when(F.lit(False), F.lit(None).cast("double"))
+
+    def least(m):
+        out = case
+        for name, (p, _, _) in CLASSES.items():
+            out = out.when(m.rlike(p), F.element_at(bits[name], window(m) - (LEAST - 1)))
+        return F.when(m.rlike(wanted), out)
+
     candidates = F.filter(
         F.zip_with(found, ends, lambda m, e: F.struct(m.alias("m"), (e - F.length(m)).alias("at"), least(m).alias("least"))),
         lambda c: c["least"].isNotNull(),
     )
 
+    def fine(c, s):
+        part = F.lower(F.substring(c["m"], s["start"] + 1, s["end"] - s["start"]))
+        return ~F.greatest(*[F.contains(part, F.lit(a)) | F.contains(F.lit(a), part) for a in allowed])
+
     def hot(c):
-        spans = F.transform(
-            hot_windows(c["m"], c["least"]),
+        return F.transform(
+            F.filter(hot_windows(c["m"], c["least"], window(c["m"])), lambda s: fine(c, s)),
             lambda s: F.struct((c["at"] + s["start"]).alias("start"), F.lit(rank).alias("rank"), (c["at"] + s["end"]).alias("end"), F.lit("entropy").alias("kind")),
-        )
-        fine = [F.contains(F.lower(c["m"]), F.lit(a)) for a in allowed]
-        return F.when(~F.greatest(*fine), spans.cast(SPAN)).otherwise(F.array().cast(SPAN))
+        ).cast(SPAN)
+
+    return F.when(text.rlike(pattern), F.flatten(F.transform(candidates, hot))).otherwise(F.array().cast(SPAN))
+
+
+def entropy_spans(text: F.Column, rank: int, allowed: list[str] = ALLOWED) -> F.Column:
+    runs = candidate_spans(text, rank, RUN, ".", allowed)
+    tokens = candidate_spans(text, rank, TOKEN, "[+/_=-]", allowed)
+    return merged(F.array_sort(F.concat(runs, tokens)))
+
+
+def merged(spans: F.Column) -> F.Column:
+    """Sorted spans of one kind, those that overlap or touch made one."""
+
+    def step(done, s):
+        last = F.get(done, F.size(done) - 1)
+        longer = F.struct(last["start"].alias("start"), last["rank"].alias("rank"), F.greatest(last["end"], s["end"]).alias("end"), last["kind"].alias("kind"))
+        rest = F.slice(done, F.lit(1), F.size(done) - 1)
+        return F.when((F.size(done) > 0) & (s["start"] <= last["end"]), F.concat(rest, F.array(longer)).cast(SPAN)).otherwise(F.concat(done, F.array(s)).cast(SPAN))
 
-    return F.when(text.rlike(CANDIDATE), F.flatten(F.transform(candidates, hot))).otherwise(F.array().cast(SPAN))
+    return F.aggregate(spans, F.array().cast(SPAN), step)
 
 
 def joined(spans: F.Column) -> F.Column:
