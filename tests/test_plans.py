@@ -237,3 +237,11 @@ def test_replay_and_audit_take_every_part_of_the_size(spark):
     scored = catalog.QUERIES["match_v2_replay_whole"](spark, "/root/testdata/sf0.001").collect()
     audited = catalog.QUERIES["leakage_audit_whole"](spark, "/root/testdata/sf0.001").collect()
     assert parts and {r.target_campaign_id for r in scored} == parts == {r.target_campaign_id for r in audited} and len(scored) == len(parts) * suppliers
+
+
+def test_xlsx_scan_reads_all_suppliers(spark, tmp_path):
+    from tidemill.plans.scans import scan_query
+
+    spark.range(1, 6001).withColumnRenamed("id", "s_suppkey").write.parquet(str(tmp_path / "supplier.parquet"))
+    found = scan_query(spark, str(tmp_path)).select("canonical_handle_candidate", "follower_normalized", "fee_model").collect()
+    assert sorted(map(tuple, found)) == sorted((f"sup.{k}", 1000.0 + k, "free" if k % 2 else "fixed") for k in range(1, 6001))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,21 +14,36 @@ from tidemill.plans.sheets import candidate_observations, classify
 from tidemill.sources import xlsx
 
 
-def example_workbook(spark: SparkSession, sf_dir: str) -> str:
-    """A folder with a workbook of the suppliers as candidates, a fixture of 25 rows a sheet for a local run."""
-    folder = Path(tempfile.mkdtemp(prefix="workbooks-"))
-    rows = read_table(spark, sf_dir, "supplier").orderBy("s_suppkey").limit(25).collect()
+#: Keys of suppliers that a workbook takes.
+BOOK_ROWS = 5000
+
+
+def write_book(folder: str, book: int, keys: list[int]) -> None:
     header = ["Number", "Influencer", "Link Tiktok", "Follower", "Engagement %", "BUDGET"]
-    body = [[r.s_suppkey, f"Sup {r.s_suppkey}", f"https://www.tiktok.com/@sup.{r.s_suppkey}", 1000 + r.s_suppkey, "5.4%", "*Free*" if r.s_suppkey % 2 else 1500] for r in rows]
-    xlsx.write_workbook(str(folder / "book.xlsx"), {"KOL List": [["Tier Nano"], header, *body], "Report Oct": [["Date", "Revenue"], ["2025-10-01", 5]]})
-    return str(folder)
+    body = [[k, f"Sup {k}", f"https://www.tiktok.com/@sup.{k}", 1000 + k, "5.4%", "*Free*" if k % 2 else 1500] for k in sorted(keys)]
+    xlsx.write_workbook(f"{folder}/book-{book:06d}.xlsx", {"KOL List": [["Tier Nano"], header, *body], "Report Oct": [["Date", "Revenue"], ["2025-10-01", 5]]})
+
+
+def example_workbooks(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with workbooks of all suppliers as candidates, each written by a task; in the checkpoint folder, which executors share, if there is one."""
+    shared = (spark.conf.get("spark.checkpoint.dir", "") or "").removeprefix("file://")
+    folder = tempfile.mkdtemp(prefix="workbooks-", dir=shared if shared and Path(shared).is_dir() else None)
+
+    def write(rows: pa.Table) -> pa.Table:
+        book = rows.column("book")[0].as_py()
+        write_book(folder, book, rows.column("s_suppkey").to_pylist())
+        return pa.table({"book": pa.array([book], pa.int64())})
+
+    keys = read_table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("s_suppkey"), F.floor(F.col("s_suppkey") / BOOK_ROWS).cast("long").alias("book"))
+    keys.groupBy("book").applyInArrow(write, "book long").count()
+    return folder
 
 
 @query("xlsx_scan")
 def scan_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Observations of a workbook, by way of reader, classification and adapter."""
+    """Observations of all suppliers' workbooks, by way of reader, classification and adapter."""
     xlsx.register(spark)
-    grid = spark.read.format("xlsx").option("path", example_workbook(spark, sf_dir)).load()
+    grid = spark.read.format("xlsx").option("path", example_workbooks(spark, sf_dir)).load()
     wanted = classify(grid).where("sheet_type = 'influencer_candidate'").select("file", "sheet")
     found = candidate_observations(grid.join(wanted, ["file", "sheet"], "left_semi"))
     return found.select("source_sheet_name", "source_row_number", "canonical_handle_candidate", "follower_normalized", F.round("engagement_normalized", 6).alias("engagement_normalized"), "fee_model", "dq_status", "dq_codes", "section_context_raw")
