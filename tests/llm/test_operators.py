@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import duckdb
@@ -292,6 +293,47 @@ def test_entropy_windows_equal_a_plain_version(spark):
         assert [[s["start"], s["end"]] for s in row["h"]] == spans
 
 
+def plain_spans(text):
+    """All spans of a text, by loops over every window."""
+    out = [(m.start(), 0, m.end(), "assign") for m in re.finditer(secrets.ASSIGN, text) if len(m[2]) >= 8]
+    out += [(m.start(), 1, m.end(), "access") for m in re.finditer(secrets.ACCESS, text) if len(m[0]) >= 16]
+    out += [(m.start(), 2, m.end(), "hex") for m in re.finditer(secrets.HEX, text) if len(m[0]) >= 32]
+    hot = []
+    for pattern, wanted in ((secrets.RUN, "."), (secrets.TOKEN, "[+/_=-]")):
+        for m in re.finditer(pattern, text):
+            word = m[0]
+            n = min(len(word), 24)
+            name = next((k for k, (p, _, _) in secrets.CLASSES.items() if re.search(p, word)), None)
+            least = secrets.least_bits(name, n) if name and re.search(wanted, word) else None
+            own = []
+            for i in range(len(word) - n + 1 if least is not None else 0):
+                if np.log2(n) - sum(c * np.log2(c) for c in collections.Counter(word[i : i + n]).values()) / n >= least - 1e-9:
+                    own = own[:-1] + [(own[-1][0], i + n)] if own and i <= own[-1][1] else [*own, (i, i + n)]
+            hot += [(m.start() + a, m.start() + b) for a, b in own if not any(x in word[a:b].lower() or word[a:b].lower() in x for x in secrets.ALLOWED)]
+    one = []
+    for a, b in sorted(hot):
+        one = one[:-1] + [(one[-1][0], max(b, one[-1][1]))] if one and a <= one[-1][1] else [*one, (a, b)]
+    return ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(out + [(a, 3, b, "entropy") for a, b in one]))
+
+
+def test_all_spans_equal_a_plain_version(spark, documents):
+    r = random.Random(12)
+    alphabets = ["abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ab1", "0123456789abcdef", "ABCabc-_/+=xyzXYZ019"]
+    token = lambda: "".join(r.choice(r.choice(alphabets)) if r.random() < 0.1 else r.choice(a) for a in [r.choice(alphabets)] for _ in range(r.choice([12, 16, 20, 24, 40, 300, 600])))
+    texts = [*EDGES, *documents.values(), *[" ".join(token() + r.choice(["", "example", "é"]) for _ in range(r.randint(1, 30))) for _ in range(80)]]
+    got = {x["doc_id"]: x["spans"] for x in secrets.secret_digest(secrets.scan_secrets(frame(spark, texts))).collect()}
+    assert [i for i, t in enumerate(texts) if got[i] != plain_spans(t or "")] == []
+
+
+def test_a_token_of_a_megabyte(spark):
+    r = random.Random(1)
+    token = "".join(r.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=1 << 20))
+    words = "-".join(["some", "Word", "HERE"] * 60_000)
+    began = time.time()
+    got = {x["doc_id"]: x["spans"] for x in secrets.secret_digest(secrets.scan_secrets(frame(spark, ["see " + token, words]))).collect()}
+    assert got[1] == "" and got[0].startswith("entropy:4:") and time.time() - began < 60
+
+
 def test_shards(spark, documents):
     texts = [*EDGES, *documents.values(), *["same text"] * 50]
     got = sharding.shard_documents(frame(spark, texts), 7).collect()

@@ -4,9 +4,9 @@ Spans are code points, end exclusive. Their places come from the lengths of what
 the matches, since SQL's regular expressions return no positions.
 
 The entropy kind slides a window over each candidate and updates the sum of c * log2(c) by the
-counts of the character that leaves and the one that enters. A candidate is a run of letters and
-digits, or a run of token characters with separators (+ / _ = -) among them; a secret behind a
-separator is thus scored by its own alphabet too. A window has 24 characters, or all of a shorter
+counts of the character that leaves and the one that enters, in exact integers. A candidate is a
+run of letters and digits, or a run of token characters with separators (+ / _ = -) among them; a
+secret behind a separator is thus scored by its own alphabet too. A window has 24 characters, or all of a shorter
 candidate of 16 at least. It is hot from an entropy that a window of random characters of the
 candidate's alphabet falls below by chance once in some hundreds (`DEVIATIONS` below the mean).
 Hot windows merge into spans. A span of one candidate that contains an allow-listed text, or is
@@ -16,12 +16,14 @@ Not scored, since their entropy is that of natural words: letters of a single ca
 below 24 characters; camel case, and words joined by separators. Digits alone are scored from 24.
 
 Cases: a null text counts as an empty one; a text without matches gives zero counts, the hash of
-the empty string and no spans; long texts are linear in their matches up to chunks of 1,024;
-equal rows give equal results; other columns are ignored; an empty table gives an empty result.
+the empty string and no spans; the cost of a candidate is linear in its length, and that of a
+text's matches in their number; equal rows give equal results; other columns are ignored; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from math import comb, log2, sqrt
 
 from pyspark.sql import DataFrame
@@ -42,11 +44,14 @@ WINDOW, LEAST = 24, 16
 DEVIATIONS = 3.5
 RUN = r"[A-Za-z0-9]{16,}"
 TOKEN = r"[A-Za-z0-9+/_=-]{16,}"
-#: Texts that look like words, which no random token does.
-NAMES = r"^(?:[A-Z]?[a-z]{2,}+(?:[A-Z][a-z]{2,}+)++|(?=[^+/_=-]*+[+/_=-])[+/_=-]*+(?:(?:[A-Z]?[a-z]++|[A-Z]++)(?:[+/_=-]++|$))++)$"
+#: Texts that look like words, which no random token does. None repeats a group, which Java's
+#: expressions would do by recursion: letters in camel case; and words of letters joined by separators.
+CAMEL = r"^(?!.*(?:[A-Z]{2}|[A-Z][a-z](?:[A-Z]|$)|[A-Z]$))(?![a-z][A-Z])[A-Za-z]*[a-z][A-Z][A-Za-z]*$"
+JOINED = r"^(?!.*(?:[a-z][A-Z]|[A-Z]{2}[a-z]))(?=[^+/_=-]*[+/_=-])[A-Za-z+/_=-]*[A-Za-z][A-Za-z+/_=-]*$"
 #: Class of a candidate, the first that it matches: (pattern, size of the alphabet, least length); 0: not scored.
 CLASSES = {
-    "names": (NAMES, 0, LEAST),
+    "camel": (CAMEL, 0, LEAST),
+    "joined": (JOINED, 0, LEAST),
     "digits": (r"^[0-9]+$", 16, WINDOW),
     "hex": (r"^[0-9A-Fa-f]+$", 16, LEAST),
     "word": (r"^(?:[A-Z]?[a-z]+|[A-Z]+)$", 26, WINDOW),
@@ -68,10 +73,17 @@ ALLOWED = [
     "da39a3ee5e6b4b0d3255bfef95601890afd80709",
     "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855",
 ]
-CHUNK = 1024
+CHUNK = 512
+#: Characters of a candidate taken at a time, and the fraction of a bit in which sums of c * log2(c) are counted, so that they are exact.
+PIECE, UNIT = 256, 1 << 32
 SPAN = "array<struct<start:bigint,rank:int,end:bigint,kind:string>>"
 
 
+def bound(value: F.Column, f: Callable[[F.Column], F.Column]) -> F.Column:
+    """f of a value that is computed once: within f, an expression would be computed at each of its uses."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def running_sums(lengths: F.Column) -> F.Column:
     """Inclusive running sums of an array of longs, by chunks, so that no long array is copied at each step."""
     empty = F.array().cast("array<bigint>")
@@ -81,18 +93,23 @@ def running_sums(lengths: F.Column) -> F.Column:
         step = lambda a, x: F.struct((a["s"] + x).alias("s"), F.concat(a["o"], F.array(a["s"] + x)).alias("o"))
         return F.aggregate(values, start, step, lambda a: a["o"])
 
-    n = F.ceil(F.size(lengths) / F.lit(CHUNK)).cast("int")
-    chunks = F.transform(F.sequence(F.lit(0), n - 1), lambda c: F.slice(lengths, c * CHUNK + 1, F.lit(CHUNK)))
-    totals = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda a, x: a + x))
-    moved = F.zip_with(chunks, F.zip_with(run(totals), totals, lambda a, b: a - b), lambda c, base: F.transform(run(c), lambda v: v + base))
-    return F.when(F.size(lengths) > 0, F.flatten(moved)).otherwise(empty)
+    def whole(values):
+        n = F.ceil(F.size(values) / F.lit(CHUNK)).cast("int")
+        chunks = F.transform(F.sequence(F.lit(0), n - 1), lambda c: F.slice(values, c * CHUNK + 1, F.lit(CHUNK)))
+        return F.when(F.size(values) > 0, bound(F.transform(chunks, run), moved)).otherwise(empty)
+
+    def moved(sums):
+        totals = run(F.transform(sums, lambda c: F.element_at(c, -1)))
+        return F.flatten(F.zip_with(sums, F.concat(F.array(F.lit(0).cast("bigint")), totals), lambda c, base: F.transform(F.coalesce(c, empty), lambda v: v + base)))
+
+    return bound(lengths, whole)
 
 
 def match_ends(text: F.Column, pattern: str) -> tuple[F.Column, F.Column]:
     """(matches, their ends in code points) of the leftmost non-overlapping matches."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
-    return found, running_sums(F.zip_with(gaps, found, lambda g, m: (F.length(g) + F.length(m)).cast("bigint")))
+    gaps = F.split(text, pattern, -1)
+    return found, running_sums(bound(gaps, lambda g: F.transform(found, lambda m, k: (F.length(F.get(g, k)) + F.length(m)).cast("bigint"))))
 
 
 def spans_of(text: F.Column, kind: str, rank: int) -> F.Column:
@@ -108,10 +125,6 @@ def spans_of(text: F.Column, kind: str, rank: int) -> F.Column:
     return F.when(text.rlike(present), kept.cast(SPAN)).otherwise(F.array().cast(SPAN))
 
 
-def _clogc(count: F.Column) -> F.Column:
-    return F.when(count > 0, count * F.log2(count.cast("double"))).otherwise(F.lit(0.0))
-
-
 def random_entropy(alphabet: int, n: int) -> tuple[float, float]:
     """Mean and standard deviation, in bits, of the entropy of n uniform characters of an alphabet."""
     f = [c * log2(c) if c else 0.0 for c in range(n + 1)]
@@ -133,48 +146,46 @@ def least_bits(name: str, n: int) -> float | None:
     return mean - DEVIATIONS * deviation
 
 
+def entropy_sums(word: F.Column) -> F.Column:
+    """For each character of an ASCII word, the sum of c * log2(c), in UNITs, of the window that ends with it.
+
+    The sum changes by the counts, among the characters between them, of the one that enters and the one that leaves.
+    Pieces of PIECE characters, each behind the WINDOW before it, keep the cost of a step apart from the word's length.
+    """
+    steps = F.array(*[F.lit(round(UNIT * ((c + 1) * log2(c + 1) - (c * log2(c) if c else 0.0)))).cast("bigint") for c in range(WINDOW)])
+    pieces = F.regexp_extract_all(word, F.lit(f".{{1,{PIECE}}}"), F.lit(0))
+    blank = F.lit("\0" * WINDOW)
+
+    def changes(all_pieces, piece, k):
+        before = F.when(k == 0, blank).otherwise(F.right(F.get(all_pieces, k - 1), F.lit(WINDOW)))
+        return bound(F.concat(before, piece), lambda whole: F.transform(F.sequence(F.lit(0), F.length(piece) - 1), lambda i: change(whole, i)))
+
+    def change(whole, i):
+        between = F.substring(whole, i + 2, F.lit(WINDOW - 1))
+        entering, leaving = F.substring(whole, i + WINDOW + 1, F.lit(1)), F.substring(whole, i + 1, F.lit(1))
+        step = lambda c: F.get(steps, F.lit(WINDOW - 1) - F.octet_length(F.replace(between, c, F.lit(""))))
+        return step(entering) - F.when(leaving == F.lit("\0"), F.lit(0).cast("bigint")).otherwise(step(leaving))
+
+    return running_sums(bound(pieces, lambda all_pieces: F.flatten(F.transform(all_pieces, lambda piece, k: changes(all_pieces, piece, k)))))
+
+
 def hot_windows(word: F.Column, least: F.Column, window: int | F.Column = WINDOW) -> F.Column:
     """Merged spans (start, end) of the windows of `word` whose entropy is at least `least`, as offsets in it."""
     window = F.lit(window)
-    pair = "array<struct<start:int,end:int>>"
-    count = lambda part, c: F.size(F.filter(part, lambda x: x == c))
-    def start(chars):
-        first = F.slice(chars, F.lit(1), window)
-        return F.struct(
-            F.aggregate(F.transform(first, lambda c: F.log2(count(first, c).cast("double"))), F.lit(0.0), lambda a, x: a + x).alias("s"),
-            F.lit(-1).alias("from"),
-            F.lit(-1).alias("to"),
-            F.array().cast(pair).alias("done"),
-        )
-
-    def flag(state, total, end):
-        """state with the window that ends at `end` (exclusive offset) taken in."""
-        hot = F.log2(window.cast("double")) - total / window >= least
-        joins = (state["from"] >= 0) & (state["to"] >= end - window)
-        closed = F.when(
-            hot & ~joins & (state["from"] >= 0),
-            F.concat(state["done"], F.array(F.struct(state["from"].alias("start"), state["to"].alias("end")))),
-        ).otherwise(state["done"])
-        return F.struct(
-            total.alias("s"),
-            F.when(hot & ~joins, end - window).otherwise(state["from"]).alias("from"),
-            F.when(hot, end).otherwise(state["to"]).alias("to"),
-            closed.cast(pair).alias("done"),
-        )
-
-    def step(chars, state, end):
-        middle = F.slice(chars, end - window + 1, window - 1)
-        gone, come = count(middle, F.element_at(chars, end - window)), count(middle, F.element_at(chars, end))
-        total = state["s"] - (_clogc(gone + 1) - _clogc(gone)) + (_clogc(come + 1) - _clogc(come))
-        return flag(state, F.when(end > window, total).otherwise(state["s"]), end)
-
-    def finish(state):
-        last = F.array(F.struct(state["from"].alias("start"), state["to"].alias("end"))).cast(pair)
-        return F.when(state["from"] >= 0, F.concat(state["done"], last)).otherwise(state["done"])
-
-    # The characters are bound to a variable: an expression would split the word again at each step.
-    run = lambda chars: F.aggregate(F.sequence(window, F.size(chars)), start(chars), lambda state, end: step(chars, state, end), finish)
-    return F.element_at(F.transform(F.array(F.split(word, "")), run), 1)
+    most = F.floor((F.log2(window.cast("double")) - least) * window * UNIT + UNIT // 1_000_000)
+
+    def spans(x):
+        ends, window = x["ends"], x["window"]
+        first = F.filter(ends, lambda e, k: (k == 0) | (e - F.get(ends, k - 1) > window))
+        last = F.filter(ends, lambda e, k: (k == F.size(ends) - 1) | (F.get(ends, k + 1) - e > window))
+        return F.zip_with(first, last, lambda a, b: F.struct((a - window).alias("start"), b.alias("end")))
+
+    def hot(x):
+        flagged = F.transform(x["sums"], lambda s, k: F.when((s <= x["most"]) & (k + 1 >= x["window"]), k + 1))
+        return F.struct(F.filter(flagged, lambda e: e.isNotNull()).alias("ends"), x["window"].alias("window"))
+
+    state = F.struct(entropy_sums(word).alias("sums"), most.alias("most"), window.alias("window"))
+    return bound(state, lambda x: bound(hot(x), spans))
 
 
 def candidate_spans(text: F.Column, rank: int, pattern: str, wanted: str, allowed: list[str]) -> F.Column:
@@ -197,7 +208,7 @@ def candidate_spans(text: F.Column, rank: int, pattern: str, wanted: str, allowe
 
     def fine(c, s):
         part = F.lower(F.substring(c["m"], s["start"] + 1, s["end"] - s["start"]))
-        return ~F.greatest(*[F.contains(part, F.lit(a)) | F.contains(F.lit(a), part) for a in allowed])
+        return bound(part, lambda p: ~F.greatest(*[F.contains(p, F.lit(a)) | F.contains(F.lit(a), p) for a in allowed]))
 
     def hot(c):
         return F.transform(
@@ -217,13 +228,29 @@ def entropy_spans(text: F.Column, rank: int, allowed: list[str] = ALLOWED) -> F.
 def merged(spans: F.Column) -> F.Column:
     """Sorted spans of one kind, those that overlap or touch made one."""
 
-    def step(done, s):
-        last = F.get(done, F.size(done) - 1)
-        longer = F.struct(last["start"].alias("start"), last["rank"].alias("rank"), F.greatest(last["end"], s["end"]).alias("end"), last["kind"].alias("kind"))
-        rest = F.slice(done, F.lit(1), F.size(done) - 1)
-        return F.when((F.size(done) > 0) & (s["start"] <= last["end"]), F.concat(rest, F.array(longer)).cast(SPAN)).otherwise(F.concat(done, F.array(s)).cast(SPAN))
-
-    return F.aggregate(spans, F.array().cast(SPAN), step)
+    def reach(lists):
+        """For each span the furthest end up to it."""
+        empty = F.array().cast("array<bigint>")
+        step = lambda done, s: F.concat(done, F.array(F.greatest(F.get(done, F.size(done) - 1), s["end"])))
+        own = F.transform(lists, lambda part: F.aggregate(part, empty, step))
+        far = F.aggregate(F.transform(own, lambda o: F.element_at(o, -1)), empty, lambda done, e: F.concat(done, F.array(F.greatest(F.get(done, F.size(done) - 1), e))))
+        return bound(far, lambda f: F.flatten(F.transform(own, lambda o, k: F.transform(o, lambda e: F.greatest(e, F.get(f, k - 1))))))
+
+    def joined_up(both):
+        all_spans, ends = both["spans"], both["ends"]
+        opens = F.filter(F.sequence(F.lit(0), F.size(all_spans) - 1), lambda k: (k == 0) | (F.get(all_spans, k)["start"] > F.get(ends, k - 1)))
+        return bound(opens, lambda o: F.transform(o, lambda k, i: one(all_spans, ends, k, F.coalesce(F.get(o, i + 1), F.size(all_spans)) - 1)))
+
+    def one(all_spans, ends, first, last):
+        s = F.get(all_spans, first)
+        return F.struct(s["start"].alias("start"), s["rank"].alias("rank"), F.get(ends, last).alias("end"), s["kind"].alias("kind"))
+
+    def whole(x):
+        chunks = F.transform(F.sequence(F.lit(0), F.ceil(F.size(x) / F.lit(CHUNK)).cast("int") - 1), lambda c: F.slice(x, c * CHUNK + 1, F.lit(CHUNK)))
+        state = F.struct(x.alias("spans"), bound(chunks, reach).alias("ends"))
+        return F.when(F.size(x) > 0, bound(state, joined_up).cast(SPAN)).otherwise(F.array().cast(SPAN))
+
+    return bound(spans, whole)
 
 
 def joined(spans: F.Column) -> F.Column:
