@@ -6,7 +6,8 @@ import atexit
 import pickle
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -54,27 +55,47 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
-#: Staged tables that `release` may delete.
-_releasable: list[str] = []
+#: For each open `temporary` block, the innermost last, the paths of the tables staged in it.
+_open: list[list[str]] = []
 
 
 def staged(df: DataFrame, keep: bool = False) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back.
 
     This cuts the lineage: lost executors cost no recomputation beyond this table, and what is
-    read twice is computed once. The table is deleted when the driver ends, or by `release`
-    unless it is to be kept.
+    read twice is computed once. The table is deleted at the end of the innermost `temporary`
+    block, or of the one around it if it is to be kept; without such a block when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    owners = _open[:-1] if keep else _open
+    if owners:
+        owners[-1].append(path)
+    else:
+        atexit.register(_delete, spark, path)
     df.write.parquet(path)
-    atexit.register(_delete, spark, path)
-    if not keep:
-        _releasable.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the tables staged so far. For steps whose predecessors' results are written and no longer read."""
-    while _releasable:
-        _delete(spark, _releasable.pop())
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Tables staged in the block are deleted at its end, unless they are kept; so a result may only read kept ones.
+
+    A result thus owns what it reads: frames may be chained and run later, and other queries delete nothing of theirs.
+    """
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            _delete(spark, path)
+
+
+def free_names(columns: list[str], *wanted: str) -> list[str]:
+    """The wanted names, each with underscores before it until none of the columns is called so."""
+    taken, found = {c.lower() for c in columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name = "_" + name
+        found.append(name)
+    return found

@@ -23,8 +23,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidemill.llm.common import bounded_batches, staged
+from tidemill.llm.common import bounded_batches, free_names, staged, temporary
 from tidemill.llm.linking import buckets, components, link_by_sets, with_ids
 from tidemill.llm.ngram_join import mixed
 
@@ -206,7 +207,11 @@ def judge_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_lines, n_removed, removed, classes): a row a document; removed has line numbers from 0, classes the class of each line with a word."""
-    table, lines = judge_lines(docs, id_col, text_col)
+    with temporary(docs.sparkSession):
+        return staged(_judged_documents(*judge_lines(docs, id_col, text_col)), keep=True)
+
+
+def _judged_documents(table: DataFrame, lines: DataFrame) -> DataFrame:
     found = lines.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(F.struct("line", "class_id", "kept"))).alias("x"))
     found = found.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), "x")
     rows = table.select("doc_id", "text_hash").join(found, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash")), "left")
@@ -222,9 +227,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def remove_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the lines that repeat an earlier one; a document that loses every line with a word goes."""
-    _, lines = judge_lines(docs, id_col, text_col)
-    gone = lines.groupBy("doc_id", "text_hash").agg(F.collect_set(F.when(~F.col("kept"), F.col("line"))).alias("gone"), F.count_if("kept").alias("left")).where("size(gone) > 0")
-    gone = staged(gone).select(F.col("doc_id").alias("__id"), "text_hash", "gone", "left")
+    own, own_hash, cut, left, hash_ = free_names(docs.columns, "own", "own_hash", "cut", "left_lines", "hash")
+    with temporary(docs.sparkSession):
+        _, lines = judge_lines(docs, id_col, text_col)
+        gone = lines.groupBy("doc_id", "text_hash").agg(F.collect_set(F.when(~F.col("kept"), F.col("line"))).alias(cut), F.count_if("kept").alias(left)).where(F.size(cut) > 0)
+        gone = staged(gone.select(F.col("doc_id").alias(own), F.col("text_hash").alias(own_hash), cut, left), keep=True)
     bounded_batches(docs.sparkSession)
     text = docs.schema[text_col].name
 
@@ -232,11 +239,11 @@ def remove_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in batches:
             column = batch.column(batch.schema.names.index(text))
             hashes = [xxhash.xxh3_64_intdigest((t.as_py() or "").encode()) - (1 << 63) for t in column]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hashes, pa.int64())], names=[*batch.schema.names, "__hash"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hashes, pa.int64())], names=[*batch.schema.names, hash_])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", __hash long"
+    schema = T.StructType([*docs.schema, T.StructField(hash_, T.LongType())])
     rows = docs.mapInArrow(hashed, schema)
-    joined = rows.join(gone, rows[id_col].cast("long").eqNullSafe(gone["__id"]) & (rows["__hash"] == gone["text_hash"]), "left").where("left is null or left > 0")
+    joined = rows.join(gone, rows[id_col].cast("long").eqNullSafe(gone[own]) & (rows[hash_] == gone[own_hash]), "left").where(F.col(left).isNull() | (F.col(left) > 0))
     split = F.split(F.col(text_col), "\n", -1)
-    rest = F.array_join(F.filter(split, lambda x, i: ~F.array_contains("gone", i)), "\n")
-    return joined.withColumn(text_col, F.when(F.col("gone").isNull(), F.col(text_col)).otherwise(rest)).select(*docs.columns)
+    rest = F.array_join(F.filter(split, lambda x, i: ~F.array_contains(cut, i)), "\n")
+    return joined.withColumn(text_col, F.when(F.col(cut).isNull(), F.col(text_col)).otherwise(rest)).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -36,8 +36,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import bounded_batches, staged
-from tidemill.llm.linking import Likely, buckets, link, with_ids
+from tidemill.llm.common import bounded_batches, free_names, staged, temporary
+from tidemill.llm.linking import BROADCAST_IDS, Likely, buckets, link, with_ids
 
 
 @dataclass(frozen=True)
@@ -275,7 +275,11 @@ def packed_texts(docs: DataFrame) -> DataFrame:
 def link_documents(docs: DataFrame, like: Similarity = Similarity(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of docs."""
     bounded_batches(docs.sparkSession)
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    with temporary(docs.sparkSession):
+        return staged(_linked_documents(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), like), keep=True)
+
+
+def _linked_documents(source: DataFrame, like: Similarity) -> DataFrame:
     table = staged(shingle_table(source, like))
     has = table.where("n > 0 and id is not null")
     first = has.groupBy("digest").agg(F.min("id").alias("a"))
@@ -293,7 +297,8 @@ def link_documents(docs: DataFrame, like: Similarity = Similarity(), id_col: str
 
 def keep_one_each(docs: DataFrame, like: Similarity = Similarity(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that are the smallest id of their component, with their columns."""
-    gone = link_documents(docs, like, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    gone = staged(gone)
-    small = gone.count() <= 1_000_000
-    return docs.join(F.broadcast(gone) if small else gone, docs[id_col].cast("long") == F.col("__gone"), "left_anti").select(*docs.columns)
+    (name,) = free_names(docs.columns, "gone")
+    with temporary(docs.sparkSession):
+        gone = staged(link_documents(docs, like, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct(), keep=True)
+    small = gone.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(gone) if small else gone, docs[id_col].cast("long") == F.col(name), "left_anti")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemill.llm.common import bounded_batches, staged
+from tidemill.llm.common import bounded_batches, free_names, staged
 
 #: ASCII white space and the characters that count as symbols.
 SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
@@ -76,11 +76,11 @@ def features(text: str | None) -> tuple[int, ...]:
     )
 
 
-def with_features(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns `keep` of docs (all by default) and the features of each text, in a column `f`."""
+def with_features(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None, name: str = "f") -> DataFrame:
+    """The columns `keep` of docs (all by default) and the features of each text, in a column of that name."""
     bounded_batches(docs.sparkSession)
     keep = docs.columns if keep is None else keep
-    source = docs.select(*[F.col(c) for c in keep], F.col(text_col).alias("__text"))
+    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).alias(free_names(keep, "own_text")[0]))
     kind = pa.struct([(n, pa.int64()) for n in FEATURES])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,15 +88,15 @@ def with_features(docs: DataFrame, text_col: str = "text", keep: list[str] | Non
             rows = [features(x.as_py()) for x in batch.column(len(keep))]
             columns = list(zip(*rows, strict=True)) if rows else [()] * len(FEATURES)
             found = pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], fields=list(kind))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], found], names=[*keep, "f"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], found], names=[*keep, name])
 
-    schema = T.StructType([docs.schema[c] for c in keep]).add("f", T.StructType([T.StructField(n, T.LongType()) for n in FEATURES]))
+    schema = T.StructType([docs.schema[c] for c in keep]).add(name, T.StructType([T.StructField(n, T.LongType()) for n in FEATURES]))
     return source.mapInArrow(run, schema)
 
 
-def rules() -> dict[str, F.Column]:
-    """Votes over the column f: 1 good, 0 bad, null no vote."""
-    f = lambda n: F.col(f"f.{n}").cast("double")
+def rules(name: str = "f") -> dict[str, F.Column]:
+    """Votes over the column of features: 1 good, 0 bad, null no vote."""
+    f = lambda n: F.col(f"{name}.{n}").cast("double")
     share = lambda a, b: f(a) / F.greatest(f(b), F.lit(1.0))
     vote = lambda bad, good=None: F.when(bad, 0).otherwise(F.when(good, 1) if good is not None else F.lit(None).cast("int"))
     return {
@@ -169,21 +169,25 @@ def fit(featured: DataFrame) -> Accuracies:
     return estimate(patterns, len(named))
 
 
-def base_failed() -> F.Column:
-    return (F.col("f.n_words") < 10) | (100 * F.col("f.n_repeat_words") > 20 * F.col("f.n_words"))
+def base_failed(name: str = "f") -> F.Column:
+    words = F.col(f"{name}.n_words")
+    return (words < 10) | (100 * F.col(f"{name}.n_repeat_words") > 20 * words)
+
+
+def is_kept(accuracies: Accuracies, name: str = "f") -> F.Column:
+    return ~base_failed(name) & (accuracies.posterior(list(rules(name).values())) >= 0.5)
 
 
 def judge(featured: DataFrame, accuracies: Accuracies) -> DataFrame:
     """featured with p_good, base_failed and kept."""
-    return featured.withColumns({"p_good": accuracies.posterior(list(rules().values())), "base_failed": base_failed()}).withColumn(
-        "kept", ~F.col("base_failed") & (F.col("p_good") >= 0.5)
-    )
+    return featured.withColumns({"p_good": accuracies.posterior(list(rules().values())), "base_failed": base_failed(), "kept": is_kept(accuracies)})
 
 
 def judge_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, f, p_good, base_failed, kept) of every row."""
-    featured = staged(with_features(docs, text_col, [id_col]))
-    return judge(featured, fit(featured)).withColumnRenamed(id_col, "doc_id")
+    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    featured = staged(with_features(own, "text", ["doc_id"]))
+    return judge(featured, fit(featured))
 
 
 def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -192,4 +196,5 @@ def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
     The texts are read twice rather than joined to their verdicts, which would shuffle them.
     """
     accuracies = fit(with_features(docs, text_col, []))
-    return judge(with_features(docs, text_col), accuracies).where("kept").select(*docs.columns)
+    (name,) = free_names(docs.columns, "f")
+    return with_features(docs, text_col, name=name).where(is_kept(accuracies, name)).drop(name)

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import staged
+from tidemill.llm.common import staged, temporary
 
 ORDER_BITS, FIRST_BITS, STEP_BITS = 60, 16, 8
 #: A row's overhead in bytes, added to its text's.
@@ -135,8 +135,8 @@ def shard_documents(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_id",
             order_key(text).alias("ord"),
         )
     )
-    atoms = staged(rows.groupBy("ord").agg(F.sum("size").alias("bytes")))
-    starts, _ = shard_starts(atoms, n_shards)
+    with temporary(docs.sparkSession):
+        starts, _ = shard_starts(staged(rows.groupBy("ord").agg(F.sum("size").alias("bytes"))), n_shards)
     placed = rows.withColumns(
         {
             "shard": reduce(add, [(F.col("ord") >= F.lit(k)).cast("int") for k in starts], F.lit(0)),
