@@ -151,9 +151,10 @@ def plain_cut(texts, length, first=False):
     return out
 
 
-@pytest.mark.parametrize(("first", "limit"), [(False, 1 << 21), (True, 1 << 21), (False, 100)])
+@pytest.mark.parametrize(("first", "limit"), [(False, 1 << 21), (True, 1 << 21), (False, 100), (True, 100), (True, 3000)])
 def test_suffix_dedup(spark, monkeypatch, first, limit):
     monkeypatch.setattr(suffix_dedup, "SORT_BYTES", limit)
+    monkeypatch.setattr(suffix_dedup, "COUNT_BYTES", limit)
     r = random.Random(5)
     base, period = "".join(r.choice("abcdef \né") for _ in range(2500)), "from " * 500
     texts = [base, base[200:900] + "x" * 50, "y" * 900, "zz" + base[100:520] + "q", period, "w" + period[3:1400], None, "", base[:300], base, "y" * 401, "k" * 399, *["%d%s%d" % (i, base[700:1300], i) for i in range(12)]]
@@ -163,12 +164,13 @@ def test_suffix_dedup(spark, monkeypatch, first, limit):
 
 
 def test_longest_previous_factors():
-    assert suffix_dedup.longest_previous_factors(b"abaabab") == [0, 0, 1, 1, 3, 2, 1] or suffix_dedup.longest_previous_factors(b"") == []
     r = random.Random(1)
-    for _ in range(50):
-        d = bytes(r.choice(b"ab") for _ in range(r.randint(0, 30)))
-        want = [max([0, *(next((k for k in range(len(d) - i + 1) if i + k >= len(d) or d[i + k] != d[j + k]), 0) for j in range(i))]) for i in range(len(d))]
-        assert suffix_dedup.longest_previous_factors(d) == want
+    for k in range(60):
+        d, most = [r.choice([1, 2]) for _ in range(r.randint(0, 30))], r.choice([3, 40])
+        common = lambda i, j: next((k for k in range(len(d) - i + 1) if i + k >= len(d) or d[i + k] != d[j + k]), 0)  # noqa: B023,E731
+        lengths, sources = suffix_dedup.longest_previous_factors(np.array(d, np.int16), most)
+        assert lengths.tolist() == [min(most, max([0, *(common(i, j) for j in range(i))])) for i in range(len(d))]
+        assert all(j == -1 if n == 0 else j < i and common(i, j) >= n for i, (n, j) in enumerate(zip(lengths.tolist(), sources.tolist(), strict=True)))
 
 
 def plain_line_links(texts):

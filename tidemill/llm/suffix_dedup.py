@@ -1,22 +1,26 @@
 """Suffix-array dedup: byte strings of a given length that start in more than one place.
 
-Locally, a suffix array is built by prefix doubling; previous and next smaller positions in suffix
-order give each position's longest previous factor, the longest match with an earlier position.
+In a task, suffixes are sorted by prefix doubling. The previous and next smaller positions in
+suffix order are each position's closest earlier relatives, and the longer of its matches with the
+two is its longest previous factor: a string of LENGTH bytes has occurred earlier where that
+factor is LENGTH or longer, and the place it was found at holds the earlier copy.
 
 Over a corpus, every string of LENGTH bytes has an anchor: of its 64-byte grams the one with the
 smallest hash, the leftmost of equal ones. Equal strings have their anchors at the same offset, so
-strings are compared only within the group of their anchor's gram. A group gets the context of
-each of its anchors, which is the run of strings that share the anchor; contexts without another
-in their group are dropped before any text is read again. In a task, suffixes of contexts are
-sorted by their first LENGTH bytes, and a suffix whose neighbour in that order has an equal prefix
-is a repeated string. Equal contexts are one, and equal documents are one class from the start.
+strings are compared only within the group of their anchor's gram. A group gets the contexts of
+its anchors, which are the runs of strings that share an anchor; texts whose anchors nobody shares
+are dropped before any text is read again. Equal contexts are counted in each task before they are
+dealt, so a group receives a row a task and different context, however often it occurs; what it
+finds is joined back to the places of the contexts. A group larger than SORT_BYTES is taken apart
+by the bytes that all strings at some distances from the anchor share, down to single strings.
 
 By default all copies of a string are covered; with `keep_first` the copy of the smallest
 (doc_id, position) stays. Matches never cross documents, and are judged on the input.
 
 Cases: a null text counts as an empty one; texts shorter than LENGTH have no strings; equal texts
-of LENGTH bytes or more are covered whole; texts of any length are read in segments; rows without
-an id keep a null id; other columns are ignored; an empty table gives an empty result.
+of LENGTH bytes or more are one class from the start and are covered whole; texts of any length
+are read in segments; rows without an id keep a null id; other columns are ignored; an empty table
+gives an empty result. Equal texts and contexts are told by digests of 128 bits or more.
 """
 
 from __future__ import annotations
@@ -26,17 +30,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import bounded_batches, staged
+from tidemill.llm.common import bounded_batches, staged, temporary
 from tidemill.llm.linking import _by_key, _runs
 
 LENGTH, GRAM = 400, 64
 #: Bytes of a text hashed at a time, and bits of an anchor's place in them.
 SEGMENT, PLACE_BITS = 1 << 20, 24
-#: Bytes of contexts whose suffixes are sorted at once; larger groups are compared by columns.
-SORT_BYTES = 1 << 21
+#: Bytes of contexts whose suffixes are sorted at once, and bytes of contexts that a task counts before it passes them on.
+SORT_BYTES, COUNT_BYTES = 1 << 21, 1 << 25
 BROADCAST_DIGESTS = 1_000_000
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 
@@ -44,16 +49,16 @@ ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B1
 # --- suffix arrays ----------------------------------------------------------------------------------------------
 
 
-def prefix_ranks(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(suffix order, ranks) by the first `length` bytes; suffixes with equal prefixes have one rank and stand by position.
+def suffix_order(data: np.ndarray, length: int) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
+    """(suffix order, levels) by the first `length` values; suffixes with equal prefixes stand by position.
 
-    The end of the data counts as smaller than any byte.
+    Each level has a width and the ranks of all places by the values of that width; the end of the data counts as smaller than any.
     """
     n = len(data)
     ranks = data.astype(np.int64) + 1
-    order = np.argsort(ranks, kind="stable")
+    order, levels = np.argsort(ranks, kind="stable"), [(1, ranks)]
     done = 1
-    while done < length:
+    while done < length and n:
         step = min(done, length - done)
         after = np.zeros(n, np.int64)
         if step < n:
@@ -65,34 +70,40 @@ def prefix_ranks(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]
         ranks = np.empty(n, np.int64)
         ranks[order] = np.cumsum(new)
         done += step
-        if ranks.max(initial=0) == n:
+        levels.append((done, ranks))
+        if ranks.max() == n:
             break
-    return order, ranks
+    return order, levels
 
 
-def longest_previous_factors(data: bytes) -> list[int]:
-    """For each position the length of the longest match with an earlier one, by previous and next smaller positions."""
+def previous_smaller(values: np.ndarray) -> np.ndarray:
+    """For each place the closest one before it with a smaller value, or -1: all between are larger, so pointers may be followed at once."""
+    to = np.arange(len(values)) - 1
+    left = np.flatnonzero(to >= 0)
+    left = left[values[to[left]] > values[left]]
+    while len(left):
+        to[left] = to[to[left]]
+        left = left[to[left] >= 0]
+        left = left[values[to[left]] > values[left]]
+    return to
+
+
+def longest_previous_factors(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(lengths, sources): for each position the longest match with an earlier one, up to `length`, and that position (-1 for none)."""
     n = len(data)
-    if not n:
-        return []
-    order = prefix_ranks(np.frombuffer(data, np.uint8), n)[0].tolist()
-
-    def common(a: int, b: int) -> int:
-        k = 0
-        while max(a, b) + k < n and data[a + k] == data[b + k]:
-            k += 1
-        return k
-
-    found = [0] * n
-    for places in (order, order[::-1]):  # previous, then next smaller positions in suffix order
-        stack: list[int] = []
-        for at in places:
-            while stack and stack[-1] > at:
-                stack.pop()
-            if stack:
-                found[at] = max(found[at], common(stack[-1], at))
-            stack.append(at)
-    return found
+    order, levels = suffix_order(data, length)
+    lengths, sources = np.zeros(n, np.int64), np.full(n, -1, np.int64)
+    padded = [(width, np.concatenate((ranks, [0]))) for width, ranks in reversed(levels)]
+    for to, at in ((previous_smaller(order), order), (previous_smaller(order[::-1]), order[::-1])):
+        here = at[to >= 0]
+        there = at[to[to >= 0]]
+        match = np.zeros(len(here), np.int64)
+        for width, ranks in padded:
+            same = (match + width <= length) & (ranks[np.minimum(here + match, n)] == ranks[np.minimum(there + match, n)])
+            match[same] += width
+        longer = match > lengths[here]
+        lengths[here[longer]], sources[here[longer]] = match[longer], there[longer]
+    return lengths, sources
 
 
 # --- anchors ----------------------------------------------------------------------------------------------------
@@ -191,30 +202,59 @@ def texts_by_digest(docs: DataFrame, text_col: str, length: int) -> DataFrame:
     return docs.select(text_col).mapInArrow(run, "digest binary, data binary")
 
 
+CONTEXT_SCHEMA = "gram long, context_id binary, digest binary, starts array<long>, doc long, start long, times long, offset long, strings long, context binary"
+CONTEXT_NAMES = [c.split()[0] for c in CONTEXT_SCHEMA.split(", ")]
+CONTEXT_TYPES = [pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+
+
 def contexts(candidates: DataFrame, length: int) -> DataFrame:
-    """(gram, digest, doc, starts, offset, strings, context) of the anchors of candidates(digest, doc, data, grams); equal ones of a text are one row."""
+    """Of the anchors of candidates(digest, doc, data, grams), two kinds of rows.
+
+    Those with starts are the places of a context in a text. Those with a context are counts: how often
+    it occurs in the task, and its first place there as (doc, digest, start).
+    """
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows, strict=True) if rows else [()] * len(CONTEXT_NAMES)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, CONTEXT_TYPES, strict=True)], names=CONTEXT_NAMES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[bytes, list] = {}
+        held = 0
         for batch in batches:
-            for i in range(batch.num_rows):
-                data, wanted = batch.column(2)[i].as_py(), batch.column(3)[i].values.to_numpy()
+            for digest, doc, text, grams in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                data = text.as_buffer()
+                view = memoryview(data)
                 found = anchors(np.frombuffer(data, np.uint8), length)
-                keep = np.isin(found[0], wanted)
-                starts: dict[tuple, list[int]] = {}
+                keep = np.isin(found[0], grams.values.to_numpy())
+                places: dict[bytes, tuple] = {}
                 for g, p, a, b in zip(*[x[keep].tolist() for x in found], strict=True):
-                    starts.setdefault((g, p - a, b - a + 1, data[a : b + length]), []).append(a)
-                gram, offset, strings, cut = zip(*starts, strict=True) if starts else ((), (), (), ())
-                same = lambda column, k=i, n=len(gram): column.take(pa.array([k] * n, pa.int64()))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(gram, pa.int64()), same(batch.column(0)), same(batch.column(1)), pa.array(list(starts.values()), pa.list_(pa.int64())), pa.array(offset, pa.int64()), pa.array(strings, pa.int64()), pa.array(cut, pa.binary())],
-                    names=["gram", "digest", "doc", "starts", "offset", "strings", "context"],
-                )
-
-    return candidates.select("digest", "doc", "data", "grams").mapInArrow(run, "gram long, digest binary, doc long, starts array<long>, offset long, strings long, context binary")
-
-
-def _classes(group: list[tuple[bytes, int, int]], length: int) -> list[np.ndarray]:
-    """For contexts (data, offset, strings) of one group: a number for each string, equal for equal strings."""
+                    cut = view[a : b + length]
+                    name = xxhash.xxh3_128_digest(cut, seed=(g ^ (p - a)) & 0x7FFFFFFFFFFFFFFF)
+                    places.setdefault(name, (g, []))[1].append(a)
+                    if (known := counts.get(name)) is None:
+                        counts[name] = [g, doc, digest, a, 1, p - a, b - a + 1, bytes(cut)]
+                        held += len(cut)
+                    else:
+                        known[4] += 1
+                        if (known[1] is None, known[1] or 0, known[2], known[3]) > (doc is None, doc or 0, digest, a):
+                            known[1:4] = doc, digest, a
+                yield batch_of([(g, name, digest, starts, None, None, None, None, None, None) for name, (g, starts) in places.items()])
+                if held > COUNT_BYTES:
+                    yield batch_of([(g, name, d, None, doc_, a, *rest) for name, (g, doc_, d, a, *rest) in counts.items()])
+                    counts, held = {}, 0
+        yield batch_of([(g, name, d, None, doc_, a, *rest) for name, (g, doc_, d, a, *rest) in counts.items()])
+
+    return candidates.select("digest", "doc", "data", "grams").mapInArrow(run, CONTEXT_SCHEMA)
+
+
+def _marks(group: list[tuple[bytes, int, int]], length: int, low: int, high: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For contexts (data, offset, strings) in order: which strings occurred earlier, and which occur elsewhere too.
+
+    The distances of the strings from their anchor are between low and high.
+    """
+    if len(group) == 1:
+        return [(np.zeros(group[0][2], bool), np.zeros(group[0][2], bool))]
     total = sum(len(d) for d, _, _ in group) + len(group)
     if total <= SORT_BYTES:
         joined, at, starts = np.zeros(total, np.int16), 0, []
@@ -223,68 +263,84 @@ def _classes(group: list[tuple[bytes, int, int]], length: int) -> list[np.ndarra
             joined[at : at + len(data)] += 1
             starts.append(at)
             at += len(data) + 1
-        _, ranks = prefix_ranks(joined, length)
-        return [ranks[s : s + n] for s, (_, _, n) in zip(starts, group, strict=True)]
-    # a large group: equal strings stand at the same distance from the anchor, so each distance is its own class space
-    hashed = []
-    for data, offset, n in group:
-        h = _string_hashes(np.frombuffer(data, np.uint8), length)[:n]
-        distance = (offset - np.arange(n)).astype(np.uint64)
-        hashed.append((h ^ (distance * ODD[1])).view(np.int64))
-    return hashed
-
-
-def _string_hashes(data: np.ndarray, length: int) -> np.ndarray:
-    """Hash of the `length` bytes from each place on: blocks by doubling, and the rest from an overlapping block."""
-    h, width = (data.astype(np.uint64) + np.uint64(1)) * ODD[0], 1
-    while width * 2 <= length:
-        h = ((h[:-width] * ODD[2]) ^ (h[width:] + (h[width:] >> np.uint64(29)))) * ODD[3]
-        width *= 2
-    n = len(data) - length + 1
-    return (h[:n] * ODD[4]) ^ (h[length - width : length - width + n] + (h[:n] >> np.uint64(33)))
+        lengths, sources = longest_previous_factors(joined, length)
+        own = np.zeros(total, bool)
+        for s, (_, _, n) in zip(starts, group, strict=True):
+            own[s : s + n] = True
+        later = own & (lengths >= length)
+        repeated = later.copy()
+        repeated[sources[later]] = True
+        return [(later[s : s + n], repeated[s : s + n]) for s, (_, _, n) in zip(starts, group, strict=True)]
+    if low == high:  # all are one string
+        return [(np.full(1, k > 0), np.ones(1, bool)) for k in range(len(group))]
+    out = [(np.zeros(n, bool), np.zeros(n, bool)) for _, _, n in group]
+    middle = (low + high) // 2
+    for a, b in ((low, middle), (middle + 1, high)):
+        classes: dict[bytes, dict[tuple[bytes, int, int], list[tuple[int, int]]]] = {}
+        for k, (data, offset, n) in enumerate(group):
+            first, last = max(0, offset - b), min(n - 1, offset - a)
+            if first <= last:
+                part = (data[first : last + length], offset - first, last - first + 1)
+                core = data[offset - a : offset - b + length] if a < b else part[0]
+                classes.setdefault(core, {}).setdefault(part, []).append((k, first))
+        for parts in classes.values():
+            for (part, places), (later, repeated) in zip(parts.items(), _marks(list(parts), length, a, b), strict=True):
+                for nth, (k, first) in enumerate(places):
+                    out[k][0][first : first + part[2]] |= later | (nth > 0)
+                    out[k][1][first : first + part[2]] |= repeated | (len(places) > 1)
+    return out
 
 
-def repeated_spans(found: DataFrame, length: int, keep_first: bool) -> DataFrame:
-    """(digest, start, end) of runs of bytes that repeated strings cover, from contexts."""
+def _spans(flags: np.ndarray, length: int) -> list[int]:
+    """Starts and ends, in turn, of the bytes that runs of flagged strings cover."""
+    edges = np.flatnonzero(np.diff(np.concatenate(([0], flags.astype(np.int8), [0]))))
+    edges[1::2] += length - 1
+    return edges.tolist()
+
+
+def repeated_in_contexts(found: DataFrame, length: int) -> DataFrame:
+    """(gram, context_id, spans, first, first_spans) of the contexts with repeated strings, in bytes from a context's start.
+
+    first is the context's first place, (digest, start), and first_spans what of it repeats an earlier place.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, firsts, ends in _runs(batches):
-            columns = [rows.column(k).to_pylist() for k in range(1, 7)]
-            digests, out_start, out_end = [], [], []
+            columns = [rows.column(k).to_pylist() for k in range(1, 9)]
+            out: list[tuple] = []
             for a, b in zip(firsts.tolist(), ends.tolist(), strict=True):
-                own = list(zip(*[c[a:b] for c in columns], strict=True))
-                own.sort(key=lambda r: (r[1] is None, r[1] or 0, r[0], r[2][0]))
-                distinct: dict[tuple[bytes, int, int], list[int]] = {}
-                for k, (_, _, _, offset, n, data) in enumerate(own):
-                    distinct.setdefault((data, offset, n), []).append(k)
-                keys = list(distinct)
-                if len(keys) == 1:
-                    classes = [np.arange(keys[0][2])]
-                else:
-                    classes = _classes(keys, length)
-                times = np.array([sum(len(own[k][2]) for k in distinct[key]) for key in keys])
-                if times.sum() < 2:
+                counted: dict[bytes, list] = {}
+                for name, digest, doc, start, times, offset, n, data in zip(*[c[a:b] for c in columns], strict=True):
+                    place = (doc is None, doc or 0, digest, start)
+                    known = counted.setdefault(name, [place, 0, (data, offset, n)])
+                    known[0], known[1] = min(known[0], place), known[1] + times
+                order = sorted(counted.items(), key=lambda x: x[1][0])
+                if len(order) == 1 and order[0][1][1] == 1:
                     continue
-                flat = np.concatenate(classes)
-                weight = np.repeat(times, [len(c) for c in classes])
-                names, inverse = np.unique(flat, return_inverse=True)
-                repeated = np.bincount(inverse, weight)[inverse] > 1
-                at = 0
-                first_seen = np.zeros(len(names), bool)
-                for key, c in zip(keys, classes, strict=True):
-                    part, which = repeated[at : at + len(c)], inverse[at : at + len(c)]
-                    at += len(c)
-                    later = part & first_seen[which] if keep_first else part
-                    first_seen[which] = True
-                    for nth, (k, start) in enumerate((k, start) for k in distinct[key] for start in own[k][2]):
-                        edges = np.flatnonzero(np.diff(np.concatenate(([0], (part if nth else later).astype(np.int8), [0]))))
-                        for s, e in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
-                            digests.append(own[k][0])
-                            out_start.append(start + s)
-                            out_end.append(start + e - 1 + length)
-            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(out_start, pa.int64()), pa.array(out_end, pa.int64())], names=["digest", "start", "end"])
-
-    return _by_key(found, "gram").mapInArrow(run, "digest binary, start long, end long")
+                marks = _marks([x[2] for _, x in order], length, 0, length - GRAM)
+                for (name, (place, times, _)), (later, repeated) in zip(order, marks, strict=True):
+                    if times > 1:
+                        repeated[:] = True
+                    if repeated.any():
+                        out.append((rows.column(0)[a].as_py(), name, _spans(repeated, length), place[2], place[3], _spans(later, length)))
+            kinds = [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.int64(), pa.list_(pa.int64())]
+            columns = zip(*out, strict=True) if out else [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["gram", "context_id", "spans", "first_digest", "first_start", "first_spans"])
+
+    counts = found.where("context is not null").select("gram", "context_id", "digest", "doc", "start", "times", "offset", "strings", "context")
+    return _by_key(counts, "gram").mapInArrow(run, "gram long, context_id binary, spans array<long>, first_digest binary, first_start long, first_spans array<long>")
+
+
+def repeated_spans(found: DataFrame, length: int, keep_first: bool) -> DataFrame:
+    """(digest, starts, spans) of the places of contexts with repeated strings; spans are relative to each start."""
+    places = found.where("starts is not null").select("context_id", "digest", "starts")
+    told = repeated_in_contexts(found, length).drop("gram")
+    joined = places.join(told, "context_id")
+    if not keep_first:
+        return joined.select("digest", "starts", "spans")
+    first = (F.col("digest") == F.col("first_digest")) & F.array_contains("starts", F.col("first_start"))
+    rest = joined.select("digest", F.when(first, F.array_remove("starts", F.col("first_start"))).otherwise(F.col("starts")).alias("starts"), "spans")
+    return rest.unionByName(joined.where(first).select("digest", F.array("first_start").alias("starts"), F.col("first_spans").alias("spans")))
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -305,7 +361,7 @@ def cut_texts(candidates: DataFrame, spans: DataFrame) -> DataFrame:
         for batch in batches:
             removed, runs, hashes, told = [], [], [], []
             for data, own in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                cut = merged([(s["start"], s["end"]) for s in own])
+                cut = merged([(at + a, at + b) for x in own for at in x["starts"] for a, b in zip(x["spans"][::2], x["spans"][1::2], strict=True)])
                 kept, at = hashlib.sha256(), 0
                 for a, b in cut:
                     kept.update(data[at:a])
@@ -317,21 +373,27 @@ def cut_texts(candidates: DataFrame, spans: DataFrame) -> DataFrame:
                 told.append([x for pair in cut for x in pair])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(hashes), pa.array(told, pa.list_(pa.int64()))], names=["digest", "n_removed", "n_spans", "kept_sha256", "spans"])
 
-    grouped = spans.groupBy("digest").agg(F.collect_list(F.struct("start", "end")).alias("own"))
+    grouped = spans.groupBy("digest").agg(F.collect_list(F.struct("starts", "spans")).alias("own"))
     return candidates.select("digest", "data").join(grouped, "digest").mapInArrow(run, "digest binary, n_removed long, n_spans long, kept_sha256 string, spans array<long>")
 
 
 def dedup_strings(docs: DataFrame, length: int = LENGTH, keep_first: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans) of every row; spans are the removed runs' starts and ends."""
+    with temporary(docs.sparkSession):
+        return staged(_deduped(docs, length, keep_first, id_col, text_col), keep=True)
+
+
+def _deduped(docs: DataFrame, length: int, keep_first: bool, id_col: str, text_col: str) -> DataFrame:
     table = staged(anchor_table(docs, id_col, text_col, length))
-    shared = staged(shared_anchors(table))
-    small = shared.count() <= BROADCAST_DIGESTS
-    hint = F.broadcast if small else (lambda df: df)
     classes = table.groupBy("digest").agg(F.count("*").alias("copies"), F.min(F.col("doc_id").cast("long")).alias("doc"))
-    texts = texts_by_digest(docs, text_col, length).join(hint(shared.select("digest")), "digest", "left_semi").dropDuplicates(["digest"])
-    candidates = staged(texts.join(shared, "digest").join(classes.select("digest", "doc"), "digest"))
-    spans = repeated_spans(contexts(candidates, length), length, keep_first)
-    cut = staged(cut_texts(candidates, spans))
+    with temporary(docs.sparkSession):
+        shared = staged(shared_anchors(table))
+        small = shared.count() <= BROADCAST_DIGESTS
+        hint = F.broadcast if small else (lambda df: df)
+        texts = texts_by_digest(docs, text_col, length).join(hint(shared.select("digest")), "digest", "left_semi").dropDuplicates(["digest"])
+        candidates = staged(texts.join(shared, "digest").join(classes.select("digest", "doc"), "digest"))
+        found = staged(contexts(candidates, length))
+        cut = staged(cut_texts(candidates, repeated_spans(found, length, keep_first)), keep=True)
     rows = table.select("doc_id", "digest", "n_bytes").join(classes, "digest").join(cut, "digest", "left")
     copy = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
     if keep_first:
