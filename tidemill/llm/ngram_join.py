@@ -66,7 +66,11 @@ class Similarity:
 
 #: Coordinates of a point by the size of its set, so that unrelated sets' bounds stay below the threshold.
 COORDINATES = ((400, 64), (2500, 256), (1 << 62, 1024))
+#: Coordinates up to which a point isn't compressed, and the mark of one that is.
+PLAIN, PACKED = 64, 0x80
 LEAF = 32
+#: Pairs whose bounds are taken at once.
+STEP_PAIRS = 4096
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 
 
@@ -125,18 +129,38 @@ def bucket_keys(found: np.ndarray, ends: np.ndarray, like: Similarity) -> np.nda
 
 
 def counts(found: np.ndarray) -> bytes:
-    """The point of a set."""
+    """The point of a set: a byte that tells the bytes of a coordinate, and the coordinates, packed where they are many."""
     size = next(k for most, k in COORDINATES if len(found) < most)
     at = np.bincount((mixed(found) >> np.uint64(40)).astype(np.int64) % size, minlength=size)
-    return zstandard.ZstdCompressor(level=1).compress(at.astype("<u4").reshape(-1, 1).view(np.uint8).T.tobytes())
+    width = next(w for w in (1, 2, 4) if int(at.max()) < 1 << 8 * w)
+    body = at.astype(f"<u{width}").tobytes()
+    return bytes([width]) + body if size <= PLAIN else bytes([width | PACKED]) + zstandard.ZstdCompressor(level=1).compress(body)
+
+
+def unpacked(blobs: list[bytes]) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
+    """By bytes of a coordinate and of a point: (places in the list, matrix of the points)."""
+    unpacker, found = zstandard.ZstdDecompressor(), {}
+    for k, b in enumerate(blobs):
+        body = unpacker.decompress(b[1:]) if b[0] & PACKED else b[1:]
+        at, bodies = found.setdefault((b[0] & ~PACKED, len(body)), ([], []))
+        at.append(k)
+        bodies.append(body)
+    return {(width, n): (np.array(at), np.frombuffer(b"".join(bodies), f"<u{width}").reshape(len(at), -1).astype(np.int32)) for (width, n), (at, bodies) in found.items()}
+
+
+def folded(at: np.ndarray, size: int) -> np.ndarray:
+    """Points of so many coordinates, each the sum of those of finer points that it stands for."""
+    return at if at.shape[1] == size else at.reshape(len(at), at.shape[1] // size, size).sum(axis=1, dtype=np.int32)
 
 
 def points(blobs: list[bytes]) -> np.ndarray:
     """Points of one bucket as rows of one matrix; finer ones are folded if there are coarser ones."""
-    unpacker = zstandard.ZstdDecompressor()
-    rows = [np.frombuffer(unpacker.decompress(b), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64) for b in blobs]
-    size = min(map(len, rows))
-    return np.stack([r if len(r) == size else r.reshape(-1, size).sum(0) for r in rows])
+    found = unpacked(blobs).values()
+    size = min(at.shape[1] for _, at in found)
+    out = np.empty((len(blobs), size), np.int32)
+    for places, at in found:
+        out[places] = folded(at, size)
+    return out
 
 
 class RTree:
@@ -210,9 +234,24 @@ class PointBound(Likely):
 
     def both(self, left: list, right: list) -> np.ndarray:
         out = np.zeros(len(left), bool)
-        for i, pair in enumerate(zip(left, right, strict=True)):
-            at = points(list(pair))
-            out[i] = (self.like.numerator + self.like.denominator) * int(np.minimum(at[0], at[1]).sum()) >= self.like.numerator * int(at.sum())
+        top = self.like.numerator + self.like.denominator
+        for a in range(0, len(left), STEP_PAIRS):
+            n = len(left[a : a + STEP_PAIRS])
+            kinds = [np.zeros(n, np.int64), np.zeros(n, np.int64)]
+            rows = [np.zeros(n, np.int64), np.zeros(n, np.int64)]
+            matrices: list[list[np.ndarray]] = [[], []]
+            for side, blobs in enumerate((left[a : a + n], right[a : a + n])):
+                for places, at in unpacked(blobs).values():
+                    kinds[side][places] = len(matrices[side])
+                    rows[side][places] = np.arange(len(places))
+                    matrices[side].append(at)
+            for x, p in enumerate(matrices[0]):
+                for y, q in enumerate(matrices[1]):
+                    own = np.flatnonzero((kinds[0] == x) & (kinds[1] == y))
+                    size = min(p.shape[1], q.shape[1])
+                    p_own, q_own = folded(p[rows[0][own]], size), folded(q[rows[1][own]], size)
+                    bound = np.minimum(p_own, q_own).sum(axis=1, dtype=np.int64)
+                    out[a + own] = top * bound >= self.like.numerator * (p_own.sum(axis=1, dtype=np.int64) + q_own.sum(axis=1, dtype=np.int64))
         return out
 
 
