@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tests.conftest import SMALL
 from tidemill.llm import bpe, decontamination, licenses, line_dedup, linking, ngram_join, quality, secrets, sharding, suffix_dedup, toxicity
 from tidemill.llm.catalog import QUERIES
+from tidemill.llm.common import lookup
 
 tokenizers = pytest.importorskip("public_tokenizers")
 EDGES = [None, "", " ", "\n\n", "a", "é ü 漢字 😀", "x" * 5000, "one two three four five " * 40, "one two three four five " * 40, "Tab\tand\x0bmore\r\nlines\nlines\nlines", "|" * 30, "\x00\x1c\x85"]
@@ -429,3 +430,29 @@ def test_toxicity_on_held_out_rows(spark):
     held_out = [(y, got[k]["toxic"]) for k, _, y in rows if k >= 300]
     assert sum(bool(y) == t for y, t in held_out) >= 0.95 * len(held_out) and len(got) == 601
     assert toxicity.toxic_documents(docs, labels.limit(0)).count() == 601
+
+
+def test_lookup_of_hot_and_other_keys(spark):
+    keys = [1] * 500 + [2] * 300 + list(range(3, 400)) + [None, None, 999]
+    rows = spark.createDataFrame(list(enumerate(keys)), "ord long, key long")
+    unique = rows.where("key is not null and key <> 999").groupBy("key").agg(F.min("ord").alias("first"), F.count("*").alias("n"))
+    got = lookup(rows, unique, "key", "n", rows.count()).collect()
+    first = {k: keys.index(k) for k in keys}
+    assert {(r["ord"], r["key"], r["first"], r["n"]) for r in got} == {(i, k, None if k in (None, 999) else first[k], None if k in (None, 999) else keys.count(k)) for i, k in enumerate(keys)}
+
+
+def test_results_own_what_they_read(spark):
+    first = ngram_join.link_documents(frame(spark, ["a b c d", "a b c d", "x"]))
+    cut = line_dedup.remove_lines(quality.keep_good(frame(spark, ["one two three four five six seven eight nine ten eleven"] * 2)))
+    line_dedup.dedup_lines(frame(spark, ["y\nz"])).collect()
+    assert [r["component_id"] for r in first.orderBy("doc_id").collect()] == [0, 0, 2]
+    assert ngram_join.keep_one_each(cut).count() == 1 and cut.count() == 1
+
+
+def test_stages_take_columns_of_any_name(spark):
+    names = ["left", "gone", "f", "own", "cut", "hash", "left_lines", "own_hash", "own_text", "n", "Doc", "__hash"]
+    texts = ["one two three four five six seven eight nine ten eleven", None, "", "one two three four five six seven eight nine ten eleven"]
+    docs = spark.createDataFrame([(k, t, *range(len(names))) for k, t in enumerate(texts)], "doc_id long, text string, " + ", ".join(f"{n} long" for n in names))
+    for f in (quality.keep_good, line_dedup.remove_lines, ngram_join.keep_one_each):
+        assert f(docs).columns == docs.columns and 0 in {r["doc_id"] for r in f(docs).collect()}
+        assert f(docs.limit(0)).count() == 0

@@ -11,6 +11,7 @@ from contextlib import contextmanager
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import tidemill
 
@@ -91,6 +92,26 @@ def temporary(spark: SparkSession) -> Iterator[None]:
             _delete(spark, path)
 
 
+#: A key is hot if it holds at least one in so many of all rows; there can't be more hot keys than this.
+HOT = 256
+
+
+def lookup(rows: DataFrame, unique: DataFrame, key: str, weight: str, total: int) -> DataFrame:
+    """rows with the columns of unique, which has a row a key and in `weight` how many of the `total` rows have it.
+
+    Rows with a hot key find it in a broadcast of at most HOT keys and are dealt out by their own hash, so that no
+    key's rows meet in one task; the others are joined by key. Rows whose key isn't in unique get nulls.
+    """
+    hot_key, hot, salt, rest_key, rest, rest_salt = free_names([*rows.columns, *unique.columns], "hot_key", "hot", "salt", "rest_key", "rest", "rest_salt")
+    values, is_hot = F.struct(*[c for c in unique.columns if c != key]), F.col(weight) * HOT >= max(total, 1)
+    few = unique.where(is_hot).select(F.col(key).alias(hot_key), values.alias(hot))
+    many = unique.where(~is_hot).select(F.col(key).alias(rest_key), F.lit(0).alias(rest_salt), values.alias(rest))
+    own = F.when(F.col(hot).isNull(), 0).otherwise(F.pmod(F.xxhash64(*rows.columns), F.lit(1 << 16)).cast("int") + 1)
+    marked = rows.join(F.broadcast(few), F.col(key) == F.col(hot_key), "left").withColumn(salt, own)
+    joined = marked.join(many, (F.col(key) == F.col(rest_key)) & (F.col(salt) == F.col(rest_salt)), "left")
+    return joined.select(*rows.columns, *[F.coalesce(F.col(hot)[c], F.col(rest)[c]).alias(c) for c in unique.columns if c != key])
+
+
 def free_names(columns: list[str], *wanted: str) -> list[str]:
     """The wanted names, each with underscores before it until none of the columns is called so."""
     taken, found = {c.lower() for c in columns}, []

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemill.llm.common import bounded_batches, free_names, staged, temporary
+from tidemill.llm.common import bounded_batches, free_names, lookup, staged, temporary
 from tidemill.llm.linking import buckets, components, link_by_sets, with_ids
 from tidemill.llm.ngram_join import mixed
 
@@ -200,8 +200,9 @@ def judge_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     own = table.select("doc_id", "text_hash", F.posexplode("lines").alias("line", "id")).where("id is not null")
     placed = own.join(roots, "id", "left").select("doc_id", "text_hash", "line", F.coalesce("root", "id").alias("class_id"))
     place = F.struct("doc_id", "line", "text_hash")
-    first = placed.groupBy("class_id").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("class_id", "first")
-    kept = placed.join(first, "class_id", "left").withColumn("kept", F.coalesce(place.eqNullSafe(F.col("first")) | F.col("first").isNull(), F.lit(True)))
+    placed = staged(placed)
+    first = staged(placed.groupBy("class_id").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1"))
+    kept = lookup(placed, first, "class_id", "n", placed.count()).withColumn("kept", F.coalesce(place.eqNullSafe(F.col("first")) | F.col("first").isNull(), F.lit(True)))
     return table, kept.select("doc_id", "text_hash", "line", "class_id", "kept")
 
 

@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import bounded_batches, free_names, staged, temporary
+from tidemill.llm.common import bounded_batches, free_names, lookup, staged, temporary
 from tidemill.llm.linking import BROADCAST_IDS, Likely, buckets, link, with_ids
 
 
@@ -321,8 +321,8 @@ def link_documents(docs: DataFrame, like: Similarity = Similarity(), id_col: str
 def _linked_documents(source: DataFrame, like: Similarity) -> DataFrame:
     table = staged(shingle_table(source, like))
     has = table.where("n > 0 and id is not null")
-    first = has.groupBy("digest").agg(F.min("id").alias("a"))
-    equal = staged(has.select("id", "digest").join(first, "digest").where("a <> id").select("a", F.col("id").alias("b")).distinct())
+    first = staged(has.groupBy("digest").agg(F.min("id").alias("a"), F.count("*").alias("copies")).where("copies > 1"))
+    equal = staged(lookup(has.select("id", "digest"), first, "digest", "copies", has.count()).where("a <> id").select("a", F.col("id").alias("b")).distinct())
     at = table.where("point is not null and id is not null").select("id", "point").dropDuplicates(["id"])
     members = staged(buckets(keyed_documents(source, like)).join(at.withColumnRenamed("point", "payload"), "id"))
     hashes = WordHashes()

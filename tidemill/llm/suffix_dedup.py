@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import bounded_batches, staged, temporary
+from tidemill.llm.common import bounded_batches, lookup, staged, temporary
 from tidemill.llm.linking import _by_key, _runs
 
 LENGTH, GRAM = 400, 64
@@ -385,7 +385,7 @@ def dedup_strings(docs: DataFrame, length: int = LENGTH, keep_first: bool = Fals
 
 def _deduped(docs: DataFrame, length: int, keep_first: bool, id_col: str, text_col: str) -> DataFrame:
     table = staged(anchor_table(docs, id_col, text_col, length))
-    classes = table.groupBy("digest").agg(F.count("*").alias("copies"), F.min(F.col("doc_id").cast("long")).alias("doc"))
+    classes = staged(table.groupBy("digest").agg(F.count("*").alias("copies"), F.min(F.col("doc_id").cast("long")).alias("doc")))
     with temporary(docs.sparkSession):
         shared = staged(shared_anchors(table))
         small = shared.count() <= BROADCAST_DIGESTS
@@ -394,7 +394,8 @@ def _deduped(docs: DataFrame, length: int, keep_first: bool, id_col: str, text_c
         candidates = staged(texts.join(shared, "digest").join(classes.select("digest", "doc"), "digest"))
         found = staged(contexts(candidates, length))
         cut = staged(cut_texts(candidates, repeated_spans(found, length, keep_first)), keep=True)
-    rows = table.select("doc_id", "digest", "n_bytes").join(classes, "digest").join(cut, "digest", "left")
+    known = classes.join(cut, "digest", "left")
+    rows = lookup(table.select("doc_id", "digest", "n_bytes"), staged(known), "digest", "copies", table.count())
     copy = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
     if keep_first:
         copy = copy & ~F.col("doc_id").cast("long").eqNullSafe(F.col("doc"))
