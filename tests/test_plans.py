@@ -234,8 +234,8 @@ def test_feedback_eval_ranks_more_than_a_million_customers(spark, tmp_path):
 def test_replay_and_audit_take_every_part_of_the_size(spark):
     parts = {r.p_partkey for r in spark.read.parquet("/root/testdata/sf0.001/part.parquet").where("p_size = 7").collect()}
     suppliers = spark.read.parquet("/root/testdata/sf0.001/supplier.parquet").count()
-    scored = catalog.QUERIES["match_v2_replay_whole"](spark, "/root/testdata/sf0.001").collect()
-    audited = catalog.QUERIES["leakage_audit_whole"](spark, "/root/testdata/sf0.001").collect()
+    scored = catalog.QUERIES["match_v2_replay"](spark, "/root/testdata/sf0.001").collect()
+    audited = catalog.QUERIES["leakage_audit"](spark, "/root/testdata/sf0.001").collect()
     assert parts and {r.target_campaign_id for r in scored} == parts == {r.target_campaign_id for r in audited} and len(scored) == len(parts) * suppliers
 
 

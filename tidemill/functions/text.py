@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,6 +45,11 @@ def split_list(x: Column, separator: str = ";") -> Column:
     return F.array_distinct(F.filter(F.transform(parts, stripped), lambda p: p != ""))
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once: within f, an expression would be computed at each of its uses."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def contains_any(x: Column, words: list[str]) -> Column:
     """Whether x holds one of the words."""
     if not words:

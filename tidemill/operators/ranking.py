@@ -42,12 +42,19 @@ def with_percentile_rank(df: DataFrame, value: str, output: str, partition: list
         placed = ranged.withColumn("__in", inner).join(before, "__part").withColumn("__upto", F.col("__before") + F.col("__in"))
     average = F.col("__upto").cast("double") - (F.col("__same") - 1) / F.lit(2.0)
     rank = F.when(F.col("__n") == 1, 100.0).otherwise((average - 1) * 100.0 / (F.col("__n") - 1))
-    return df.join(placed.select(*keys, value, rank.alias(output)), [*keys, value], "left")
+    # rows without a value find none, and are dealt out by their hash
+    spread = F.when(F.col(value).isNull(), F.pmod(F.xxhash64(*df.columns), F.lit(1 << 16)) + 1).otherwise(F.lit(0).cast("long"))
+    found = placed.select(*keys, value, F.lit(0).cast("long").alias("__spread"), rank.alias(output))
+    return df.withColumn("__spread", spread).join(found, [*keys, value, "__spread"], "left").drop("__spread")
 
 
 def ranked(df: DataFrame, eligible: Column, order: list[Column], partition: list[str] | None = None) -> DataFrame:
-    """df with rank among eligible rows, null for the others."""
-    keys = partition or []
+    """df with rank among eligible rows, null for the others; over the whole table by ranges, without a single task."""
+    if not partition:
+        marked = df.withColumn("__eligible", F.coalesce(eligible, F.lit(False)))
+        numbered = with_row_number(marked, [F.desc("__eligible"), *order], "rank")
+        return numbered.withColumn("rank", F.when(F.col("__eligible"), F.col("rank").cast("int"))).drop("__eligible")
+    keys = partition
     w = Window.partitionBy(*keys, F.col("__eligible")).orderBy(*order)
     return df.withColumn("__eligible", eligible).withColumn("rank", F.when(F.col("__eligible"), F.row_number().over(w))).drop("__eligible")
 

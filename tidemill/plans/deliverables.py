@@ -11,7 +11,7 @@ from tidemill.functions.parse import excel_date, known_truth, parse_metric
 from tidemill.functions.pii import pii_safe_text
 from tidemill.functions.text import ERROR_LITERALS, codes, contains_any, normalized, safe_text
 from tidemill.operators.dedupe import ordered_list
-from tidemill.plans.sheets import header_kind, map_headers, nearest_label, texts, with_segments
+from tidemill.plans.sheets import header_kind, map_headers, texts, with_nearest_label, with_segments
 
 #: Rows that sum up or repeat the header.
 SUMMARY_WORDS = ["total", "รวม", "influencer", "kols name"]
@@ -25,7 +25,7 @@ def blocks(grid: DataFrame) -> DataFrame:
     """Rows under an influencer or performance header, with kind, the header's columns by field, and a label; the last block runs to the sheet's end."""
     keys = ["file", "sheet"]
     v = texts(F.col("cells"))
-    marked = grid.withColumns({"kind": header_kind(v), "section_label": nearest_label(keys, "row_number")})
+    marked = with_nearest_label(grid.withColumn("kind", header_kind(v)), "section_label", keys, "row_number")
     marked = with_segments(marked, F.col("kind").isNotNull(), keys, "row_number")
     headers = marked.where("kind is not null").select(*keys, "header_row", F.col("kind").alias("block_kind"), map_headers(v).alias("columns"), F.col("section_label").alias("block_label"))
     body = marked.where(F.col("row_number") > F.col("header_row")).drop("kind", "section_label")

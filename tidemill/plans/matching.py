@@ -117,6 +117,9 @@ def shortlist(ranked_rows: DataFrame, cfg: MatchingConfig | MatchingV2Config) ->
     return ranked_rows.where((F.col("eligibility_status") == "eligible") & (F.col("rank") <= cfg.shortlist_size))
 
 
+#: Targets of one replay, whose list is broadcast.
+MOST_TARGETS = 10_000
+
 # --- v2 ---------------------------------------------------------------------------------------------------------
 
 
@@ -126,8 +129,17 @@ def without_target(rows: DataFrame, targets: DataFrame, features: Callable[[Data
     Only influencers with rows of the target are computed anew for it; all others have the features of
     their whole history. So rows aren't multiplied by the targets. The targets are a bounded list.
     """
-    if targets.count() > 10_000:
-        raise ValueError("a replay takes at most 10,000 targets at once; pass them in parts")
+    return _without_target(rows, bounded(targets), features)
+
+
+def bounded(targets: DataFrame) -> DataFrame:
+    """targets, if they are few enough to be broadcast."""
+    if targets.count() > MOST_TARGETS:
+        raise ValueError(f"a replay takes at most {MOST_TARGETS:,} targets at once; pass them in parts")
+    return targets
+
+
+def _without_target(rows: DataFrame, targets: DataFrame, features: Callable[[DataFrame, list[str]], DataFrame]) -> DataFrame:
     keys, t = ["target_campaign_id", "influencer_id"], F.broadcast(targets.select("target_campaign_id"))
     touched = rows.join(t, F.col("campaign_id") == F.col("target_campaign_id")).select(*keys).distinct()
     whole = features(rows, ["influencer_id"]).crossJoin(t).join(touched, keys, "left_anti")
@@ -152,19 +164,19 @@ def tag_history(pairs: DataFrame, tag_columns: list[str], keys: list[str]) -> Da
 
 def target_context(people: DataFrame, campaigns: DataFrame, facts: DataFrame, delivered: DataFrame, performed: DataFrame, targets: DataFrame, audience: DataFrame | None = None, tags: DataFrame | None = None) -> DataFrame:
     """Features of every (target, influencer) without the target's own rows."""
-    keys = ["target_campaign_id", "influencer_id"]
+    keys, targets = ["target_campaign_id", "influencer_id"], bounded(targets)
     base = people.crossJoin(F.broadcast(targets.select("target_campaign_id")))
     parts = [
-        without_target(facts, targets, lambda rows, by: fact_features(rows, campaigns, by)),
-        without_target(delivered, targets, deliverable_features),
-        without_target(performed, targets, performance_features),
+        _without_target(facts, targets, lambda rows, by: fact_features(rows, campaigns, by)),
+        _without_target(delivered, targets, deliverable_features),
+        _without_target(performed, targets, performance_features),
     ]
     if audience is not None:
-        parts.append(without_target(audience, targets, dominant_audience))
+        parts.append(_without_target(audience, targets, dominant_audience))
     if tags is not None:
         columns = [c for c in tags.columns if c.endswith("_tags")]
         pairs = facts.select("influencer_id", "campaign_id").distinct()
-        parts.append(without_target(pairs, targets, lambda rows, by: tag_history(rows.join(tags, "campaign_id"), columns, by)))
+        parts.append(_without_target(pairs, targets, lambda rows, by: tag_history(rows.join(tags, "campaign_id"), columns, by)))
     for part in parts:
         base = base.join(part, keys, "left")
     counts = ["campaign_count", "brand_count", "selected_known_campaign_count", "campaign_history_dq_warn_count", "fee_known_campaign_count", "posted_known_deliverable_count", "performance_record_count", "views_record_count"]
@@ -287,35 +299,31 @@ def percentile_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_percentile_rank(read_table(spark, sf_dir, "part"), "p_size", "size_percentile").select("p_partkey", F.round("size_percentile", 6).alias("size_percentile"))
 
 
-#: The filter of the target list in the SQL of match_v2_replay and leakage_audit, which leaves out four in five parts of the size.
-SQL_TARGETS = "campaign_id % 5 = 0"
-
-
-def replay_targets(spark: SparkSession, sf_dir: str, only: str = "true") -> DataFrame:
+def replay_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The parts of one size as target campaigns, a list that a replay is bounded by."""
     words = F.split("campaign_name", " ")
-    return registry(spark, sf_dir).where("p_size = 7").where(only).select(
+    return registry(spark, sf_dir).where("p_size = 7").select(
         F.col("campaign_id").alias("target_campaign_id"), F.lit("tiktok").alias("platform"), F.lit("all").alias("target_gender_mode"), F.lit(0.5).alias("female_target_share"), F.lit(0.5).alias("male_target_share"),
         F.lit(18).alias("target_age_min"), F.lit(34).alias("target_age_max"), F.array_distinct(words).alias("theme_tags"), F.array(F.col("campaign_type")).alias("persona_tags"), F.array().cast("array<string>").alias("style_tags"),
         F.lit("influencer_tiktok").alias("primary_budget_scope"), F.lit(45000.0).alias("primary_budget_amount"),
     )
 
 
-def replay(spark: SparkSession, sf_dir: str, only: str = "true") -> DataFrame:
+def replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     campaigns, obs = registry(spark, sf_dir), observations(spark, sf_dir)
     tags = campaigns.select("campaign_id", F.array_distinct(F.split("campaign_name", " ")).alias("theme_tags"), F.array("campaign_type").alias("persona_tags"), F.array().cast("array<string>").alias("style_tags"))
     audience = obs.select(
         "campaign_id", "influencer_id", F.when(F.col("selected"), "female").when(~F.col("selected"), "male").alias("gender"),
         F.when(F.col("confirmed"), "18-24").otherwise("25-34").alias("age_band"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"),
     )
-    targets = replay_targets(spark, sf_dir, only)
+    targets = replay_targets(spark, sf_dir)
     context = target_context(masters(spark, sf_dir), campaigns, campaign_facts(obs), deliverables(spark, sf_dir), performance(spark, sf_dir), targets, audience, tags)
     return score_targets(context, targets, V2)
 
 
 @query(
     "match_v2_replay",
-    """WITH tg AS (SELECT p_partkey AS t, p_name, p_type FROM part WHERE p_size = 7 AND p_partkey % 5 = 0),
+    """WITH tg AS (SELECT p_partkey AS t, p_name, p_type FROM part WHERE p_size = 7),
     st AS (SELECT l_partkey AS campaign_id, l_suppkey AS i, count(*) AS n, count(*) FILTER (WHERE l_returnflag = 'R') AS a, count(*) FILTER (WHERE l_returnflag = 'A') AS b, count(*) FILTER (WHERE l_linestatus = 'F') AS c1, count(*) FILTER (WHERE l_linestatus = 'O') AS c0,
       count(DISTINCT l_extendedprice) AS nf, min(l_extendedprice) AS fee FROM lineitem GROUP BY 1, 2),
     ex AS (SELECT t, i, count(*) AS cc, count(DISTINCT p_brand) AS bc, count(*) FILTER (WHERE a > 0 AND b = 0) AS sel, count(*) FILTER (WHERE (a > 0) <> (b > 0)) AS selk, count(*) FILTER (WHERE n > 1) AS warn, count(*) FILTER (WHERE nf = 1) AS fees,
@@ -335,34 +343,27 @@ def replay(spark: SparkSession, sf_dir: str, only: str = "true") -> DataFrame:
     SELECT t AS target_campaign_id, i AS influencer_id, round(total, 3) AS total_score, CASE WHEN total IS NULL THEN 'ineligible' ELSE 'eligible' END AS eligibility_status, 0.95 :: DOUBLE AS active_weight_sum FROM tt""",
 )
 def v2_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scores_of(replay(spark, sf_dir, SQL_TARGETS))
+    return scores_of(replay(spark, sf_dir))
 
 
 def scores_of(scored: DataFrame) -> DataFrame:
     return scored.select("target_campaign_id", "influencer_id", F.round("total_score", 3).alias("total_score"), "eligibility_status", F.round("active_weight_sum", 6).alias("active_weight_sum"))
 
 
-@query("match_v2_replay_whole", ORACLES["match_v2_replay"].replace(" AND p_partkey % 5 = 0", ""))
-def v2_whole_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """match_v2_replay over every part of the size."""
-    return scores_of(replay(spark, sf_dir))
+@query(
+    "match_v2_rank",
+    ORACLES["match_v2_replay"].rpartition("SELECT t AS target_campaign_id")[0]
+    + "SELECT t AS target_campaign_id, i AS influencer_id, CASE WHEN total IS NOT NULL THEN CAST(row_number() OVER (PARTITION BY t, total IS NULL ORDER BY total DESC, h, i) AS INTEGER) END AS rank, 'replay_' || t || '_matching_v2' AS scenario_id FROM tt",
+)
+def v2_rank_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replay(spark, sf_dir).select("target_campaign_id", "influencer_id", "rank", "scenario_id")
 
 
 @query(
     "leakage_audit",
     """SELECT p_partkey AS target_campaign_id, CAST(count(l_suppkey) AS BIGINT) AS excluded_observations, CAST(count(DISTINCT l_suppkey) AS BIGINT) AS excluded_facts, 'PASS' AS leakage_guard_status
-    FROM part LEFT JOIN lineitem ON l_partkey = p_partkey WHERE p_size = 7 AND p_partkey % 5 = 0 GROUP BY 1""",
+    FROM part LEFT JOIN lineitem ON l_partkey = p_partkey WHERE p_size = 7 GROUP BY 1""",
 )
 def audit_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit_of(spark, sf_dir, SQL_TARGETS)
-
-
-def audit_of(spark: SparkSession, sf_dir: str, only: str = "true") -> DataFrame:
     obs = observations(spark, sf_dir)
-    return leakage_audit(replay_targets(spark, sf_dir, only), observations=obs, facts=campaign_facts(obs))
-
-
-@query("leakage_audit_whole", ORACLES["leakage_audit"].replace(" AND p_partkey % 5 = 0", ""))
-def audit_whole_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """leakage_audit over every part of the size."""
-    return audit_of(spark, sf_dir)
+    return leakage_audit(replay_targets(spark, sf_dir), observations=obs, facts=campaign_facts(obs))

@@ -73,19 +73,23 @@ def audience_profiles(rows: DataFrame, order: Column) -> DataFrame:
     """One row an influencer: dominant gender and age band (of equal counts the one seen first), shares, counts by band, confidence."""
     raws = ["influencer_id", "audience_gender_raw", "audience_age_raw"]
     counted = rows.withColumn("ord", order).groupBy(*raws).agg(F.count("*").alias("times"), F.min("ord").alias("ord"))  # texts repeat: each is read once
-    r = counted.withColumns({"g": audience_gender(F.col("audience_gender_raw")), "a": audience_age(F.col("audience_age_raw"))})
+    texts = counted.select(*raws[1:]).distinct()
+    texts = texts.withColumns({"g": audience_gender(F.col("audience_gender_raw")), "a": audience_age(F.col("audience_age_raw"))})
+    r = counted.alias("x").join(texts.alias("y"), F.expr("x.audience_gender_raw <=> y.audience_gender_raw and x.audience_age_raw <=> y.audience_age_raw")).select("x.influencer_id", "x.times", "x.ord", "y.g", "y.a")
     gender = F.when(F.col("g.gender").isin("female", "male", "mixed"), F.col("g.gender"))
     band = F.when(F.col("a.age_min").isNotNull(), F.concat_ws("-", F.col("a.age_min").cast("string"), F.col("a.age_max").cast("string")))
-    flat = r.select("influencer_id", gender.alias("gender"), band.alias("age_band"), "times", "ord")
-
-    def dominant(column: str, name: str) -> DataFrame:
-        counted = flat.where(F.col(column).isNotNull()).groupBy("influencer_id", column).agg(F.sum("times").alias("c"), F.min("ord").alias("o"))
-        told = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(column).alias("v"), "c"))), lambda s: F.concat(s["v"], F.lit(":"), s["c"].cast("string"))), ";")
-        return counted.groupBy("influencer_id").agg(
-            F.max_by(column, F.struct("c", -F.col("o"))).alias(f"dominant_{name}"), F.sum("c").alias(f"{name}_observation_count"), (F.max("c") / F.sum("c")).alias(f"dominant_{name}_share"), told.alias(f"{name}_counts")
-        )
-
-    out = rows.select("influencer_id").distinct().join(dominant("gender", "gender"), "influencer_id", "left").join(dominant("age_band", "age"), "influencer_id", "left")
+    read = F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("v")) for k, v in (("gender", gender), ("age", band))]))
+    values = r.select("influencer_id", "times", "ord", read).groupBy("influencer_id", "kind", "v").agg(F.sum("times").alias("c"), F.min("ord").alias("o"))
+
+    def dominant(kind: str) -> list[Column]:
+        own = lambda x: F.when((F.col("kind") == kind) & F.col("v").isNotNull(), x)
+        n, parts = F.sum(own(F.col("c"))), F.array_sort(F.collect_list(own(F.struct("v", "c"))))
+        told = F.array_join(F.transform(parts, lambda s: F.concat(s["v"], F.lit(":"), s["c"].cast("string"))), ";")
+        return [
+            F.max_by("v", own(F.struct("c", -F.col("o")))).alias(f"dominant_{kind}"), n.alias(f"{kind}_observation_count"), (F.max(own(F.col("c"))) / n).alias(f"dominant_{kind}_share"), F.when(n.isNotNull(), told).alias(f"{kind}_counts"),
+        ]
+
+    out = values.groupBy("influencer_id").agg(*dominant("gender"), *dominant("age"))
     n = lambda c: F.coalesce(c, F.lit(0))
     confidence = F.when((n("gender_observation_count") >= 2) & (n("age_observation_count") >= 2), "high").when(n("gender_observation_count") + n("age_observation_count") > 0, "medium").otherwise("low")
     return out.withColumns({"gender_observation_count": n("gender_observation_count"), "age_observation_count": n("age_observation_count"), "audience_confidence": confidence})

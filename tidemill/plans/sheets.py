@@ -15,7 +15,7 @@ from tidemill.catalog import query, read_table
 from tidemill.functions.identity import identity_observation, row_hash
 from tidemill.functions.parse import parse_fee, parse_number
 from tidemill.functions.pii import suppressed
-from tidemill.functions.text import ERROR_LITERALS, codes, compact, contains_any, is_nonempty, normalized, safe_text
+from tidemill.functions.text import ERROR_LITERALS, bound, codes, compact, contains_any, is_nonempty, normalized, safe_text
 from tidemill.operators.reconcile import code_frequency
 
 #: Weights of the words that make a candidate header.
@@ -206,10 +206,8 @@ def accepted_and_quarantined(observations: DataFrame) -> tuple[DataFrame, DataFr
 
 def map_headers(values: Column) -> Column:
     """Map from a canonical field to its first column; one column may feed several fields."""
-    plain = F.transform(values, normalized)
-    at = {name: _first_index(plain, words) for name, words in SYNONYMS.items()}
-    entries = F.array_compact(F.array(*[F.when(i.isNotNull(), F.struct(F.lit(n).alias("k"), i.alias("v"))) for n, i in at.items()]))
-    return F.map_from_entries(entries)
+    entries = lambda plain: F.array(*[F.struct(F.lit(n).alias("k"), _first_index(plain, words).alias("v")) for n, words in SYNONYMS.items()])
+    return F.map_from_entries(F.filter(bound(F.transform(values, normalized), entries), lambda e: e["v"].isNotNull()))
 
 
 def _first_index(plain: Column, words: list[str]) -> Column:
@@ -219,21 +217,28 @@ def _first_index(plain: Column, words: list[str]) -> Column:
 
 def header_kind(values: Column) -> Column:
     """influencer, performance, or null; an influencer header comes first."""
-    names = F.map_keys(map_headers(values))
-    n = lambda wanted: F.size(F.array_intersect(names, F.array(*[F.lit(w) for w in wanted])))
-    return F.when(F.array_contains(names, "identity") & (n(INFLUENCER_EVIDENCE) >= 2), "influencer").when(n(PERFORMANCE_EVIDENCE) >= 3, "performance")
+    n = lambda names, wanted: F.size(F.array_intersect(names, F.array(*[F.lit(w) for w in wanted])))
+    kind = lambda x: F.when(F.array_contains(x, "identity") & (n(x, INFLUENCER_EVIDENCE) >= 2), "influencer").when(n(x, PERFORMANCE_EVIDENCE) >= 3, "performance")
+    return bound(F.map_keys(map_headers(values)), kind)
 
 
-def nearest_label(keys: list[str], order: str) -> Column:
-    """A label from the 68 rows before: the nearest period, then up to three short rows, the farthest first, without repeats."""
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(-68, -1)
+def with_nearest_label(rows: DataFrame, name: str, keys: list[str], order: str) -> DataFrame:
+    """rows with a label from the 68 rows before: the nearest period, then up to three short rows, the farthest first, without repeats.
+
+    Each row takes what the last short row before it knows: itself, and the two before that one; so no list of rows is kept.
+    """
+    over = Window.partitionBy(*keys).orderBy(order)
+    before = over.rowsBetween(Window.unboundedPreceding, -1)
     present = F.filter(F.transform(texts(F.col("cells")), safe_text), lambda v: v != "")
     label = F.array_join(present, " | ")
     usable = (F.size(present) >= 1) & (F.size(present) <= 2) & ~contains_any(label, ERROR_LITERALS)
-    near = F.reverse(F.collect_list(F.when(usable, label)).over(w))
-    period = F.try_element_at(F.filter(near, lambda x: contains_any(normalized(x), PERIOD_WORDS)), F.lit(1))
-    parts = F.array_distinct(F.array_compact(F.concat(F.array(period), F.reverse(F.slice(near, 1, 3)))))
-    return F.array_join(parts, " || ")
+    short = rows.withColumn("__n", F.row_number().over(over)).withColumn("__short", F.when(usable, F.struct(F.col("__n").alias("n"), label.alias("text"))))
+    is_period = contains_any(normalized(F.col("__short.text")), PERIOD_WORDS)
+    own = lambda c: F.when(F.col("__short").isNotNull(), F.col(c))
+    told = short.withColumns({"__1": F.last("__short", ignorenulls=True).over(before), "__period": F.last(F.when(is_period, F.col("__short")), ignorenulls=True).over(before)})
+    told = told.withColumn("__2", F.last(own("__1"), ignorenulls=True).over(before)).withColumn("__3", F.last(own("__2"), ignorenulls=True).over(before))
+    near = [F.when(F.col(f"{c}.n") >= F.col("__n") - 68, F.col(f"{c}.text")) for c in ("__period", "__3", "__2", "__1")]
+    return told.withColumn(name, F.array_join(F.array_distinct(F.array_compact(F.array(*near))), " || ")).drop("__n", "__short", "__period", "__1", "__2", "__3")
 
 
 def next_nonempty(values: Column, index: int | Column) -> Column:
@@ -321,4 +326,4 @@ def label_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("event_type") == "signup", "Report Oct").when(F.col("event_type") == "error", "Total")
     cell = F.struct(F.lit("str").alias("t"), label.alias("s"))
     e = read_table(spark, sf_dir, "events").withColumn("cells", F.when(label.isNotNull(), F.array(cell)).otherwise(F.array(cell, cell, cell)))
-    return e.select("user_id", "event_id", nearest_label(["user_id"], "event_id").alias("label"))
+    return with_nearest_label(e, "label", ["user_id"], "event_id").select("user_id", "event_id", "label")
