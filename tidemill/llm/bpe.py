@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import bounded_batches
+from tidemill.llm.common import bounded_batches, tidy
 
 #: Bytes of text gathered in a block before it is closed.
 BLOCK_BYTES = 8 << 20
@@ -197,7 +197,7 @@ def token_blocks(docs: DataFrame, pattern: str, n_slices: int, block_bytes: int
         if block.ids:
             yield close()
 
-    found = docs.select("doc_id", "text").mapInArrow(run, f"doc_ids array<{kind}>, counts binary, places binary, slice_of binary, slices array<binary>")
+    found = docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_ids array<{kind}>, counts binary, places binary, slice_of binary, slices array<binary>")
     return found.select(F.monotonically_increasing_id().alias("block"), "*")
 
 
@@ -212,7 +212,7 @@ def block_words(blocks: DataFrame, n_slices: int) -> DataFrame:
                 block = pa.array([batch.column(0)[i].as_py()] * n_slices, pa.int64())
                 yield pa.RecordBatch.from_arrays([block, pa.array(range(n_slices), pa.int32()), slices], names=["block", "slice", "words"])
 
-    return blocks.mapInArrow(run, "block long, slice int, words binary")
+    return blocks.mapInArrow(tidy(run), "block long, slice int, words binary")
 
 
 def encode_words(slices: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
@@ -239,7 +239,7 @@ def encode_words(slices: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["block", "slice", "ids"])
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return slices.repartition(n, "slice").mapInArrow(run, "block long, slice int, ids binary")
+    return slices.repartition(n, "slice").mapInArrow(tidy(run), "block long, slice int, ids binary")
 
 
 def put_together(row: dict, slices: list[int], blobs: list[bytes], n_slices: int) -> tuple[np.ndarray, np.ndarray]:
@@ -318,7 +318,7 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids") ->
             yield pa.RecordBatch.from_arrays([*batch.columns, _joined(batch.column(at), table, b"")], names=[*batch.schema.names, "decoded"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema) + ", decoded binary"
-    return encoded.mapInArrow(run, schema)
+    return encoded.mapInArrow(tidy(run), schema)
 
 
 def digests(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
@@ -336,7 +336,7 @@ def digests(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
             told, decoded = sha(_joined(ids, numbers, b",")), sha(_joined(ids, tokens, b""))
             yield pa.RecordBatch.from_arrays([batch.column(0), n, told, decoded], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return encoded.select("doc_id", "ids").mapInArrow(tidy(run), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def round_trip_digest(docs: DataFrame, path: str, pattern: str) -> DataFrame:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import bounded_batches, shared_value, staged
+from tidemill.llm.common import bounded_batches, shared_value, staged, tidy
 
 #: BM25 parameters, and the words of the items of the first class.
 K1, B, SHORTEST = 1.2, 0.75, 16
@@ -256,7 +256,7 @@ def _contaminated(docs: DataFrame, indexes: Indexes, id_col: str, text_col: str,
                 names=["doc_id", "item_id", "first_word", "question_overlap", "answer_overlap"],
             )
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col)).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col)).mapInArrow(tidy(run), schema)
 
 
 def find_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -289,5 +289,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
                 clean = [not passage_matches(t.as_py(), indexes) for t in batch.column(at)]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
-        docs = docs.mapInArrow(run, schema)
+        docs = docs.mapInArrow(tidy(run), schema)
     return docs

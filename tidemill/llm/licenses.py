@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import bounded_batches
+from tidemill.llm.common import bounded_batches, tidy
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 #: Phrases and their labels.
@@ -170,7 +170,7 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(places, pa.list_(PLACE)), pa.array(matches, pa.list_(MATCH))], names=["doc_id", "n_words", "places", "matches"]
             )
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col)).mapInArrow(run, f"doc_id {kind}, {SCHEMA}")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col)).mapInArrow(tidy(run), f"doc_id {kind}, {SCHEMA}")
 
 
 def license_digest(found: DataFrame) -> DataFrame:

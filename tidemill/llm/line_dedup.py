@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemill.llm.common import bounded_batches, free_names, lookup, staged, temporary
+from tidemill.llm.common import bounded_batches, free_names, lookup, staged, temporary, tidy
 from tidemill.llm.linking import buckets, components, link_by_sets, with_ids
 from tidemill.llm.ngram_join import mixed
 
@@ -156,8 +156,7 @@ def line_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 [batch.column(0), pa.array(hashes, pa.int64()), pa.array(lines, longs), pa.array(new, longs), pa.array(keys, longs)], names=["doc_id", "text_hash", "lines", "new", "keys"]
             )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(
-        run, "doc_id long, text_hash long, lines array<long>, new array<long>, keys array<long>"
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(tidy(run), "doc_id long, text_hash long, lines array<long>, new array<long>, keys array<long>"
     )
 
 
@@ -169,7 +168,7 @@ def keyed_lines(table: DataFrame) -> DataFrame:
             ids = np.repeat(batch.column(0).flatten().to_numpy(), BANDS)
             yield pa.RecordBatch.from_arrays([batch.column(1).flatten(), pa.array(ids)], names=["key", "id"])
 
-    return table.select("new", "keys").mapInArrow(run, "key long, id long")
+    return table.select("new", "keys").mapInArrow(tidy(run), "key long, id long")
 
 
 def line_texts(docs: DataFrame) -> DataFrame:
@@ -187,7 +186,7 @@ def line_texts(docs: DataFrame) -> DataFrame:
                         blobs.append(plain.encode())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(blobs, pa.binary())], names=["id", "blob"])
 
-    return docs.select("text").mapInArrow(run, "id long, blob binary")
+    return docs.select("text").mapInArrow(tidy(run), "id long, blob binary")
 
 
 def judge_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -243,7 +242,7 @@ def remove_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hashes, pa.int64())], names=[*batch.schema.names, hash_])
 
     schema = T.StructType([*docs.schema, T.StructField(hash_, T.LongType())])
-    rows = docs.mapInArrow(hashed, schema)
+    rows = docs.mapInArrow(tidy(hashed), schema)
     joined = rows.join(gone, rows[id_col].cast("long").eqNullSafe(gone[own]) & (rows[hash_] == gone[own_hash]), "left").where(F.col(left).isNull() | (F.col(left) > 0))
     split = F.split(F.col(text_col), "\n", -1)
     rest = F.array_join(F.filter(split, lambda x, i: ~F.array_contains(cut, i)), "\n")

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import staged
+from tidemill.llm.common import staged, tidy
 
 #: Buckets of more items are cut into parts of this size, and every two parts are taken together.
 PART = 4096
@@ -204,7 +204,7 @@ def buckets(keyed: DataFrame) -> DataFrame:
                         elif len(both) > 2:
                             yield batch_of(np.array([xxhash.xxh3_64_intdigest(both.tobytes()) - (1 << 63)]), both, np.array([len(both)]))
 
-    found = _by_key(keyed.select("key", "id"), "key").mapInArrow(run, "bucket long, ids array<long>")
+    found = _by_key(keyed.select("key", "id"), "key").mapInArrow(tidy(run), "bucket long, ids array<long>")
     return found.dropDuplicates(["bucket"]).select("bucket", F.explode("ids").alias("id"))
 
 
@@ -244,7 +244,7 @@ def likely_pairs(members: DataFrame, likely: Likely) -> DataFrame:
                 told = [pa.array(np.concatenate([*x, marks])) for x in (out_a, out_b)]
                 yield pa.RecordBatch.from_arrays([*told, pa.array([False] * n + [True] * len(dense))], names=["a", "b", "dense"])
 
-    return _by_key(members.select(*columns), "bucket").mapInArrow(run, "a long, b long, dense boolean").distinct()
+    return _by_key(members.select(*columns), "bucket").mapInArrow(tidy(run), "a long, b long, dense boolean").distinct()
 
 
 def with_ids(df: DataFrame, ids: DataFrame) -> DataFrame:
@@ -263,7 +263,7 @@ def verified(pairs: DataFrame, texts: DataFrame, to_set: Callable[[bytes], np.nd
         def of(item: int, blob: bytes) -> np.ndarray:
             nonlocal held
             if (found := kept.get(item)) is None:
-                if held > 1 << 22:
+                if held > 1 << 20:
                     kept.clear()
                     held = 0
                 found = kept[item] = to_set(blob)
@@ -281,7 +281,7 @@ def verified(pairs: DataFrame, texts: DataFrame, to_set: Callable[[bytes], np.nd
 
     left = texts.select(F.col("id").alias("a"), F.col("blob").alias("x"))
     right = texts.select(F.col("id").alias("b"), F.col("blob").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(tidy(run), "a long, b long")
 
 
 def link(
@@ -378,4 +378,4 @@ def link_by_sets(members: DataFrame, texts: DataFrame, to_sets: Callable[[list[b
             yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
 
     placed = members.join(texts, "id").select("bucket", "id", "blob")
-    return _by_key(placed, "bucket").mapInArrow(run, "a long, b long")
+    return _by_key(placed, "bucket").mapInArrow(tidy(run), "a long, b long")

@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import bounded_batches, free_names, lookup, staged, temporary
+from tidemill.llm.common import bounded_batches, free_names, lookup, staged, temporary, tidy
 from tidemill.llm.linking import BROADCAST_IDS, Likely, buckets, link, with_ids
 
 
@@ -70,7 +70,7 @@ COORDINATES = ((400, 64), (2500, 256), (1 << 62, 1024))
 PLAIN, PACKED = 64, 0x80
 LEAF = 32
 #: Pairs whose bounds are taken at once.
-STEP_PAIRS = 4096
+STEP_PAIRS = 1024
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 
 
@@ -276,7 +276,7 @@ def shingle_table(source: DataFrame, like: Similarity) -> DataFrame:
             sizes, digests, at = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(at, pa.binary())], names=["id", "n", "digest", "point"])
 
-    return source.mapInArrow(run, "id long, n long, digest binary, point binary")
+    return source.mapInArrow(tidy(run), "id long, n long, digest binary, point binary")
 
 
 def keyed_documents(source: DataFrame, like: Similarity) -> DataFrame:
@@ -296,7 +296,7 @@ def keyed_documents(source: DataFrame, like: Similarity) -> DataFrame:
                 owners += [k] * len(keys[-1])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), batch.column(0).take(pa.array(owners, pa.int64()))], names=["key", "id"])
 
-    return source.mapInArrow(run, "key long, id long")
+    return source.mapInArrow(tidy(run), "key long, id long")
 
 
 def packed_texts(docs: DataFrame) -> DataFrame:
@@ -308,7 +308,7 @@ def packed_texts(docs: DataFrame) -> DataFrame:
             blobs = [packer.compress(normal(t.as_py())) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary())], names=["id", "blob"])
 
-    return docs.select("id", "text").mapInArrow(run, "id long, blob binary").dropDuplicates(["id"])
+    return docs.select("id", "text").mapInArrow(tidy(run), "id long, blob binary").dropDuplicates(["id"])
 
 
 def link_documents(docs: DataFrame, like: Similarity = Similarity(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

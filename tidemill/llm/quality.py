@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemill.llm.common import bounded_batches, free_names, staged
+from tidemill.llm.common import bounded_batches, free_names, staged, tidy
 
 #: ASCII white space and the characters that count as symbols.
 SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
@@ -91,7 +91,7 @@ def with_features(docs: DataFrame, text_col: str = "text", keep: list[str] | Non
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], found], names=[*keep, name])
 
     schema = T.StructType([docs.schema[c] for c in keep]).add(name, T.StructType([T.StructField(n, T.LongType()) for n in FEATURES]))
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(tidy(run), schema)
 
 
 def rules(name: str = "f") -> dict[str, F.Column]:

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import bounded_batches, lookup, staged, temporary
+from tidemill.llm.common import bounded_batches, lookup, staged, temporary, tidy
 from tidemill.llm.linking import _by_key, _runs
 
 LENGTH, GRAM = 400, 64
@@ -168,7 +168,7 @@ def anchor_table(docs: DataFrame, id_col: str, text_col: str, length: int) -> Da
             kind_of = pa.list_(pa.struct([("gram", pa.int64()), ("often", pa.bool_())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(grams, kind_of)], names=["doc_id", "digest", "n_bytes", "grams"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col)).mapInArrow(run, f"doc_id {kind}, digest binary, n_bytes long, grams array<struct<gram:long,often:boolean>>")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col)).mapInArrow(tidy(run), f"doc_id {kind}, digest binary, n_bytes long, grams array<struct<gram:long,often:boolean>>")
 
 
 def shared_anchors(table: DataFrame) -> DataFrame:
@@ -181,7 +181,7 @@ def shared_anchors(table: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([kept.column(1), kept.column(0)], names=["digest", "gram"])
 
     each = table.where("grams is not null").select("digest", F.explode("grams").alias("a")).select(F.col("a.gram").alias("gram"), "digest", F.col("a.often").alias("often"))
-    return _by_key(each, "gram").mapInArrow(run, "digest binary, gram long").groupBy("digest").agg(F.collect_list("gram").alias("grams"))
+    return _by_key(each, "gram").mapInArrow(tidy(run), "digest binary, gram long").groupBy("digest").agg(F.collect_list("gram").alias("grams"))
 
 
 def texts_by_digest(docs: DataFrame, text_col: str, length: int) -> DataFrame:
@@ -199,7 +199,7 @@ def texts_by_digest(docs: DataFrame, text_col: str, length: int) -> DataFrame:
                     data.append(own)
             yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(data, pa.binary())], names=["digest", "data"])
 
-    return docs.select(text_col).mapInArrow(run, "digest binary, data binary")
+    return docs.select(text_col).mapInArrow(tidy(run), "digest binary, data binary")
 
 
 CONTEXT_SCHEMA = "gram long, context_id binary, digest binary, starts array<long>, doc long, start long, times long, offset long, strings long, context binary"
@@ -245,7 +245,7 @@ def contexts(candidates: DataFrame, length: int) -> DataFrame:
                     counts, held = {}, 0
         yield batch_of([(g, name, d, None, doc_, a, *rest) for name, (g, doc_, d, a, *rest) in counts.items()])
 
-    return candidates.select("digest", "doc", "data", "grams").mapInArrow(run, CONTEXT_SCHEMA)
+    return candidates.select("digest", "doc", "data", "grams").mapInArrow(tidy(run), CONTEXT_SCHEMA)
 
 
 def _marks(group: list[tuple[bytes, int, int]], length: int, low: int, high: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -328,7 +328,7 @@ def repeated_in_contexts(found: DataFrame, length: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["gram", "context_id", "spans", "first_digest", "first_start", "first_spans"])
 
     counts = found.where("context is not null").select("gram", "context_id", "digest", "doc", "start", "times", "offset", "strings", "context")
-    return _by_key(counts, "gram").mapInArrow(run, "gram long, context_id binary, spans array<long>, first_digest binary, first_start long, first_spans array<long>")
+    return _by_key(counts, "gram").mapInArrow(tidy(run), "gram long, context_id binary, spans array<long>, first_digest binary, first_start long, first_spans array<long>")
 
 
 def repeated_spans(found: DataFrame, length: int, keep_first: bool) -> DataFrame:
@@ -374,7 +374,7 @@ def cut_texts(candidates: DataFrame, spans: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(hashes), pa.array(told, pa.list_(pa.int64()))], names=["digest", "n_removed", "n_spans", "kept_sha256", "spans"])
 
     grouped = spans.groupBy("digest").agg(F.collect_list(F.struct("starts", "spans")).alias("own"))
-    return candidates.select("digest", "data").join(grouped, "digest").mapInArrow(run, "digest binary, n_removed long, n_spans long, kept_sha256 string, spans array<long>")
+    return candidates.select("digest", "data").join(grouped, "digest").mapInArrow(tidy(run), "digest binary, n_removed long, n_spans long, kept_sha256 string, spans array<long>")
 
 
 def dedup_strings(docs: DataFrame, length: int = LENGTH, keep_first: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import bounded_batches, shared_value
+from tidemill.llm.common import bounded_batches, shared_value, tidy
 
 BUCKETS = 1 << 18
 #: Rows that the models are fitted on at most, and documents a bucket must occur in to be a feature.
@@ -166,7 +166,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, categories: dict[str, Co
             found = pa.array([buckets_of(t.as_py()) for t in batch.column(0)], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], found], names=["id", *names, "buckets"])
 
-    rows = flat.mapInArrow(run, "id long, " + ", ".join(f"{n} int" for n in names) + ", buckets array<int>").toArrow().sort_by("id").to_pydict()
+    rows = flat.mapInArrow(tidy(run), "id long, " + ", ".join(f"{n} int" for n in names) + ", buckets array<int>").toArrow().sort_by("id").to_pydict()
     y = np.array([[x or 0 for x in rows[n]] for n in names], dtype=np.int64).T.reshape(-1, len(names))
     return [np.array(b or [], dtype=np.int64) for b in rows["buckets"]], y
 
@@ -229,7 +229,7 @@ def predict(docs: DataFrame, column: np.ndarray, chain: list[Linear], names: lis
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(seen[:, k].copy()) for k in range(len(chain)))], names=["doc_id", *(f"p_{n}" for n in names)])
 
     schema = f"doc_id {kind}, " + ", ".join(f"p_{n} double" for n in names)
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col)).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col)).mapInArrow(tidy(run), schema)
 
 
 def with_word(words: list[str]) -> Column:
