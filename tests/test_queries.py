@@ -1,6 +1,9 @@
 """Every registered query against its DuckDB equivalent."""
 
 import math
+import os
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -48,3 +51,8 @@ def test_query_without_oracle_returns_rows(spark, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_entry_lists_queries_before_a_session_starts():
+    code = "import __spark_entry__ as e; q = e.queries(); assert q and set(e.oracle_sql()) <= set(q)"
+    subprocess.run([sys.executable, "-c", code], cwd=os.path.dirname(os.path.abspath(entry.__file__)), check=True, timeout=120)

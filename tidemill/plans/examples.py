@@ -20,7 +20,9 @@ from tidemill.plans.history import attach_campaign, registries
 from tidemill.plans.identity import cluster_counters, clusters
 from tidemill.plans.sheets import candidate_observations, classify, next_nonempty
 
-K = F.col("c_custkey")
+
+def key() -> Column:
+    return F.col("c_custkey")
 
 
 def cell(kind: str, text: Column | str | None, number: Column | None = None) -> Column:
@@ -35,21 +37,21 @@ def words(*values: Column | str | None) -> Column:
 
 def sheet_rows(spark: SparkSession, sf_dir: str, cells: Column, sheet: Column | None = None) -> DataFrame:
     name = sheet if sheet is not None else F.concat(F.lit("nation_"), F.col("c_nationkey").cast("string"))
-    return read_table(spark, sf_dir, "customer").select(F.lit("book").alias("file"), name.alias("sheet"), K.alias("row_number"), cells.alias("cells"))
+    return read_table(spark, sf_dir, "customer").select(F.lit("book").alias("file"), name.alias("sheet"), key().alias("row_number"), cells.alias("cells"))
 
 
 def candidate_cells() -> Column:
-    name = F.concat(F.lit("creator_"), K.cast("string"))
-    link = F.when(K % 4 == 0, F.concat(F.lit("https://www.tiktok.com/@"), name)).when(K % 4 == 1, F.concat(F.lit("Name (@other_"), K.cast("string"), F.lit(") | TikTok"))).when(K % 4 == 3, "-")
-    follower = F.when(K % 5 == 2, cell("int", "500", F.lit(500))).otherwise(cell("str", F.when(K % 5 == 1, "12K").when(K % 5 == 3, "x").when(K % 5 == 4, "1,234")))
-    engagement = cell("str", F.when(K % 3 == 0, "5%").when(K % 3 == 2, "abc"))
-    fee = F.when(K % 7 == 1, "Barter").when(K % 7 == 2, "100/hr").when(K % 7 == 3, "1500").when(K % 7 == 4, "odd").when(K % 7 == 5, "*Free*")
-    budget = F.when(K % 7 == 6, cell("int", "2000", F.lit(2000))).otherwise(cell("str", fee))
-    body = F.array(cell("int", K.cast("string"), K), cell("str", name), cell("str", link), follower, engagement, budget)
+    name = F.concat(F.lit("creator_"), key().cast("string"))
+    link = F.when(key() % 4 == 0, F.concat(F.lit("https://www.tiktok.com/@"), name)).when(key() % 4 == 1, F.concat(F.lit("Name (@other_"), key().cast("string"), F.lit(") | TikTok"))).when(key() % 4 == 3, "-")
+    follower = F.when(key() % 5 == 2, cell("int", "500", F.lit(500))).otherwise(cell("str", F.when(key() % 5 == 1, "12K").when(key() % 5 == 3, "x").when(key() % 5 == 4, "1,234")))
+    engagement = cell("str", F.when(key() % 3 == 0, "5%").when(key() % 3 == 2, "abc"))
+    fee = F.when(key() % 7 == 1, "Barter").when(key() % 7 == 2, "100/hr").when(key() % 7 == 3, "1500").when(key() % 7 == 4, "odd").when(key() % 7 == 5, "*Free*")
+    budget = F.when(key() % 7 == 6, cell("int", "2000", F.lit(2000))).otherwise(cell("str", fee))
+    body = F.array(cell("int", key().cast("string"), key()), cell("str", name), cell("str", link), follower, engagement, budget)
     return (
-        F.when(K % 25 == 0, words("Number", "Influencer", "Link TikTok", "Follower", "Engagement %", "BUDGET"))
-        .when(K % 25 == 13, words("No", "Influencer", "Link Lemon8", "Follower"))
-        .when(K % 25 == 5, words(F.concat(F.lit("Tier "), F.col("c_mktsegment"))))
+        F.when(key() % 25 == 0, words("Number", "Influencer", "Link TikTok", "Follower", "Engagement %", "BUDGET"))
+        .when(key() % 25 == 13, words("No", "Influencer", "Link Lemon8", "Follower"))
+        .when(key() % 25 == 5, words(F.concat(F.lit("Tier "), F.col("c_mktsegment"))))
         .otherwise(body)
     )
 
@@ -88,7 +90,7 @@ SHEET_NAMES = {0: "Ads", 1: "GMV", 2: "Report Oct", 3: "Misc", 4: "Content"}
       first_row AS primary_header_row, n_headers FROM g""",
 )
 def classification_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    header = (K % 25 == 0) & (F.col("c_nationkey") % 2 == 0)
+    header = (key() % 25 == 0) & (F.col("c_nationkey") % 2 == 0)
     cells = F.when(header, words("Number", "Influencer", "Link TikTok", "Follower", "Engagement %", "BUDGET")).otherwise(words(F.col("c_name"), F.col("c_mktsegment")))
     kind = F.create_map(*[F.lit(x) for pair in SHEET_NAMES.items() for x in pair])[F.col("c_nationkey") % 5]
     rows = sheet_rows(spark, sf_dir, cells, F.concat(kind, F.lit(" "), F.col("c_nationkey").cast("string"))).withColumn("ord", F.col("row_number"))
@@ -96,15 +98,15 @@ def classification_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def delivery_cells() -> Column:
-    name = F.when(K % 11 == 0, "Total").when(K % 11 == 1, "").otherwise(F.concat(F.lit("creator_"), K.cast("string")))
-    date = F.when(K % 4 == 0, "45000").when(K % 4 == 1, "2026-04-13").when(K % 4 == 2, "#N/A").otherwise("TBC")
-    url = F.when(K % 3 == 0, F.concat(F.lit("https://tiktok.com/"), K.cast("string"))).when(K % 3 == 1, "none").otherwise("")
-    views = F.when(K % 5 == 0, "12K").when(K % 5 == 1, "#DIV/0!").when(K % 5 == 2, "1,500").when(K % 5 == 3, "-").otherwise("7%")
-    body = words(F.concat(F.lit("row "), K.cast("string")), name, None, date, url, views, F.when(K % 2 == 0, "5"))
+    name = F.when(key() % 11 == 0, "Total").when(key() % 11 == 1, "").otherwise(F.concat(F.lit("creator_"), key().cast("string")))
+    date = F.when(key() % 4 == 0, "45000").when(key() % 4 == 1, "2026-04-13").when(key() % 4 == 2, "#N/A").otherwise("TBC")
+    url = F.when(key() % 3 == 0, F.concat(F.lit("https://tiktok.com/"), key().cast("string"))).when(key() % 3 == 1, "none").otherwise("")
+    views = F.when(key() % 5 == 0, "12K").when(key() % 5 == 1, "#DIV/0!").when(key() % 5 == 2, "1,500").when(key() % 5 == 3, "-").otherwise("7%")
+    body = words(F.concat(F.lit("row "), key().cast("string")), name, None, date, url, views, F.when(key() % 2 == 0, "5"))
     return (
-        F.when(K % 30 == 0, words("No", "Influencer", "Follower", "วันที่ลงโพสต์", "ลิงค์โพสต์", "VideoView", "Like"))
-        .when(K % 30 == 20, words("Date", "Revenue", "Order", "Traffic", "ROAS"))
-        .when(K % 30 == 29, words("Report Oct"))
+        F.when(key() % 30 == 0, words("No", "Influencer", "Follower", "วันที่ลงโพสต์", "ลิงค์โพสต์", "VideoView", "Like"))
+        .when(key() % 30 == 20, words("Date", "Revenue", "Order", "Traffic", "ROAS"))
+        .when(key() % 30 == 29, words("Report Oct"))
         .otherwise(body)
     )
 
@@ -170,7 +172,7 @@ def literals_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def seller_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     rest = [None] * 11
-    cells = words(None, F.when(K % 8 > 0, F.col("c_name")).otherwise(" "), F.when(K % 3 == 0, "1,250.5").when(K % 3 == 1, "3K").otherwise("#N/A"), *rest, F.col("c_nationkey").cast("string"), F.when(K % 2 == 0, "7").otherwise("-"))
+    cells = words(None, F.when(key() % 8 > 0, F.col("c_name")).otherwise(" "), F.when(key() % 3 == 0, "1,250.5").when(key() % 3 == 1, "3K").otherwise("#N/A"), *rest, F.col("c_nationkey").cast("string"), F.when(key() % 2 == 0, "7").otherwise("-"))
     return seller_snapshot(sheet_rows(spark, sf_dir, cells)).select("row_number", "identity_raw", "gmv", "impressions", "orders")
 
 
@@ -200,13 +202,13 @@ def registry_query(spark: SparkSession, sf_dir: str) -> DataFrame:
       CASE WHEN lo IS NOT NULL AND band IS NOT NULL THEN round(100.0 * greatest(0, least(24, band + 4) - greatest(18, band) + 1) / 5, 4) END AS overlap FROM x""",
 )
 def fit_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mode = F.when(K % 6 == 0, "all").when(K % 6 == 1, "female_only").when(K % 6 == 2, "male_only").when(K % 6 == 3, "mixed_weighted").when(K % 6 == 4, "unknown")
-    gender = F.when(K % 4 == 0, "female").when(K % 4 == 1, "male").when(K % 4 == 2, "mixed")
-    share = F.when(K % 7 == 0, 0.5).when(K % 7 == 1, 0.0).otherwise(0.7)
+    mode = F.when(key() % 6 == 0, "all").when(key() % 6 == 1, "female_only").when(key() % 6 == 2, "male_only").when(key() % 6 == 3, "mixed_weighted").when(key() % 6 == 4, "unknown")
+    gender = F.when(key() % 4 == 0, "female").when(key() % 4 == 1, "male").when(key() % 4 == 2, "mixed")
+    share = F.when(key() % 7 == 0, 0.5).when(key() % 7 == 1, 0.0).otherwise(0.7)
     rest = F.when(share == 0.7, 0.3).otherwise(share)
-    low, high, band = F.when(K % 9 > 0, 18), F.lit(24), F.when(K % 10 > 0, 20 + K % 10)
+    low, high, band = F.when(key() % 9 > 0, 18), F.lit(24), F.when(key() % 10 > 0, 20 + key() % 10)
     return read_table(spark, sf_dir, "customer").select(
-        K, gender_fit(mode, share, rest, gender, K % 5, 50.0).alias("gender_score"), gender_fit_status(mode, gender).alias("gender_status"), F.round(age_fit(low, high, band, band + 4, 50.0), 4).alias("age_score"), age_overlap(low, high, band, band + 4).alias("overlap")
+        key(), gender_fit(mode, share, rest, gender, key() % 5, 50.0).alias("gender_score"), gender_fit_status(mode, gender).alias("gender_status"), F.round(age_fit(low, high, band, band + 4, 50.0), 4).alias("age_score"), age_overlap(low, high, band, band + 4).alias("overlap")
     )
 
 
@@ -217,13 +219,13 @@ def fit_query(spark: SparkSession, sf_dir: str) -> DataFrame:
       CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE 'end' END AS to_the_right, CASE c_custkey % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'Z' ELSE 'AB' END AS letters FROM customer""",
 )
 def scalar_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    one = lambda m, *v: F.element_at(F.array(*[F.lit(x) for x in v]), (K % m).cast("int") + 1)
-    at = F.concat(F.lit("@h"), K.cast("string"))
-    strength = F.when(K % 4 == 0, F.concat(F.lit("https://TikTok.com/"), at)).when(K % 4 == 1, F.concat(F.lit("Name ("), at, F.lit(")"))).when(K % 4 == 2, at).otherwise("plain")
-    row = F.array(F.lit("a"), F.when(K % 2 == 0, F.col("c_name")).otherwise(" "), F.lit(None).cast("string"), F.lit("end"))
+    one = lambda m, *v: F.element_at(F.array(*[F.lit(x) for x in v]), (key() % m).cast("int") + 1)
+    at = F.concat(F.lit("@h"), key().cast("string"))
+    strength = F.when(key() % 4 == 0, F.concat(F.lit("https://TikTok.com/"), at)).when(key() % 4 == 1, F.concat(F.lit("Name ("), at, F.lit(")"))).when(key() % 4 == 2, at).otherwise("plain")
+    row = F.array(F.lit("a"), F.when(key() % 2 == 0, F.col("c_name")).otherwise(" "), F.lit(None).cast("string"), F.lit("end"))
     date = one(4, "2026-02-03", "2026-2-3", "03/02/2026", "")
     return read_table(spark, sf_dir, "customer").select(
-        K, normalized(F.concat(F.lit("\t "), F.col("c_mktsegment"), F.lit("  \n X "))).alias("plain"), first_number(one(3, "12 of 2,500 in 9000", "12 or 7", "none")).alias("first_number"), strict_date(date).alias("strict"),
+        key(), normalized(F.concat(F.lit("\t "), F.col("c_mktsegment"), F.lit("  \n X "))).alias("plain"), first_number(one(3, "12 of 2,500 in 9000", "12 or 7", "none")).alias("first_number"), strict_date(date).alias("strict"),
         lenient_date(date).alias("lenient"), budget_scope(one(3, "Influencer on TikTok", "งบรวม 5", "pool")).alias("scope"), strong_identity_cell(strength).alias("strength"), next_nonempty(row, 0).alias("to_the_right"),
         column_letters(one(3, 0, 25, 27)).alias("letters"),
     )
@@ -253,6 +255,6 @@ def reconciliation_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def counters_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "customer").select(
-        F.concat("c_mktsegment", F.col("c_nationkey").cast("string")).alias("canonical_handle_candidate"), F.concat(F.lit("book_"), (K % 12).cast("string")).alias("source_filename"), F.lit("s").alias("source_sheet_name"), F.col("c_name").alias("identity_primary_raw")
+        F.concat("c_mktsegment", F.col("c_nationkey").cast("string")).alias("canonical_handle_candidate"), F.concat(F.lit("book_"), (key() % 12).cast("string")).alias("source_filename"), F.lit("s").alias("source_sheet_name"), F.col("c_name").alias("identity_primary_raw")
     )
     return cluster_counters(clusters(rows))
