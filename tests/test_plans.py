@@ -134,12 +134,13 @@ def test_two_phase_commit_and_ledger(spark, tmp_path):
     load, df = reliability.TwoPhase(str(tmp_path), "r1"), spark.range(5)
     load.stage(df)
     assert load.state(spark) == "PARTIAL_LOAD_STAGING_WITHOUT_COMMIT"
-    assert load.recover(df) == "COMMITTED" and load.state(spark) == "LOAD_STATE_CLEAN" and load.commit(df) == "SKIPPED_ALREADY_COMMITTED"
+    assert load.recover(df) == "COMMIT_NEW_BATCH" and load.state(spark) == "LOAD_STATE_CLEAN" and load.commit(df) == "SKIP_ALREADY_COMMITTED"
     ledger = reliability.Ledger(tmp_path / "ledger.json")
-    assert [ledger.register("f"), ledger.register("f")] == ["PROCESS_NEW", "SKIP_ALREADY_PROCESSED"]
-    assert reliability.state_problem(reliability.new_state("f"), ledger) == "STATE_NOT_IN_SUCCESSFUL_RUNS"
+    assert [ledger.register("f"), ledger.register("f")] == ["PROCESS_NEW_BATCH", "SKIP_ALREADY_PROCESSED"]
+    assert reliability.state_problem(reliability.new_state("f"), ledger) == "BAD_INCREMENTAL_STATE_UNKNOWN_BATCH"
     ledger.append_run(status="SUCCESS", batch_fingerprint="f")
-    assert reliability.state_problem(reliability.new_state("f"), reliability.Ledger(tmp_path / "ledger.json")) == "VALID"
+    assert reliability.state_problem(reliability.new_state("f"), reliability.Ledger(tmp_path / "ledger.json")) == "INCREMENTAL_STATE_VALID"
+    assert reliability.state_problem(None, ledger) == "BAD_INCREMENTAL_STATE_VERSION" and reliability.state_problem(reliability.new_state(" "), ledger) == "BAD_INCREMENTAL_STATE_EMPTY_POINTER"
 
 
 def test_retry_only_what_may_pass():
@@ -151,7 +152,7 @@ def test_retry_only_what_may_pass():
             raise step
         return step
 
-    assert [a["status"] for a in reliability.execute_with_retry(operation)[1]] == ["RETRYABLE_FAILURE", "SUCCESS"]
+    assert [a["status"] for a in reliability.execute_with_retry(operation)[1]] == ["RETRY", "SUCCESS"]
     with pytest.raises(reliability.RetryExhaustedError):
         reliability.execute_with_retry(lambda: (_ for _ in ()).throw(reliability.RetryableDependencyError("x")), 2)
     with pytest.raises(ValueError):
@@ -159,11 +160,19 @@ def test_retry_only_what_may_pass():
 
 
 def test_sheet_drift(spark):
-    kind = "name string, sheet string, row_count int, headers array<string>, signature string"
-    base = spark.createDataFrame([("b", "s1", 3, ["a", "b"], "x"), ("b", "s2", 3, ["a"], "x"), ("b", "s3", 3, ["a"], "x")], kind)
-    now = spark.createDataFrame([("b", "s1", 3, ["a", "c"], "y"), ("b", "s2", 0, ["a"], "x")], kind)
-    found = sorted((r.sheet, r.issue) for r in reliability.sheet_drift(base, now).collect())
-    assert found == [("s1", "CANDIDATE_HEADER_SIGNATURE_CHANGED"), ("s1", "CANDIDATE_SCHEMA_DRIFT"), ("s2", "EMPTY_SHEET"), ("s3", "MISSING_SHEET")]
+    kind = "name string, sheet string, sheet_type string, filled_rows int, headers array<string>, signature array<string>"
+    c = "influencer_candidate"
+    base = spark.createDataFrame([("b", f"s{i}", c, 3, ["a", "b"], ["x"]) for i in range(1, 6)] + [("gone", "s", c, 3, ["a"], ["x"]), ("b", "void", "other", 0, [], [])], kind)
+    now = spark.createDataFrame([("b", "s1", c, 3, ["a", "c"], ["y"]), ("b", "s2", "other", 0, [], []), ("b", "s4", "other", 3, ["a", "z"], []), ("b", "s5", c, 9, ["q"], ["x"]), ("b", "void", "other", 0, [], [])], kind)
+    found = sorted((r.sheet, r.issue, r.severity) for r in reliability.sheet_drift(base, now).collect())
+    assert found == [
+        ("s1", "CANDIDATE_HEADER_SIGNATURE_CHANGED", "WARN"),
+        ("s2", "CANDIDATE_SCHEMA_DRIFT", "ERROR"),
+        ("s2", "EMPTY_SHEET", "ERROR"),
+        ("s3", "MISSING_SHEET", "ERROR"),
+        ("s4", "CANDIDATE_SCHEMA_DRIFT", "ERROR"),
+    ]
+    assert [(r.removed, r.added) for r in reliability.sheet_drift(base, now).where("sheet = 's4'").collect()] == [(["b"], ["z"])]
 
 
 def test_temporal_guards(spark):

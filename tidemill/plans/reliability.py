@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from pathlib import Path
 
@@ -15,35 +15,48 @@ from tidemill.sources.files import rename_path, write_json
 
 
 def snapshot_drift(baseline: DataFrame, current: DataFrame) -> DataFrame:
-    """(name, issue, severity) of workbooks(name, content_hash, error) against a baseline(name, content_hash)."""
+    """(name, issue, severity) of workbooks(name, content_hash, error) against a baseline(name, content_hash).
+
+    A workbook of both can be changed and unreadable; a group of equal ones is one issue under its first name.
+    """
     b, c = baseline.alias("b"), current.alias("c")
     joined = b.join(c, F.col("b.name") == F.col("c.name"), "full_outer")
-    issue = (
-        F.when(F.col("c.name").isNull(), "MISSING_WORKBOOK")
-        .when(F.col("c.error").isNotNull(), "WORKBOOK_UNREADABLE")
-        .when(F.col("b.name").isNull(), "UNEXPECTED_WORKBOOK")
-        .when(F.col("b.content_hash") != F.col("c.content_hash"), "WORKBOOK_HASH_CHANGED")
+    gone, new = F.col("c.name").isNull(), F.col("b.name").isNull()
+    issues = F.array_compact(
+        F.array(
+            F.when(gone, "MISSING_WORKBOOK"),
+            F.when(new, "UNEXPECTED_WORKBOOK"),
+            F.when(~gone & ~new & (F.col("b.content_hash") != F.col("c.content_hash")), "WORKBOOK_HASH_CHANGED"),
+            F.when(~gone & ~new & F.col("c.error").isNotNull(), "WORKBOOK_UNREADABLE"),
+        )
     )
-    own = joined.select(F.coalesce("b.name", "c.name").alias("name"), issue.alias("issue")).where("issue is not null")
+    own = joined.select(F.coalesce("b.name", "c.name").alias("name"), F.explode(issues).alias("issue"))
     groups = current.where("content_hash is not null").groupBy("content_hash").agg(F.min("name").alias("name"), F.count("*").alias("n")).where("n > 1")
     return own.unionByName(groups.select("name", F.lit("DUPLICATE_WORKBOOK_HASH").alias("issue"))).withColumn("severity", F.lit("ERROR"))
 
 
 def sheet_drift(baseline: DataFrame, current: DataFrame) -> DataFrame:
-    """(name, sheet, issue, severity) of sheets(name, sheet, row_count, headers, signature); added and removed headers are set differences."""
-    keys = ["name", "sheet"]
-    b = baseline.select(*keys, F.col("headers").alias("b_headers"), F.col("signature").alias("b_signature"))
+    """(name, sheet, issue, severity, removed, added) of sheets(name, sheet, sheet_type, filled_rows, headers, signature).
+
+    Only workbooks that are still there and readable are compared. A candidate sheet that is no candidate any more has a
+    drifted schema; one that still is, but by other signals, gets a warning.
+    """
+    keys, candidate = ["name", "sheet"], "influencer_candidate"
+    there = current.select("name").distinct()
+    b = baseline.join(there, "name", "left_semi").select(*keys, *[F.col(x).alias(f"b_{x}") for x in ("sheet_type", "filled_rows", "headers", "signature")])
     joined = b.join(current, keys, "left")
-    removed, added = F.array_except("b_headers", "headers"), F.array_except("headers", "b_headers")
+    removed, added = F.array_sort(F.array_except("b_headers", "headers")), F.array_sort(F.array_except("headers", "b_headers"))
+    here, was = F.col("filled_rows").isNotNull(), F.col("b_sheet_type") == candidate
+    issue = lambda test, name, severity: F.when(test, F.struct(F.lit(name).alias("issue"), F.lit(severity).alias("severity")))
     found = F.array_compact(
         F.array(
-            F.when(F.col("row_count").isNull(), F.struct(F.lit("MISSING_SHEET").alias("issue"), F.lit("ERROR").alias("severity"))),
-            F.when(F.col("row_count") == 0, F.struct(F.lit("EMPTY_SHEET").alias("issue"), F.lit("ERROR").alias("severity"))),
-            F.when((F.col("row_count") > 0) & (F.size(removed) + F.size(added) > 0), F.struct(F.lit("CANDIDATE_SCHEMA_DRIFT").alias("issue"), F.lit("ERROR").alias("severity"))),
-            F.when((F.col("row_count") > 0) & (F.col("signature") != F.col("b_signature")), F.struct(F.lit("CANDIDATE_HEADER_SIGNATURE_CHANGED").alias("issue"), F.lit("WARN").alias("severity"))),
+            issue(~here, "MISSING_SHEET", "ERROR"),
+            issue(here & (F.col("b_filled_rows") > 0) & (F.col("filled_rows") == 0), "EMPTY_SHEET", "ERROR"),
+            issue(here & was & (F.col("sheet_type") != candidate), "CANDIDATE_SCHEMA_DRIFT", "ERROR"),
+            issue(here & was & (F.col("sheet_type") == candidate) & (F.col("b_signature") != F.col("signature")), "CANDIDATE_HEADER_SIGNATURE_CHANGED", "WARN"),
         )
     )
-    return joined.select(*keys, F.inline(found))
+    return joined.select(*keys, removed.alias("removed"), added.alias("added"), F.inline(found))
 
 
 @dataclass
@@ -64,11 +77,11 @@ class Ledger:
         write_json(self.path, self.document)
 
     def register(self, fingerprint: str) -> str:
-        """PROCESS_NEW for a batch seen first, else SKIP_ALREADY_PROCESSED."""
+        """PROCESS_NEW_BATCH for a batch seen first, else SKIP_ALREADY_PROCESSED."""
         seen = self.document["batches"].get(fingerprint, 0)
         self.document["batches"][fingerprint] = seen + 1
         self.save()
-        return "SKIP_ALREADY_PROCESSED" if seen else "PROCESS_NEW"
+        return "SKIP_ALREADY_PROCESSED" if seen else "PROCESS_NEW_BATCH"
 
     def append_run(self, **event: object) -> None:
         self.document["runs"].append(event)
@@ -83,16 +96,14 @@ def new_state(fingerprint: str, watermark: str | None = None) -> dict:
 
 
 def state_problem(state: dict | None, ledger: Ledger) -> str:
-    """VALID, or what is wrong with an incremental state."""
-    if not state:
-        return "STATE_MISSING"
-    if state.get("state_version") != 1:
-        return "STATE_VERSION_UNSUPPORTED"
-    if not state.get("last_successful_batch_fingerprint"):
-        return "STATE_FINGERPRINT_MISSING"
-    if state["last_successful_batch_fingerprint"] not in ledger.successful():
-        return "STATE_NOT_IN_SUCCESSFUL_RUNS"
-    return "VALID"
+    """INCREMENTAL_STATE_VALID, or what is wrong with an incremental state."""
+    held = state or {}
+    pointer = str(held.get("last_successful_batch_fingerprint") or "").strip()
+    if held.get("state_version") != 1:
+        return "BAD_INCREMENTAL_STATE_VERSION"
+    if not pointer:
+        return "BAD_INCREMENTAL_STATE_EMPTY_POINTER"
+    return "INCREMENTAL_STATE_VALID" if pointer in ledger.successful() else "BAD_INCREMENTAL_STATE_UNKNOWN_BATCH"
 
 
 @dataclass(frozen=True)
@@ -127,14 +138,14 @@ class TwoPhase:
         return "LOAD_STATE_CLEAN"
 
     def commit(self, df: DataFrame) -> str:
-        """COMMITTED, or SKIPPED_ALREADY_COMMITTED where manifest and data are there."""
+        """COMMIT_NEW_BATCH, or SKIP_ALREADY_COMMITTED where manifest and data are there."""
         if self.manifest.exists() and Path(self.committed).exists():
-            return "SKIPPED_ALREADY_COMMITTED"
+            return "SKIP_ALREADY_COMMITTED"
         self.stage(df)
         n = df.sparkSession.read.parquet(self.staging).count()
         rename_path(df.sparkSession, self.staging, self.committed)
         write_json(self.manifest, {"run_id": self.run_id, "row_count": n})
-        return "COMMITTED"
+        return "COMMIT_NEW_BATCH"
 
     def recover(self, df: DataFrame) -> str:
         """Stage and commit anew what a partial load left."""
@@ -151,25 +162,30 @@ class RetryExhaustedError(Exception):
     """Every allowed attempt failed."""
 
 
-def execute_with_retry(operation: Callable[[], object], max_attempts: int = 3, backoff_seconds: float = 1.0) -> tuple[object, list[dict]]:
-    """(result, attempts); only a retryable failure is tried again, and the pause is recorded, not slept."""
+def execute_with_retry(operation: Callable[[], object], max_attempts: int = 3, backoff_seconds: Sequence[float] = (1.0, 2.0)) -> tuple[object, list[dict]]:
+    """(result, attempts); only a retryable failure is tried again. The pause before an attempt is recorded, not slept; the last one given holds on."""
+    if max_attempts < 1:
+        raise ValueError("at least one attempt is needed")
     attempts: list[dict] = []
     for n in range(1, max_attempts + 1):
+        pause = float(backoff_seconds[min(n - 2, len(backoff_seconds) - 1)]) if n > 1 and backoff_seconds else 0.0
+        told = {"attempt": n, "backoff_seconds": pause}
         try:
             result = operation()
         except RetryableDependencyError as e:
-            attempts.append({"attempt": n, "status": "RETRYABLE_FAILURE", "error": str(e), "backoff_seconds": backoff_seconds * 2 ** (n - 1)})
-            continue
-        attempts.append({"attempt": n, "status": "SUCCESS", "error": "", "backoff_seconds": 0.0})
-        return result, attempts
-    raise RetryExhaustedError(f"{max_attempts} attempts failed")
+            attempts.append({**told, "status": "RETRY" if n < max_attempts else "FAILED", "error_type": type(e).__name__, "error": str(e)})
+            failure = e
+        else:
+            return result, [*attempts, {**told, "status": "SUCCESS", "error_type": "", "error": ""}]
+    raise RetryExhaustedError(f"{max_attempts} attempts failed: {failure}", attempts) from failure
 
 
 @query(
     "snapshot_drift_full_outer",
     """WITH b AS (SELECT 'doc_' || doc_id AS name, sha256(text) AS h FROM documents WHERE doc_id % 7 <> 0), c AS (SELECT 'doc_' || doc_id AS name, CASE WHEN doc_id % 11 = 0 THEN sha256(text || '!') ELSE sha256(text) END AS h, CASE WHEN doc_id % 13 = 0 THEN 'bad zip' END AS e FROM documents WHERE doc_id % 5 <> 0)
-    SELECT coalesce(b.name, c.name) AS name, CASE WHEN c.name IS NULL THEN 'MISSING_WORKBOOK' WHEN e IS NOT NULL THEN 'WORKBOOK_UNREADABLE' WHEN b.name IS NULL THEN 'UNEXPECTED_WORKBOOK' WHEN b.h <> c.h THEN 'WORKBOOK_HASH_CHANGED' END AS issue, 'ERROR' AS severity
-    FROM b FULL JOIN c ON b.name = c.name WHERE c.name IS NULL OR e IS NOT NULL OR b.name IS NULL OR b.h <> c.h
+    SELECT coalesce(b.name, c.name) AS name, CASE WHEN c.name IS NULL THEN 'MISSING_WORKBOOK' ELSE 'UNEXPECTED_WORKBOOK' END AS issue, 'ERROR' AS severity FROM b FULL JOIN c ON b.name = c.name WHERE c.name IS NULL OR b.name IS NULL
+    UNION ALL SELECT b.name, 'WORKBOOK_HASH_CHANGED', 'ERROR' FROM b JOIN c ON b.name = c.name WHERE b.h <> c.h
+    UNION ALL SELECT b.name, 'WORKBOOK_UNREADABLE', 'ERROR' FROM b JOIN c ON b.name = c.name WHERE e IS NOT NULL
     UNION ALL SELECT min(name), 'DUPLICATE_WORKBOOK_HASH', 'ERROR' FROM c GROUP BY h HAVING count(*) > 1""",
 )
 def drift_query(spark: SparkSession, sf_dir: str) -> DataFrame:

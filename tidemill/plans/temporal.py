@@ -49,7 +49,7 @@ def watermark_state(watermark: Column, newest: Column, most_stale: int) -> Colum
     """struct(code, lag_days) of a watermark's text against the newest event."""
     mark = lenient_date(watermark)
     lag = F.datediff(newest, mark)
-    code = F.when(mark.isNull(), "INVALID_FORMAT").when(lag < 0, "AHEAD_OF_SOURCE").when(lag > most_stale, "STALE").otherwise("VALID")
+    code = F.when(lag.isNull(), "WATERMARK_INVALID_FORMAT").when(lag < 0, "WATERMARK_AHEAD_OF_SOURCE").when(lag > most_stale, "WATERMARK_STALE").otherwise("WATERMARK_VALID")
     return F.struct(code.alias("code"), F.coalesce(lag, F.lit(0)).alias("lag_days"))
 
 
@@ -144,15 +144,20 @@ def monitoring_events(runs: DataFrame, limits: RunLimits = RunLimits()) -> DataF
 def simple_alerts(events: DataFrame) -> DataFrame:
     """One alert an event, numbered from 1 in its run."""
     number = F.lpad((F.col("position") + 1).cast("string"), 3, "0")
-    return events.select("run_id", F.concat(F.lit("alert_"), number, F.lit("_"), F.col("run_id").cast("string")).alias("alert_id"), "event_code", "severity", F.lit("simulated_channel").alias("channel"), F.lit("SIMULATED_DELIVERED").alias("delivery_status"))
+    return events.select("run_id", F.concat(F.lit("alert_"), number, F.lit("_"), F.col("run_id").cast("string")).alias("alert_id"), "event_code", "severity", F.lit("portfolio_lab_sink").alias("channel"), F.lit("SIMULATED_DELIVERED").alias("delivery_status"))
 
 
-def escalated_alerts(events: DataFrame, order: list[Column], severities: tuple[str, ...] = ("CRITICAL",), after_minutes: int = 15) -> DataFrame:
-    """A primary alert an event, and an escalated one for the given severities."""
+def escalated_alerts(events: DataFrame, order: list[Column], severities: tuple[str, ...] = ("CRITICAL",), after_minutes: int = 30, channels: tuple[str, str] = ("portfolio_lab_primary", "portfolio_lab_secondary")) -> DataFrame:
+    """A primary alert an event, and an escalated one on the second channel for the given severities; a falsy pause means its default."""
     n = F.format_string("%02d", F.row_number().over(Window.partitionBy("run_id").orderBy(*order)))
-    of = lambda letter, level, minutes: F.struct(F.concat_ws("-", F.lit("ALT"), F.col("run_id").cast("string"), "n", F.lit(letter)).alias("alert_id"), F.lit(level).alias("level"), F.lit(minutes).alias("after_minutes"))
-    primary, second = of("P", "primary", 0), of("E", "escalated", after_minutes or 15)
-    both = F.when(F.col("severity").isin(*severities), F.array(primary, second)).otherwise(F.array(primary))
+
+    def alert(letter: str, level: str, channel: str, minutes: int | None, status: str) -> Column:
+        name = F.concat_ws("-", F.lit("ALT"), F.col("run_id").cast("string"), "n", F.lit(letter))
+        return F.struct(name.alias("alert_id"), F.lit(level).alias("level"), F.lit(channel).alias("channel"), F.lit(minutes).cast("int").alias("after_minutes"), F.lit(status).alias("delivery_status"))
+
+    primary = alert("P", "PRIMARY", channels[0], None, "SIMULATED_DELIVERED")
+    second = alert("E", "ESCALATED", channels[1], after_minutes or 30, "SIMULATED_ESCALATED")
+    both = F.when(F.upper("severity").isin(*[x.upper() for x in severities]), F.array(primary, second)).otherwise(F.array(primary))
     return events.withColumn("n", n).select("run_id", "event_code", "severity", F.explode(both).alias("a")).select("run_id", "event_code", "severity", "a.*")
 
 
@@ -184,7 +189,7 @@ def late_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     "watermark_validate",
     """WITH m AS (SELECT event_type, CAST(max(ts) AS DATE) AS newest FROM events GROUP BY 1), w AS (SELECT * FROM (VALUES ('2024-01-29'), ('2024-01-02'), ('2025-01-01'), ('soon')) AS t(mark)),
     x AS (SELECT event_type, mark, date_diff('day', CASE WHEN mark LIKE '____-__-__' THEN TRY_CAST(mark AS DATE) END, newest) AS lag FROM m CROSS JOIN w)
-    SELECT event_type, mark, CASE WHEN lag IS NULL THEN 'INVALID_FORMAT' WHEN lag < 0 THEN 'AHEAD_OF_SOURCE' WHEN lag > 7 THEN 'STALE' ELSE 'VALID' END AS code, CAST(coalesce(lag, 0) AS INTEGER) AS lag_days FROM x""",
+    SELECT event_type, mark, CASE WHEN lag IS NULL THEN 'WATERMARK_INVALID_FORMAT' WHEN lag < 0 THEN 'WATERMARK_AHEAD_OF_SOURCE' WHEN lag > 7 THEN 'WATERMARK_STALE' ELSE 'WATERMARK_VALID' END AS code, CAST(coalesce(lag, 0) AS INTEGER) AS lag_days FROM x""",
 )
 def watermark_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     newest = read_table(spark, sf_dir, "events").groupBy("event_type").agg(F.max("ts").cast("date").alias("newest"))
@@ -241,11 +246,11 @@ def monitoring_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "alert_escalation",
     f"""WITH {RUNS_SQL}, x AS (SELECT run_id, date_diff('day', latest_event_date, as_of_date) AS f FROM runs), e AS (SELECT run_id, CASE WHEN f > 4 THEN 'CRITICAL' ELSE 'WARN' END AS severity FROM x WHERE f > 2)
-    SELECT 'ALT-' || run_id || '-01-P' AS alert_id, 'primary' AS level, severity FROM e UNION ALL SELECT 'ALT-' || run_id || '-01-E', 'escalated', severity FROM e WHERE severity = 'CRITICAL'""",
+    SELECT 'ALT-' || run_id || '-01-P' AS alert_id, 'PRIMARY' AS level, 'SIMULATED_DELIVERED' AS delivery_status, severity FROM e UNION ALL SELECT 'ALT-' || run_id || '-01-E', 'ESCALATED', 'SIMULATED_ESCALATED', severity FROM e WHERE severity = 'CRITICAL'""",
 )
 def alert_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = temporal_events(example_runs(spark, sf_dir)).where("event_code = 'FRESHNESS_SLO_BREACH'")
-    return escalated_alerts(events, [F.col("event_code")]).select("alert_id", "level", "severity")
+    return escalated_alerts(events, [F.col("event_code")]).select("alert_id", "level", "delivery_status", "severity")
 
 
 @query("json_props", "SELECT CAST(json_extract(props, '$.k') AS BIGINT) AS k, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1")
