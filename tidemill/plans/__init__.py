@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules of this folder that register queries when imported.
-MODULES: list[str] = ["history", "features", "matching", "temporal", "reliability", "warehouse", "identity", "sheets", "requirements", "deliverables", "feedback", "scans", "examples"]
+MODULES: list[str] = ["history", "features", "matching", "temporal", "reliability", "warehouse", "identity", "sheets", "requirements", "deliverables", "feedback", "scans", "labs", "examples"]
 
 
 def register_all() -> None:

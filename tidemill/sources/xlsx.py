@@ -1,7 +1,7 @@
 """A reader of XLSX workbooks on the standard library: one row a sheet row, with typed cells.
 
 Options: path (a file or a folder), sheet, maxRows, maxCols, dense (true: missing rows are empty ones;
-false: only rows that are there). Each (file, sheet) is a partition; a filter on file or sheet
+false: only rows that are there), emptySheets (true: a sheet without rows gives one row without a number). Each (file, sheet) is a partition; a filter on file or sheet
 prunes partitions where Python filter pushdown is on. A workbook that can't be read gives one row
 with its error. Files are read on executors, so the path must be one they all see.
 """
@@ -133,6 +133,7 @@ class XlsxReader(DataSourceReader):
         self.max_rows = int(options.get("maxrows", options.get("maxRows", 0)) or 0)
         self.max_cols = int(options.get("maxcols", options.get("maxCols", 40)))
         self.dense = str(options.get("dense", "true")).lower() == "true"
+        self.empty_sheets = str(options.get("emptysheets", options.get("emptySheets", "false"))).lower() == "true"
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         for f in filters:
@@ -172,6 +173,8 @@ class XlsxReader(DataSourceReader):
         if self.dense:
             there = dict(rows)
             rows = [(n, there.get(n, [])) for n in range(1, max(there, default=0) + 1)]
+        if self.empty_sheets and not rows:
+            yield (name, partition.sheet, None, None, [], dimension, None)
         for k, (number, values) in enumerate(rows[: self.max_rows or None], start=1):
             yield (name, partition.sheet, k, number, [tagged(v) for v in values], dimension, None)
 
