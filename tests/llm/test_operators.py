@@ -422,13 +422,17 @@ def test_toxicity_on_held_out_rows(spark):
         own = [r.choice(words) for _ in range(r.randint(20, 120))]
         if toxic := k % 5 == 0:
             for _ in range(4):
-                own.insert(r.randrange(len(own)), r.choice(toxicity.INSULTS + toxicity.CONTEMPT))
-        rows.append((k, " ".join(own), int(toxic)))
-    docs = spark.createDataFrame([(k, t) for k, t, _ in rows] + [(9999, None)], "doc_id long, text string")
-    labels = spark.createDataFrame([(k, y) for k, _, y in rows if k < 300], "doc_id long, toxic int")
+                own.insert(r.randrange(len(own)), f"vile{r.randrange(10)}")
+        if junk := k % 7 == 0:
+            own += ["buy now"] * 5
+        rows.append((k, " ".join(own), int(toxic), None if k % 50 == 1 else int(not junk)))
+    docs = spark.createDataFrame([(k, t) for k, t, *_ in rows] + [(9999, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, y, q) for k, _, y, q in rows if k < 300], "doc_id long, toxic int, quality int")
     got = {x["doc_id"]: x for x in toxicity.toxic_documents(docs, labels).collect()}
-    held_out = [(y, got[k]["toxic"]) for k, _, y in rows if k >= 300]
+    held_out = [(y, got[k]["toxic"]) for k, _, y, _ in rows if k >= 300]
     assert sum(bool(y) == t for y, t in held_out) >= 0.95 * len(held_out) and len(got) == 601
+    junk = [(q == 0, got[k]["p_junk"] >= 0.5) for k, _, _, q in rows if k >= 300 and q is not None]
+    assert sum(a == b for a, b in junk) >= 0.95 * len(junk)
     assert toxicity.toxic_documents(docs, labels.limit(0)).count() == 601
 
 
