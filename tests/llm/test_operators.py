@@ -236,6 +236,44 @@ def test_ngram_join(spark, like):
     assert {x["doc_id"] for x in ngram_join.keep_one_each(frame(spark, texts), like).collect()} == set(want.values())
 
 
+@pytest.mark.parametrize("like", [ngram_join.Similarity(), ngram_join.Similarity(5, 8, 10)])
+def test_a_passage_of_many_documents_fills_no_bucket(spark, like):
+    """300 texts share 30 words and are unlike otherwise; three have a near copy, which is still found."""
+    r = random.Random(11)
+    passage = [f"p{i}" for i in range(30)]
+    texts = []
+    for _ in range(300):
+        own = [f"w{r.randrange(100_000)}" for _ in range(r.randrange(60, 400))]
+        at = r.randrange(len(own))
+        texts.append(own[:at] + passage + own[at:])
+    for k in range(3):
+        texts.append([*texts[k][:-1], "other"])
+    docs = frame(spark, [" ".join(t) for t in texts])
+    source = docs.select(F.col("doc_id").alias("id"), "text")
+    counted = ngram_join.slot_counts(ngram_join.shingle_table(source, like))
+    assert counted.sum() == sum(map(len, plain_sets([" ".join(t) for t in texts], like.words)))
+    sizes = linking.buckets(ngram_join.keyed_documents(source, like, counted)).groupBy("bucket").count()
+    assert sizes.agg(F.max("count")).first()[0] <= 4
+    got = {x["doc_id"]: x["component_id"] for x in ngram_join.link_documents(docs, like).collect()}
+    assert got == {k: k - 300 if k >= 300 else k for k in range(303)}
+
+
+@pytest.mark.parametrize("like", [ngram_join.Similarity(), ngram_join.Similarity(5, 8, 10)])
+def test_linked_sets_share_a_bucket_whatever_the_order(like):
+    r = np.random.default_rng(5)
+    ends = np.array(like.bands(5000))
+    for warm in (np.zeros(1 << ngram_join.SLOT_BITS, np.uint8), r.integers(0, 255, 1 << ngram_join.SLOT_BITS).astype(np.uint8)):
+        for n in [*range(1, 60), 100, 333, 1200]:
+            for _ in range(4):
+                pool = np.unique(r.integers(0, 1 << 63, 2 * n, dtype=np.uint64))
+                m = int(r.integers(n * like.numerator // like.denominator, n + 1)) or 1
+                shared = -(-like.numerator * (n + m) // (like.numerator + like.denominator))
+                if shared > m:
+                    continue
+                a, b = np.sort(pool[:n]), np.sort(np.concatenate((pool[:shared], pool[n : n + m - shared])))
+                assert np.intersect1d(ngram_join.bucket_keys(a, ends, like, warm), ngram_join.bucket_keys(b, ends, like, warm)).size
+
+
 def test_rtree_bounds_never_miss():
     r = np.random.default_rng(0)
     at = r.integers(0, 9, (300, 32))

@@ -11,11 +11,16 @@ coordinates; pairs that survive are verified on the sets themselves.
 
 One R-tree over all documents would compare each size band with itself, since boxes of unrelated
 texts overlap in every coordinate. So points are first dealt into buckets without losing a pair:
-two linked sets of at most U shingles differ in at most D = U * (denominator - numerator) //
-numerator of them, so that of more than D groups with shingles in them at least one holds the same
-shingles in both. Sizes are banded, and each document is dealt by every group of its own band, and
-of the next band if a partner can be there. Groups without shingles count only for a document that
-has no more than D others, which the number of groups makes rare.
+the shingles of sets of at most U shingles are dealt into groups, and a set of n shingles differs
+from any linked one in at most D = (n + m) * (denominator - numerator) // (denominator + numerator)
+shingles, m being the size of its largest partner; so in at most D groups. Sizes are banded, and
+each document is dealt by D + 1 groups of its own band, and of the next band if a partner can be there.
+
+Which D + 1 groups follows from one order of all groups' contents: rare ones first, those without
+shingles last. Two linked sets share more groups than either leaves out, and leave out the last ones
+of the order, so both are dealt by the first one that they share. How often shingles occur is counted
+in slots by hash, over all documents, for the order only: any order loses no pair, and this one keeps
+passages that many documents share from gathering them in one bucket.
 
 Cases: a text of fewer than three words is one shingle, the whole sequence; a null text or one
 without words has no shingles and links with nothing; equal sets are one class (chained to its
@@ -52,6 +57,11 @@ class Similarity:
         """Shingles in which two linked sets, the larger one of at most `longest`, can differ."""
         return longest * (self.denominator - self.numerator) // self.numerator
 
+    def apart(self, size: int, most: int) -> int:
+        """Shingles in which a set of so many can differ from a linked one of at most `most`."""
+        partner = min(most, size * self.denominator // self.numerator)
+        return (size + partner) * (self.denominator - self.numerator) // (self.denominator + self.numerator)
+
     def groups(self, longest: int) -> int:
         d = self.differing(longest)
         return d + 3 + int(1.5 * d * np.exp(-0.6 * longest / max(1, d)))
@@ -71,6 +81,10 @@ PLAIN, PACKED = 64, 0x80
 LEAF = 32
 #: Pairs whose bounds are taken at once.
 STEP_PAIRS = 1024
+#: Bits of the slots in which shingles are counted; tasks whose counts are added in one.
+SLOT_BITS, ADDING_TASKS = 20, 16
+#: Warmth of a group without shingles, above that of all others.
+WARMEST = 255
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 
 
@@ -108,12 +122,21 @@ def normal(text: str | None) -> bytes:
     return (text or "").encode().lower()
 
 
-def bucket_keys(found: np.ndarray, ends: np.ndarray, like: Similarity) -> np.ndarray:
-    """Keys of a set: the hash of each group's members, for its band and, where a partner may be, the next."""
+def slots(found: np.ndarray) -> np.ndarray:
+    return ((found * np.uint64(MULTIPLIERS[0])) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
+def warmth(counted: np.ndarray) -> np.ndarray:
+    """Slots' counts on a logarithmic scale of a byte."""
+    return np.minimum(8 * np.log2(1.0 + counted), WARMEST - 1).astype(np.uint8)
+
+
+def bucket_keys(found: np.ndarray, ends: np.ndarray, like: Similarity, warm: np.ndarray) -> np.ndarray:
+    """Keys of a set: the hash of a group's members, of as many groups as can differ and one, for its band and, where a partner may be, the next."""
     n = len(found)
     own = int(np.searchsorted(ends, n))
     keys = []
-    member = mixed(found)
+    member, heat = mixed(found), warm[slots(found)]
     for level in [own] if n * like.denominator // like.numerator <= ends[own] else [own, own + 1]:
         groups = like.groups(int(ends[level]))
         of = ((found >> np.uint64(33)) * np.uint64(groups)) >> np.uint64(31)
@@ -124,7 +147,11 @@ def bucket_keys(found: np.ndarray, ends: np.ndarray, like: Similarity) -> np.nda
         name = np.arange(groups, dtype=np.uint64) * np.uint64(MULTIPLIERS[0]) + np.uint64((level + 1) * MULTIPLIERS[1] & (1 << 64) - 1)
         own_keys = mixed(mixed(name) ^ total)
         full = bounds[1:] > bounds[:-1]
-        keys.append(own_keys[full] if full.sum() > like.differing(int(ends[level])) else own_keys)
+        place = np.full(groups, WARMEST, np.uint64)
+        place[full] = np.minimum.reduceat(heat[order], bounds[:-1][full])
+        place = (place << np.uint64(56)) | (own_keys >> np.uint64(8))
+        last = like.apart(n, int(ends[level]))
+        keys.append(own_keys[place <= np.partition(place, last)[last]] if last < groups else own_keys)
     return np.concatenate(keys).view(np.int64)
 
 
@@ -267,23 +294,54 @@ def new_sets(batch: pa.RecordBatch, like: Similarity, hashes: WordHashes, seen:
 
 
 def shingle_table(source: DataFrame, like: Similarity) -> DataFrame:
-    """(id, n, digest, point) of every row of source(id, text); a set without shingles has no point."""
+    """(id, n, digest, point) of every row of source(id, text); a set without shingles has no point.
+
+    Each task adds a row of n -1, whose point has the packed counts of shingles by slot, each set once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        names, hashes, seen, counted = ["id", "n", "digest", "point"], WordHashes(), set(), np.zeros(1 << SLOT_BITS, np.uint32)
         for batch in batches:
-            rows = [(len(found), digest, counts(found) if len(found) else None) for _, found, digest, _ in new_sets(batch, like, hashes, set())]
+            rows, fresh = [], [np.zeros(0, np.uint64)]
+            for _, found, digest, new in new_sets(batch, like, hashes, seen):
+                rows.append((len(found), digest, counts(found) if len(found) else None))
+                if new:
+                    fresh.append(found)
+            np.add.at(counted, slots(np.concatenate(fresh)), np.uint32(1))
             sizes, digests, at = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(at, pa.binary())], names=["id", "n", "digest", "point"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(at, pa.binary())], names=names)
+        yield _counts_row(counted, names)
 
     return source.mapInArrow(tidy(run), "id long, n long, digest binary, point binary")
 
 
-def keyed_documents(source: DataFrame, like: Similarity) -> DataFrame:
+def _counts_row(counted: np.ndarray, names: list[str]) -> pa.RecordBatch:
+    blob = zstandard.ZstdCompressor(level=1).compress(counted.tobytes())
+    return pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([-1], pa.int64()), pa.array([None], pa.binary()), pa.array([blob], pa.binary())], names=names)
+
+
+def slot_counts(table: DataFrame) -> np.ndarray:
+    """The sum of the counts by slot of all tasks that wrote table; a few tasks add them before the driver does."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << SLOT_BITS, np.uint32)
+        for batch in batches:
+            for blob in batch.column(0):
+                total += np.frombuffer(zstandard.ZstdDecompressor().decompress(blob.as_py()), np.uint32)
+        yield pa.RecordBatch.from_arrays([pa.array([zstandard.ZstdCompressor(level=1).compress(total.tobytes())], pa.binary())], names=["point"])
+
+    total = np.zeros(1 << SLOT_BITS, np.uint64)
+    for row in table.where("n = -1").select("point").repartition(ADDING_TASKS).mapInArrow(tidy(run), "point binary").toLocalIterator():
+        total += np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(row[0])), np.uint32)
+    return total
+
+
+def keyed_documents(source: DataFrame, like: Similarity, counted: np.ndarray) -> DataFrame:
     """(key, id) of the sets of source(id, text), each once in a task; sets are made anew rather than kept on disk."""
+    shared = source.sparkSession.sparkContext.broadcast(warmth(counted).tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen = WordHashes(), set()
+        hashes, seen, warm = WordHashes(), set(), np.frombuffer(shared.value, np.uint8)
         ends = np.array(like.bands(64), dtype=np.int64)
         for batch in batches:
             keys, owners = [np.zeros(0, np.int64)], []
@@ -292,7 +350,7 @@ def keyed_documents(source: DataFrame, like: Similarity) -> DataFrame:
                     continue
                 if len(found) * 2 > ends[-1]:
                     ends = np.array(like.bands(len(found) * 4), dtype=np.int64)
-                keys.append(bucket_keys(found, ends, like))
+                keys.append(bucket_keys(found, ends, like, warm))
                 owners += [k] * len(keys[-1])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), batch.column(0).take(pa.array(owners, pa.int64()))], names=["key", "id"])
 
@@ -319,12 +377,13 @@ def link_documents(docs: DataFrame, like: Similarity = Similarity(), id_col: str
 
 
 def _linked_documents(source: DataFrame, like: Similarity) -> DataFrame:
-    table = staged(shingle_table(source, like))
+    written = staged(shingle_table(source, like))
+    table = written.where("n >= 0")
     has = table.where("n > 0 and id is not null")
     first = staged(has.groupBy("digest").agg(F.min("id").alias("a"), F.count("*").alias("copies")).where("copies > 1"))
     equal = staged(lookup(has.select("id", "digest"), first, "digest", "copies", has.count()).where("a <> id").select("a", F.col("id").alias("b")).distinct())
     at = table.where("point is not null and id is not null").select("id", "point").dropDuplicates(["id"])
-    members = staged(buckets(keyed_documents(source, like)).join(at.withColumnRenamed("point", "payload"), "id"))
+    members = staged(buckets(keyed_documents(source, like, slot_counts(written))).join(at.withColumnRenamed("point", "payload"), "id"))
     hashes = WordHashes()
 
     def to_set(blob: bytes) -> np.ndarray:
