@@ -248,6 +248,14 @@ def test_replay_and_audit_take_every_part_of_the_size(spark):
     assert parts and {r.target_campaign_id for r in scored} == parts == {r.target_campaign_id for r in audited} and len(scored) == len(parts) * suppliers
 
 
+def test_tags_of_one_campaign_only(spark):
+    from tidemill.plans.matching import only_there
+
+    pairs = spark.createDataFrame([(1, 10, ["a", "b"]), (1, 11, ["b", "c", "d"]), (2, 10, ["a"]), (2, 11, [])], "influencer_id long, campaign_id long, x_tags array<string>")
+    got = {(r.target_campaign_id, r.influencer_id): sorted(r["__only"]) for r in only_there(pairs, "x_tags").collect()}
+    assert got == {(10, 1): ["a"], (11, 1): ["c", "d"], (10, 2): ["a"]}
+
+
 def test_xlsx_scan_reads_all_suppliers(spark, tmp_path):
     from tidemill.plans.scans import scan_query
 
