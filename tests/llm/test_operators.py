@@ -165,6 +165,22 @@ def test_suffix_dedup(spark, monkeypatch, first, limit):
         assert (got[i]["n_bytes"], got[i]["n_removed"], got[i]["n_spans"], got[i]["kept_sha256"]) == want, i
 
 
+def test_op5_tells_which_documents_repeat_passages(spark, tmp_path):
+    """Passages of over 50 words, in texts of any size: those of 400 bytes tell, those of 399 don't, and n_bytes tells nothing."""
+    r = random.Random(7)
+    words = lambda n: " ".join("".join(r.choice("abcdefghi") for _ in range(6)) for _ in range(n))
+    long, least, short = words(80), words(60)[:400], words(60)[:399]
+    texts = [words(n) for n in (300, 20, 60, 150)] + [None, ""]
+    texts += [f"{words(n)}{mark}{p}{mark}{words(n)}" for mark, n, p in zip("ABCDEFG", (5, 90, 200, 3, 120, 4, 130), (long, long, long, least, least, short, short), strict=True)]
+    texts += [f"{long[:200]}{least}H{words(9)}I{least}", words(200)]
+    frame(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x["doc_id"]: x for x in QUERIES["op5_suffix_dedup"](spark, str(tmp_path)).collect()}
+    assert all(len(p.split()) > 50 for p in (long, least, short))
+    assert [i for i in got if got[i]["repeats"]] == [i for i in got if i in {6, 7, 8, 9, 10, 13}]
+    for i, want in enumerate(plain_cut([(t or "").encode() for t in texts], 400)):
+        assert (got[i]["n_bytes"], got[i]["n_removed"], got[i]["n_spans"], got[i]["kept_sha256"], got[i]["repeats"]) == (*want, want[1] > 0), i
+
+
 def test_longest_previous_factors():
     r = random.Random(1)
     for k in range(60):

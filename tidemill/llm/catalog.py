@@ -51,7 +51,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op5_suffix_dedup")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.dedup_strings(table(spark, sf_dir, "documents")).drop("spans")
+    cut = suffix_dedup.dedup_strings(table(spark, sf_dir, "documents"))
+    return cut.drop("spans").withColumn("repeats", F.col("n_removed") > 0)
 
 
 @query("op6_fuzzy_lines")
