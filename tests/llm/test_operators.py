@@ -181,6 +181,44 @@ def test_op5_tells_which_documents_repeat_passages(spark, tmp_path):
         assert (got[i]["n_bytes"], got[i]["n_removed"], got[i]["n_spans"], got[i]["kept_sha256"], got[i]["repeats"]) == (*want, want[1] > 0), i
 
 
+def plain_sharing(texts, words):
+    """Numbers of the texts with a run of so many words that another text has too."""
+    holders = collections.defaultdict(set)
+    for k, t in enumerate(texts):
+        w = re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode())
+        for i in range(len(w) - words + 1):
+            holders[tuple(w[i : i + words])].add(k)
+    return sorted({k for held in holders.values() if len(held) > 1 for k in held})
+
+
+def test_op5_tells_which_documents_share_passages(spark, tmp_path):
+    """51 words tell, in whatever bytes, in copies too; 50 words don't, nor what a text only repeats itself."""
+    r = random.Random(11)
+    words = lambda n, of="abcdefghi": [("".join(r.choice(of) for _ in range(r.randint(1, 7)))) for _ in range(n)]
+    least, few, long, huge = words(51), words(50), words(90), ["é" * 9000, "x" * 20000, *words(60)]
+    put = lambda p, a, b, by=" ": by.join(["A%d" % a, *words(a), *p, "B%d" % b, *words(b)])
+    texts = [put(least, 3, 70), put(least, 200, 4, "\n"), put(least, 0, 0, "\t \r"), put(few, 5, 100), put(few, 80, 6), put(long, 900, 7), put(long[20:80], 9, 9), put(long + words(9) + long, 8, 1)]
+    texts += [" ".join(x := words(130)) + " " + " ".join(x), " ".join(few), " ".join(few), " ".join(y := words(60)), " ".join(y), None, None, "", " ".join(least), put(huge, 3, 4), put(huge[:53], 1, 1)]
+    texts += ["Of " * 300, "Of " * 51, "of " * 80, " ".join(words(40)), *[put(long[k : k + 53], k, 3) for k in range(12)]]
+    assert max(len(" ".join(p).encode()) for p in (least, few)) < 400
+    frame(spark, texts, 5).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x["doc_id"]: x["shares_passage"] for x in QUERIES["op5_suffix_dedup"](spark, str(tmp_path)).collect()}
+    assert [i for i in sorted(got) if got[i]] == plain_sharing(texts, 51) == [0, 1, 2, 5, 6, 7, 11, 12, 16, 17, 18, 19, 20, *range(23, 35)]
+    for n in (2, 7, 8, 50):
+        cut = suffix_dedup.dedup_strings(frame(spark, texts, 4), passage_words=n).collect()
+        assert sorted(x["doc_id"] for x in cut if x["shares_passage"]) == plain_sharing(texts, n), n
+
+
+def test_factors_of_whole_length():
+    r = random.Random(3)
+    for _ in range(200):
+        d, most = np.array([r.choice([0, 1, 256]) for _ in range(r.randint(0, 60))], np.int16), r.choice([1, 2, 3, 5, 8, 40])
+        lengths, sources = suffix_dedup.longest_previous_factors(d, most)
+        whole, places = suffix_dedup.longest_previous_factors(d, most, whole=True)
+        assert whole.tolist() == [most if n == most else 0 for n in lengths.tolist()]
+        assert (places == np.where(lengths == most, sources, -1)).all()
+
+
 def test_longest_previous_factors():
     r = random.Random(1)
     for k in range(60):

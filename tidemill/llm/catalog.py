@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from tidemill.llm import bpe, decontamination, licenses, line_dedup, ngram_join, oracles, quality, secrets, sharding, suffix_dedup, toxicity
 from tidemill.llm.common import table
 
+#: A passage of over 50 words.
+PASSAGE_WORDS = 51
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -51,8 +54,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op5_suffix_dedup")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = suffix_dedup.dedup_strings(table(spark, sf_dir, "documents"))
-    return cut.drop("spans").withColumn("repeats", F.col("n_removed") > 0)
+    cut = suffix_dedup.dedup_strings(table(spark, sf_dir, "documents"), passage_words=PASSAGE_WORDS)
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", (F.col("n_removed") > 0).alias("repeats"), "shares_passage")
 
 
 @query("op6_fuzzy_lines")

@@ -15,7 +15,9 @@ finds is joined back to the places of the contexts. A group larger than SORT_BYT
 by the bytes that all strings at some distances from the anchor share, down to single strings.
 
 By default all copies of a string are covered; with `keep_first` the copy of the smallest
-(doc_id, position) stays. Matches never cross documents, and are judged on the input.
+(doc_id, position) stays. Matches never cross documents, and are judged on the input. With
+`passage_words` a column also tells which documents hold a passage of so many words that another one
+holds too (`passages`): it may have fewer bytes than LENGTH, and a text's own repeats don't count.
 
 Cases: a null text counts as an empty one; texts shorter than LENGTH have no strings; equal texts
 of LENGTH bytes or more are one class from the start and are covered whole; texts of any length
@@ -34,6 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemill.llm import passages
 from tidemill.llm.common import bounded_batches, lookup, staged, temporary, tidy
 from tidemill.llm.linking import _by_key, _runs
 
@@ -42,6 +45,8 @@ LENGTH, GRAM = 400, 64
 SEGMENT, PLACE_BITS = 1 << 20, 24
 #: Bytes of contexts whose suffixes are sorted at once, and bytes of contexts that a task counts before it passes them on.
 SORT_BYTES, COUNT_BYTES = 1 << 21, 1 << 25
+#: Bytes of contexts of several groups that are sorted together; strings of different groups differ.
+TOGETHER = 1 << 16
 BROADCAST_DIGESTS = 1_000_000
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 
@@ -50,29 +55,40 @@ ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B1
 
 
 def suffix_order(data: np.ndarray, length: int) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
-    """(suffix order, levels) by the first `length` values; suffixes with equal prefixes stand by position.
+    """(suffix order, levels) by the first `length` values, all below 511; suffixes with equal prefixes stand by position.
 
-    Each level has a width and the ranks of all places by the values of that width; the end of the data counts as smaller than any.
+    Each level has a width and a name of all places by the values of that width, from width 4 on their ranks; the end of
+    the data counts as smaller than any. Places whose prefix nobody shares are settled and aren't sorted again.
     """
     n = len(data)
-    ranks = data.astype(np.int64) + 1
-    order, levels = np.argsort(ranks, kind="stable"), [(1, ranks)]
-    done = 1
-    while done < length and n:
+    names, done, bits = data.astype(np.int64) + 1, 1, n.bit_length()
+    levels = [(1, names)]
+    while done < min(4, length):
         step = min(done, length - done)
         after = np.zeros(n, np.int64)
-        if step < n:
-            after[: n - step] = ranks[step:]
-        keys = ranks * (n + 258) + after
-        order = np.argsort(keys, kind="stable")
-        placed = keys[order]
-        new = np.concatenate(([1], (placed[1:] != placed[:-1]).astype(np.int64)))
-        ranks = np.empty(n, np.int64)
-        ranks[order] = np.cumsum(new)
-        done += step
+        after[: max(0, n - done)] = (names if step == done else levels[0][1])[done:]
+        names, done = (names << 9 * step) | after, done + step
+        levels.append((done, names))
+    order, slots, ranks = np.argsort(names, kind="stable"), np.arange(n), names
+    at, pairs = order, names[order]
+    while n:
+        new = np.concatenate(([True], pairs[1:] != pairs[:-1]))
+        ranks = ranks.copy()
+        ranks[at] = slots[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))] + 1
         levels.append((done, ranks))
-        if ranks.max() == n:
+        slots = slots[~(new & np.concatenate((new[1:], [True])))]
+        if done == length or not len(slots):
             break
+        step, at = min(done, length - done), order[slots]
+        after = np.where(at + step < n, ranks[np.minimum(at + step, n - 1)], 0)
+        if 3 * bits < 64:
+            keys = np.sort((ranks[at] << 2 * bits) | (after << bits) | at)
+            at, pairs = keys & ((1 << bits) - 1), keys >> bits
+        else:
+            pairs = ranks[at] * (n + 1) + after
+            sort = np.argsort(pairs, kind="stable")
+            at, pairs = at[sort], pairs[sort]
+        order[slots], done = at, done + step
     return order, levels
 
 
@@ -88,11 +104,20 @@ def previous_smaller(values: np.ndarray) -> np.ndarray:
     return to
 
 
-def longest_previous_factors(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(lengths, sources): for each position the longest match with an earlier one, up to `length`, and that position (-1 for none)."""
+def longest_previous_factors(data: np.ndarray, length: int, whole: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(lengths, sources): for each position the longest match with an earlier one, up to `length`, and that position (-1 for none).
+
+    With `whole` matches shorter than `length` count as none; only places that share all of it are looked at then.
+    """
     n = len(data)
     order, levels = suffix_order(data, length)
     lengths, sources = np.zeros(n, np.int64), np.full(n, -1, np.int64)
+    if whole:
+        if levels[-1][0] < length:
+            return lengths, sources
+        levels = levels[-1:]
+        same = levels[0][1][order[1:]] == levels[0][1][order[:-1]]
+        order = order[np.concatenate((same, [False])) | np.concatenate(([False], same))] if n else order
     padded = [(width, np.concatenate((ranks, [0]))) for width, ranks in reversed(levels)]
     for to, at in ((previous_smaller(order), order), (previous_smaller(order[::-1]), order[::-1])):
         here = at[to >= 0]
@@ -140,23 +165,27 @@ def anchors(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndar
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def anchor_table(docs: DataFrame, id_col: str, text_col: str, length: int) -> DataFrame:
+def anchor_table(docs: DataFrame, id_col: str, text_col: str, length: int, words: int = 0) -> DataFrame:
     """(doc_id, digest, n_bytes, grams) of every row; for a text's first row in a task the distinct grams of its anchors.
 
     Each is told with whether the text has it more than once, so that a text that repeats itself is one row a gram.
+    With `words` also (word_grams, wordy): the anchors of its windows of words, and whether it has one.
     """
     bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
+        known: set[bytes] = set()
         for batch in batches:
-            digests, sizes, grams = [], [], []
+            digests, sizes, grams, first = [], [], [], []
             for text in batch.column(1):
                 data = text.as_buffer() if text.is_valid else b""
                 digest = hashlib.sha256(data).digest()
                 digests.append(digest)
                 sizes.append(len(data))
+                first.append(digest not in known)
+                known.add(digest)
                 new = len(data) >= length and digest not in seen
                 if new:
                     seen.add(digest)
@@ -166,9 +195,11 @@ def anchor_table(docs: DataFrame, id_col: str, text_col: str, length: int) -> Da
                 each, times = np.unique(anchors(np.frombuffer(data, np.uint8), length)[0], return_counts=True)
                 grams.append([{"gram": g, "often": t} for g, t in zip(each.tolist(), (times > 1).tolist(), strict=True)])
             kind_of = pa.list_(pa.struct([("gram", pa.int64()), ("often", pa.bool_())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(grams, kind_of)], names=["doc_id", "digest", "n_bytes", "grams"])
+            more = passages.anchor_lists(batch.column(1), np.array(first), words) if words else []
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(grams, kind_of), *more], names=["doc_id", "digest", "n_bytes", "grams", "word_grams", "wordy"][: 4 + len(more)])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col)).mapInArrow(tidy(run), f"doc_id {kind}, digest binary, n_bytes long, grams array<struct<gram:long,often:boolean>>")
+    schema = f"doc_id {kind}, digest binary, n_bytes long, grams array<struct<gram:long,often:boolean>>" + ", word_grams array<long>, wordy boolean" * bool(words)
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col)).mapInArrow(tidy(run), schema)
 
 
 def shared_anchors(table: DataFrame) -> DataFrame:
@@ -263,7 +294,7 @@ def _marks(group: list[tuple[bytes, int, int]], length: int, low: int, high: int
             joined[at : at + len(data)] += 1
             starts.append(at)
             at += len(data) + 1
-        lengths, sources = longest_previous_factors(joined, length)
+        lengths, sources = longest_previous_factors(joined, length, whole=True)
         own = np.zeros(total, bool)
         for s, (_, _, n) in zip(starts, group, strict=True):
             own[s : s + n] = True
@@ -304,25 +335,40 @@ def repeated_in_contexts(found: DataFrame, length: int) -> DataFrame:
     first is the context's first place, (digest, start), and first_spans what of it repeats an earlier place.
     """
 
+    def told(groups: list[tuple[int, list]]) -> Iterator[tuple]:
+        """Rows of groups (gram, contexts in order), which share no string, so that they can be sorted as one."""
+        every = [(gram, *x) for gram, order in groups for x in order]
+        marks = _marks([x[4] for x in every], length, 0, length - GRAM)
+        for (gram, name, place, times, _), (later, repeated) in zip(every, marks, strict=True):
+            if times > 1:
+                repeated[:] = True
+            if repeated.any():
+                yield gram, name, _spans(repeated, length), place[2], place[3], _spans(later, length)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, firsts, ends in _runs(batches):
             columns = [rows.column(k).to_pylist() for k in range(1, 9)]
             out: list[tuple] = []
+            waiting, held = [], 0
             for a, b in zip(firsts.tolist(), ends.tolist(), strict=True):
                 counted: dict[bytes, list] = {}
                 for name, digest, doc, start, times, offset, n, data in zip(*[c[a:b] for c in columns], strict=True):
                     place = (doc is None, doc or 0, digest, start)
                     known = counted.setdefault(name, [place, 0, (data, offset, n)])
                     known[0], known[1] = min(known[0], place), known[1] + times
-                order = sorted(counted.items(), key=lambda x: x[1][0])
-                if len(order) == 1 and order[0][1][1] == 1:
+                order = sorted(((name, *x) for name, x in counted.items()), key=lambda x: x[1])
+                if len(order) == 1 and order[0][2] == 1:
                     continue
-                marks = _marks([x[2] for _, x in order], length, 0, length - GRAM)
-                for (name, (place, times, _)), (later, repeated) in zip(order, marks, strict=True):
-                    if times > 1:
-                        repeated[:] = True
-                    if repeated.any():
-                        out.append((rows.column(0)[a].as_py(), name, _spans(repeated, length), place[2], place[3], _spans(later, length)))
+                gram, size = rows.column(0)[a].as_py(), sum(len(x[3][0]) + 1 for x in order)
+                if len(order) == 1 or size > TOGETHER:
+                    out.extend(told([(gram, order)]))
+                    continue
+                if held + size > min(TOGETHER, SORT_BYTES) and waiting:
+                    out.extend(told(waiting))
+                    waiting, held = [], 0
+                waiting.append((gram, order))
+                held += size
+            out.extend(told(waiting))
             kinds = [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.int64(), pa.list_(pa.int64())]
             columns = zip(*out, strict=True) if out else [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["gram", "context_id", "spans", "first_digest", "first_start", "first_spans"])
@@ -377,14 +423,17 @@ def cut_texts(candidates: DataFrame, spans: DataFrame) -> DataFrame:
     return candidates.select("digest", "data").join(grouped, "digest").mapInArrow(tidy(run), "digest binary, n_removed long, n_spans long, kept_sha256 string, spans array<long>")
 
 
-def dedup_strings(docs: DataFrame, length: int = LENGTH, keep_first: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans) of every row; spans are the removed runs' starts and ends."""
+def dedup_strings(docs: DataFrame, length: int = LENGTH, keep_first: bool = False, id_col: str = "doc_id", text_col: str = "text", passage_words: int = 0) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans) of every row; spans are the removed runs' starts and ends.
+
+    With `passage_words` also shares_passage: whether so many words in a row stand in another row's text too.
+    """
     with temporary(docs.sparkSession):
-        return staged(_deduped(docs, length, keep_first, id_col, text_col), keep=True)
+        return staged(_deduped(docs, length, keep_first, id_col, text_col, passage_words), keep=True)
 
 
-def _deduped(docs: DataFrame, length: int, keep_first: bool, id_col: str, text_col: str) -> DataFrame:
-    table = staged(anchor_table(docs, id_col, text_col, length))
+def _deduped(docs: DataFrame, length: int, keep_first: bool, id_col: str, text_col: str, passage_words: int) -> DataFrame:
+    table = staged(anchor_table(docs, id_col, text_col, length, passage_words))
     classes = staged(table.groupBy("digest").agg(F.count("*").alias("copies"), F.min(F.col("doc_id").cast("long")).alias("doc")))
     with temporary(docs.sparkSession):
         shared = staged(shared_anchors(table))
@@ -395,7 +444,15 @@ def _deduped(docs: DataFrame, length: int, keep_first: bool, id_col: str, text_c
         found = staged(contexts(candidates, length))
         cut = staged(cut_texts(candidates, repeated_spans(found, length, keep_first)), keep=True)
     known = classes.join(cut, "digest", "left")
-    rows = lookup(table.select("doc_id", "digest", "n_bytes"), staged(known), "digest", "copies", table.count())
+    told = []
+    if passage_words:
+        with temporary(docs.sparkSession):
+            name = F.xxhash64("digest").alias("name")
+            texts = texts_by_digest(docs, text_col, 2 * passage_words - 1).select(name, "data")
+            sharing = staged(passages.sharing_texts(table.select(name, "word_grams"), texts, passage_words, BROADCAST_DIGESTS), keep=True)
+        known = known.join(sharing.withColumn("shared", F.lit(True)), F.xxhash64("digest") == F.col("name"), "left").drop("name")
+        told = [(F.col("wordy") & ((F.col("copies") > 1) | F.col("shared").isNotNull())).alias("shares_passage")]
+    rows = lookup(table.select("doc_id", "digest", "n_bytes", *["wordy"][: len(told)]), staged(known), "digest", "copies", table.count())
     copy = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
     if keep_first:
         copy = copy & ~F.col("doc_id").cast("long").eqNullSafe(F.col("doc"))
@@ -408,4 +465,5 @@ def _deduped(docs: DataFrame, length: int, keep_first: bool, id_col: str, text_c
         F.when(copy, F.lit(1).cast("long")).otherwise(F.coalesce("n_spans", zero)).alias("n_spans"),
         F.when(copy, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("kept_sha256", F.lower(F.hex("digest")))).alias("kept_sha256"),
         F.when(copy, whole).otherwise(F.coalesce("spans", F.array().cast("array<long>"))).alias("spans"),
+        *told,
     )
