@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import SMALL
-from tidemill.llm import bpe, decontamination, licenses, line_dedup, linking, ngram_join, quality, secrets, sharding, suffix_dedup, toxicity
+from tidemill.llm import bpe, decontamination, licenses, line_dedup, linking, ngram_join, passages, quality, secrets, sharding, suffix_dedup, toxicity
 from tidemill.llm.catalog import QUERIES
 from tidemill.llm.common import lookup
 
@@ -191,8 +191,10 @@ def plain_sharing(texts, words):
     return sorted({k for held in holders.values() if len(held) > 1 for k in held})
 
 
-def test_op5_tells_which_documents_share_passages(spark, tmp_path):
+@pytest.mark.parametrize("hot", [256, 3])
+def test_op5_tells_which_documents_share_passages(spark, tmp_path, monkeypatch, hot):
     """51 words tell, in whatever bytes, in copies too; 50 words don't, nor what a text only repeats itself."""
+    monkeypatch.setattr(passages, "HOT_TEXTS", hot)
     r = random.Random(11)
     words = lambda n, of="abcdefghi": [("".join(r.choice(of) for _ in range(r.randint(1, 7)))) for _ in range(n)]
     least, few, long, huge = words(51), words(50), words(90), ["é" * 9000, "x" * 20000, *words(60)]

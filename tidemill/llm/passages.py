@@ -4,7 +4,8 @@ Every window of so many words has an anchor: of its runs of 8 words the one with
 the leftmost of equal ones. Equal windows have equal anchors, so windows are compared only within the group
 of their anchor. Texts whose anchors no other text has are dropped before any text is read again. Of the
 rest, a row is a run of windows with one anchor; equal rows of a task are told there and dealt once, so
-a group receives a row a task and different run, however many texts hold it.
+a group receives a row a task and different run, however many texts hold it. Runs of an anchor that many texts
+have differ at the ends of the passage, so their windows are dealt by their own hashes too.
 
 Cases: words are `[^\\x20\\x09-\\x0D]+`, cut at the ends of a text; a null text has none; texts with fewer words
 have no windows. Windows never cross texts. Words, windows and texts are compared by 64-bit hashes.
@@ -24,6 +25,8 @@ from tidemill.llm.common import staged, tidy
 from tidemill.llm.linking import _by_key, _pair_names, _runs
 
 GRAM_WORDS = 8
+#: An anchor of so many texts is hot; its windows are dealt to so many groups, a power of two.
+HOT_TEXTS, SPLIT = 256, 64
 #: Bytes and windows looked at together, bits of an anchor's place in them, bytes of a word that is hashed with others, and runs that a task remembers.
 BYTES, WINDOWS, PLACE_BITS, LONG, REMEMBERED = 1 << 17, 1 << 20, 24, 1 << 14, 1 << 19
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
@@ -124,49 +127,59 @@ def anchor_lists(texts: pa.Array, new: np.ndarray, words: int) -> tuple[pa.Array
 
 
 def shared_anchors(table: DataFrame) -> DataFrame:
-    """(name, grams) of the texts of table(name, word_grams) with anchors that another text has too."""
+    """(name, grams, hot) of the texts of table(name, word_grams) with anchors that another text has too; hot are those of many texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, starts, ends in _runs(batches):
             names = rows.column(1).to_numpy()
             shared = np.minimum.reduceat(names, starts) != np.maximum.reduceat(names, starts)
-            kept = rows.filter(pa.array(np.repeat(shared, ends - starts)))
-            yield pa.RecordBatch.from_arrays([kept.column(1), kept.column(0)], names=["name", "gram"])
+            shared, hot = np.repeat(shared, ends - starts), np.repeat(ends - starts >= HOT_TEXTS, ends - starts)
+            kept = rows.filter(pa.array(shared))
+            yield pa.RecordBatch.from_arrays([kept.column(1), kept.column(0), pa.array(hot[shared])], names=["name", "gram", "hot"])
 
     each = table.select(F.explode("word_grams").alias("gram"), "name")
-    return _by_key(each, "gram").mapInArrow(tidy(run), "name long, gram long").groupBy("name").agg(F.collect_list("gram").alias("grams"))
+    return _by_key(each, "gram").mapInArrow(tidy(run), "name long, gram long, hot boolean").groupBy("name").agg(F.collect_list("gram").alias("grams"), F.collect_list(F.when(F.col("hot"), F.col("gram"))).alias("hot"))
 
 
 def window_rows(candidates: DataFrame, words: int) -> DataFrame:
-    """Of the windows with shared anchors of candidates(name, data, grams), two kinds of rows: runs (gram, name, windows), and names alone
-    of texts that hold a run that another text of the task holds too."""
+    """Of the windows with shared anchors of candidates(name, data, grams, hot), two kinds of rows: runs (gram, name, windows), and names alone
+    of texts that hold a run that another text of the task holds too. A run of a hot anchor is cut by its windows' last bits."""
+
+    def pairs(lists: pa.ListArray) -> np.ndarray:
+        return _pair_names(np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy())
+
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[tuple[int, bytes], int] = {}
         told: set[int] = set()
         for batch in batches:
-            names, lists = batch.column(0).to_numpy(), batch.column(2)
-            sizes = np.diff(lists.offsets.to_numpy())
-            wanted = _pair_names(np.repeat(np.arange(len(names)), sizes), lists.flatten().to_numpy())
+            names, wanted, hot = batch.column(0).to_numpy(), pairs(batch.column(2)), pairs(batch.column(3))
             out: list[tuple[int | None, int, bytes | None]] = []
             for text, gram, window in windows(batch.column(1), words):
                 at = _first(text, gram)
                 ends = np.append(at[1:], len(gram))
-                keep = np.isin(_pair_names(text[at], gram[at]), wanted)
-                for a, b, g, name in zip(at[keep].tolist(), ends[keep].tolist(), gram[at[keep]].tolist(), names[text[at[keep]]].tolist(), strict=True):
-                    own = (np.unique(window[a:b]) if b - a > 256 else window[a:b]).tobytes()
-                    key = (g, xxhash.xxh3_128_digest(own))
-                    if (first := seen.setdefault(key, name)) != name:
-                        told |= {first, name}
-                    elif len(seen) > REMEMBERED:
-                        seen.clear()
-                        out.append((g, name, own))
+                pair = _pair_names(text[at], gram[at])
+                keep = np.isin(pair, wanted)
+                many = np.isin(pair[keep], hot)
+                for a, b, g, name, cut in zip(at[keep].tolist(), ends[keep].tolist(), gram[at[keep]].tolist(), names[text[at[keep]]].tolist(), many.tolist(), strict=True):
+                    run_of = np.unique(window[a:b]) if b - a > 256 else window[a:b]
+                    if cut:
+                        last = run_of & np.uint64(SPLIT - 1)
+                        kinds = np.unique(last)
+                        parts = zip(_pair_names(np.full(len(kinds), g), kinds).tolist(), (run_of[last == k].tobytes() for k in kinds), strict=True)
                     else:
-                        out.append((g, name, own))
+                        parts = ((g, run_of.tobytes()),)
+                    for key, own in parts:
+                        if (first := seen.setdefault((key, xxhash.xxh3_128_digest(own)), name)) != name:
+                            told |= {first, name}
+                            continue
+                        out.append((key, name, own))
+                        if len(seen) > REMEMBERED:
+                            seen.clear()
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [()] * 3, (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["gram", "name", "windows"])
         yield pa.RecordBatch.from_arrays([pa.nulls(len(told), pa.int64()), pa.array(sorted(told), pa.int64()), pa.nulls(len(told), pa.binary())], names=["gram", "name", "windows"])
 
-    return candidates.select("name", "data", "grams").mapInArrow(tidy(run), "gram long, name long, windows binary")
+    return candidates.select("name", "data", "grams", "hot").mapInArrow(tidy(run), "gram long, name long, windows binary")
 
 
 def sharing(found: DataFrame) -> DataFrame:
